@@ -41,12 +41,14 @@ def guess_name(url: Column | str, index: Column) -> Column:
     path = F.regexp_extract(address, r"^[^:]+://[^/?#]*([^?#]*)", 1)
     last = F.regexp_extract(path, "([^/]+)/*$", 1)
     is_file = last.contains(".") & ~last.rlike(PAGE_EXTENSIONS)
-    plus_kept = F.replace(last, F.lit("+"), F.lit("%2B"))
+    # A plus sign stays in a path; bytes that are no UTF-8 make the escape invalid there.
+    decoded = F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
+    path_name = F.when(~decoded.contains("\ufffd"), decoded)
     number = F.coalesce(*[_parameter(address, p) for p in NUMBER_PARAMETERS])
     numbered = F.concat(F.lit(ATTACHMENT_LABEL + " "), F.try_url_decode(number))
     name = (
         F.when(named.isNotNull(), F.try_url_decode(named))
-        .when(is_file, F.try_url_decode(plus_kept))
+        .when(is_file, path_name)
         .when(number.isNotNull(), numbered)
     )
     return F.coalesce(F.when(address.rlike(_VALID_URL), name), ordinal)

@@ -1 +1,198 @@
-QUERIES = {}
+"""Request planning and landed responses."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from noticeflow.operators import extraction
+from noticeflow.plans import jobs
+from noticeflow.sources import envelope, landed
+
+from .tables import table
+
+
+def parse_envelope(spark, sf_dir):
+    """Orders as items, in responses of the four shapes."""
+    k = F.col("o_orderkey")
+    item = lambda n: F.concat(
+        F.lit('{"no":"'), k, F.lit(f'-{n}","nested":{{"a":{n}}},"none":null,"count":'), k % 100, F.lit("}")
+    )
+    two = F.concat(F.lit("["), item(1), F.lit(","), item(2), F.lit("]"))
+    items = (
+        F.when(k % 4 == 0, two)
+        .when(k % 4 == 1, F.concat(F.lit('{"item":'), two, F.lit("}")))
+        .when(k % 4 == 2, F.concat(F.lit('{"item":'), item(1), F.lit("}")))
+        .otherwise(F.lit("null"))
+    )
+    body = F.concat(F.lit('{"response":{"header":{},"body":{"totalCount":"'), k, F.lit('","numOfRows":"10","items":'), items, F.lit("}}}"))
+    responses = table(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"))
+    totals = responses.withColumn("totals", envelope.envelope_totals(F.col("body")))
+    read = lambda name: F.try_element_at("item", F.lit(name))
+    return envelope.parse_envelope(totals).select(
+        "o_orderkey", "item_ix", read("no").alias("no"), read("nested").alias("nested"),
+        read("count").alias("count"), F.col("totals.total").alias("total"),
+        jobs.page_count(F.col("totals.total"), F.col("totals.page_size")).alias("pages"),
+    )
+
+
+def classify_events(spark, sf_dir):
+    k = extraction.pick_number("props", ["k"])
+    events = table(spark, sf_dir, "events").withColumn("k", k)
+    k = F.col("k")
+    status = F.when(k % 7 == 0, 429).when(F.col("event_type") == "error", 500 + k % 4).otherwise(200)
+    body = (
+        F.when(k % 13 == 0, F.lit("<xml>PERIOD</xml>"))
+        .when(k % 10 == 0, F.lit('{"response":{"header":{"resultMsg":"PERIOD too long"}}}'))
+        .when(k % 10 == 5, F.lit('{"response":{"header":{"resultMsg":"denied"}}}'))
+        .when(k % 10 == 6, F.lit('{"error":"gateway","upstreamStatus":504}'))
+        .otherwise(F.lit(' {"response":{"body":{"items":[]}}}'))
+    )
+    classed = events.withColumn("class", envelope.classify(status, body))
+    return classed.groupBy("event_type", "class").agg(F.count(F.lit(1)).alias("responses"))
+
+
+def _order_bounds(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return orders.agg(
+        F.to_date(F.min("o_orderdate")).alias("first_day"), F.to_date(F.max("o_orderdate")).alias("last_day")
+    )
+
+
+def _chunks(spark, sf_dir, days):
+    return jobs.chunk_ranges(_order_bounds(spark, sf_dir), "first_day", "last_day", days).drop("last_day")
+
+
+def _chunk_counts(spark, sf_dir, days):
+    """Orders per chunk of days."""
+    orders = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"))
+    # the bounds are one row
+    placed = orders.crossJoin(F.broadcast(_order_bounds(spark, sf_dir)))
+    counted = placed.groupBy(F.floor(F.datediff("day", "first_day") / days).cast("int").alias("chunk")).agg(
+        F.count(F.lit(1)).alias("total")
+    )
+    chunks = _chunks(spark, sf_dir, days).drop("first_day")
+    return chunks.join(counted, "chunk", "left").fillna(0, ["total"])
+
+
+def date_chunks(spark, sf_dir):
+    return _chunks(spark, sf_dir, 28).drop("first_day")
+
+
+def plan_pages(spark, sf_dir):
+    return jobs.plan_pages(_chunk_counts(spark, sf_dir, 28), "total", 100)
+
+
+def plan_jobs(spark, sf_dir):
+    institutions = table(spark, sf_dir, "nation").select(F.col("n_name").alias("institution"))
+    types = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("business_type")).distinct()
+    return jobs.plan_jobs(institutions, types, date_chunks(spark, sf_dir))
+
+
+def split_chunk(spark, sf_dir):
+    """30-day chunks with more orders than the mean fail once."""
+    counts = _chunk_counts(spark, sf_dir, 30)
+    mean = counts.select(F.avg("total")).scalar()
+    return jobs.split_ranges(counts.withColumn("depth", F.lit(0)), F.col("total") > mean)
+
+
+def resume_pending(spark, sf_dir):
+    plan = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type").distinct()
+    return jobs.resume_pending(plan, plan.where("day < date '2024-01-15'"), ["day", "event_type"])
+
+
+def split_dead_letter(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
+    tagged = landed.tag_failures(events, F.col("event_type") == "error", F.concat(F.lit("value "), F.floor("value")))
+    good, failed = landed.split_dead_letter(tagged)
+    return good.withColumn("reason", F.lit("-")).unionByName(failed)
+
+
+def page_fetch_check(spark, sf_dir):
+    k = F.col("page_id")
+    pages = table(spark, sf_dir, "pages")
+    status = F.when(k % 7 == 0, 404).otherwise(200)
+    content_type = F.when(F.col("url").contains("?"), F.lit("Text/HTML; charset=utf-8")).otherwise("application/pdf")
+    length = F.when(k % 5 == 0, 0).otherwise(F.length("html"))
+    wanted = pages.select("page_id", F.col("url").alias("target"), landed.fetch_check(status, content_type, length).alias("reason"))
+    existing = pages.where(k % 11 == 0).select(F.col("url").alias("target"), F.when(k % 2 == 0, 0).otherwise(1).alias("length"))
+    return landed.to_fetch(wanted, existing).select("page_id", "reason")
+
+
+def normalise_props(spark, sf_dir):
+    """Numbers under either of two names, or absent."""
+    k = F.col("event_id")
+    props = F.when(k % 3 == 1, F.replace("props", F.lit('"k"'), F.lit('"key"'))).when(k % 3 == 2, F.lit("{}")).otherwise(F.col("props"))
+    return table(spark, sf_dir, "events").select("event_id", extraction.pick_number(props, ["k", "key"]).alias("k"))
+
+
+_BOUNDS = "b AS (SELECT CAST(min(o_orderdate) AS DATE) AS f, CAST(max(o_orderdate) AS DATE) AS l FROM orders)"
+
+
+def _chunks_sql(days):
+    return f"""{_BOUNDS}, c AS (
+      SELECT CAST(i AS INTEGER) AS chunk, f + CAST(i * {days} AS INTEGER) AS chunk_begin,
+        least(f + CAST(i * {days} + {days - 1} AS INTEGER), l) AS chunk_end
+      FROM b, range(2000) r(i) WHERE f + CAST(i * {days} AS INTEGER) <= l),
+    t AS (SELECT chunk, chunk_begin, chunk_end, count(o_orderkey) AS total FROM c LEFT JOIN orders
+      ON CAST(o_orderdate AS DATE) BETWEEN chunk_begin AND chunk_end GROUP BY ALL)"""
+
+
+QUERIES = {
+    "parse_envelope": (
+        parse_envelope,
+        """WITH i AS (SELECT o_orderkey AS k, n FROM orders, (VALUES (1), (2)) v(n)
+          WHERE o_orderkey % 4 IN (0, 1) OR (o_orderkey % 4 = 2 AND n = 1))
+        SELECT k AS o_orderkey, n - 1 AS item_ix, k || '-' || n AS no, '{"a":' || n || '}' AS nested,
+          CAST(k % 100 AS VARCHAR) AS count, k AS total, CAST(greatest(1, ceil(k / 10.0)) AS INTEGER) AS pages FROM i""",
+    ),
+    "classify_events": (
+        classify_events,
+        """WITH e AS (SELECT event_type, CAST(props ->> '$.k' AS BIGINT) AS k FROM events)
+        SELECT event_type, CASE WHEN k % 13 = 0 OR k % 7 = 0 OR event_type = 'error' THEN 'transient'
+            WHEN k % 10 = 0 THEN 'range_error' WHEN k % 10 = 5 THEN 'error' WHEN k % 10 = 6 THEN 'transient' ELSE 'ok' END AS class,
+          count(*) AS responses FROM e GROUP BY ALL""",
+    ),
+    "date_chunks": (date_chunks, f"WITH {_chunks_sql(28)} SELECT chunk, chunk_begin, chunk_end FROM c"),
+    "plan_pages": (
+        plan_pages,
+        f"""WITH {_chunks_sql(28)} SELECT chunk, chunk_begin, chunk_end, total, CAST(p AS INTEGER) AS page
+        FROM t, range(1, 100000) r(p) WHERE p <= greatest(1, ceil(total / 100.0))""",
+    ),
+    "plan_jobs": (
+        plan_jobs,
+        f"""WITH {_chunks_sql(28)}, j AS (
+          SELECT n_name AS institution, business_type, chunk, chunk_begin, chunk_end
+          FROM nation, (SELECT DISTINCT c_mktsegment AS business_type FROM customer), c)
+        SELECT *, '{{"institution":"' || institution || '","business_type":"' || business_type || '","chunk":' || chunk
+          || ',"chunk_begin":"' || chunk_begin || '","chunk_end":"' || chunk_end || '"}}' AS job_id FROM j""",
+    ),
+    "split_chunk": (
+        split_chunk,
+        f"""WITH {_chunks_sql(30)}, s AS (
+          SELECT *, total > (SELECT avg(total) FROM t) AND chunk_end > chunk_begin AS split,
+            CAST(chunk_end - chunk_begin + 1 AS INTEGER) AS days FROM t),
+        h AS (SELECT *, CASE WHEN days > 28 THEN 28 ELSE days // 2 END AS lefts FROM s)
+        SELECT chunk, total, chunk_begin, chunk_end, 0 AS depth FROM h WHERE NOT split
+        UNION ALL SELECT chunk, total, chunk_begin, chunk_begin + CAST(lefts - 1 AS INTEGER), 1 FROM h WHERE split
+        UNION ALL SELECT chunk, total, chunk_begin + CAST(lefts AS INTEGER), chunk_end, 1 FROM h WHERE split""",
+    ),
+    "resume_pending": (
+        resume_pending,
+        """SELECT DISTINCT CAST(ts AS DATE) AS day, event_type FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-15'""",
+    ),
+    "split_dead_letter": (
+        split_dead_letter,
+        """SELECT event_id, event_type, value, CASE WHEN event_type = 'error'
+          THEN 'value ' || CAST(floor(value) AS BIGINT) ELSE '-' END AS reason FROM events""",
+    ),
+    "page_fetch_check": (
+        page_fetch_check,
+        """SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'HTTP 404' WHEN instr(url, '?') > 0 THEN 'html'
+          WHEN page_id % 5 = 0 OR length(html) = 0 THEN 'empty' END AS reason
+        FROM pages WHERE NOT (page_id % 11 = 0 AND page_id % 2 = 1)""",
+    ),
+    "normalise_props": (
+        normalise_props,
+        """SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 0 ELSE CAST(props ->> '$.k' AS BIGINT) END AS k FROM events""",
+    ),
+}
