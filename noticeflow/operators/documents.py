@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from ..functions.names import file_extension
 from ..functions.text import BULLET, count_bullets, markdown_table, markup_text
@@ -292,6 +293,26 @@ def expand_archives(files: DataFrame) -> DataFrame:
     )
 
 
+_ARROW_PARSED = pa.struct(
+    [("blocks", pa.list_(_ARROW_BLOCK)), ("stats", _ARROW_MANIFEST.field("stats").type), ("error", _TEXT)]
+)
+
+
+@F.arrow_udf(from_arrow_type(_ARROW_PARSED))
+def section_blocks(xml: pa.Array) -> pa.Array:
+    """(blocks, stats, error) of one section given as XML text."""
+    parsed = []
+    for text in xml:
+        blocks: list[dict] = []
+        stats = dict.fromkeys(_STAT_NAMES, 0) | {"sections": 1}
+        try:
+            _walk(ET.fromstring(text.as_py()), None, blocks, stats)
+            parsed.append({"blocks": blocks, "stats": stats, "error": None})
+        except (DocumentError, ET.ParseError, TypeError) as error:
+            parsed.append({"blocks": None, "stats": None, "error": str(error)})
+    return pa.array(parsed, type=_ARROW_PARSED)
+
+
 # ---- blocks and text, inside the JVM
 
 

@@ -95,8 +95,9 @@ def _item(item: Column) -> Column:
 def normalise_keys(raw: Column | str) -> Column:
     """Extraction struct from JSON text in any of the accepted spellings; null if malformed."""
     variant = F.try_parse_json(raw)
-    overview_type = EXTRACTION["사업개요"].dataType.simpleString()
-    empty = F.struct(*[F.lit("").alias(n) for n in EXTRACTION["사업개요"].dataType.names])
+    fields = EXTRACTION["사업개요"].dataType.names
+    overview_type = "struct<" + ",".join(f"`{n}`:string" for n in fields) + ">"
+    empty = F.struct(*[F.lit("").alias(n) for n in fields])
     result = F.struct(
         F.coalesce(_first(variant, OVERVIEW, overview_type), empty).alias("사업개요"),
         _text(variant, ID_RULE).alias("ID부여규칙"),

@@ -1 +1,191 @@
-QUERIES = {}
+"""Document blocks, tables, Markdown and counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from noticeflow.functions import text
+from noticeflow.operators import documents as docs, positions, reports
+from noticeflow.operators.notices import natural_order
+
+from .tables import NOTICES_SQL, notices, table
+from .texts import PAGE_TEXT
+
+
+def page_blocks(spark, sf_dir):
+    blocks = docs.html_blocks("html")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.posexplode(blocks).alias("pos", "_b"))
+    return pages.select("page_id", "pos", "_b.kind", F.md5("_b.text").alias("digest"))
+
+
+def page_block_stats(spark, sf_dir):
+    return docs.page_block_stats(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+def page_markdown(spark, sf_dir):
+    blocks = F.transform(
+        docs.html_blocks("html"),
+        lambda b: F.struct(
+            F.lit("").alias("section"),
+            F.lit("paragraph").alias("kind"),
+            b["text"].alias("text"),
+            F.lit(None).cast("array<array<string>>").alias("rows"),
+        ),
+    )
+    shown = F.filter(blocks, lambda b: b["text"] != "")
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(docs.to_markdown(shown)).alias("digest"))
+
+
+def notice_xml(spark, sf_dir):
+    """One section per notice: a paragraph, and a table with column and row spans."""
+    k = F.col("number")
+    cell = lambda value, attributes="": F.concat(
+        F.lit(f"<hp:tc {attributes}><hp:p><hp:t>"), value, F.lit("</hp:t></hp:p></hp:tc>")
+    )
+    row = lambda *cells: F.concat(F.lit("<hp:tr>"), *cells, F.lit("</hp:tr>"))
+    name = text.html_escape(F.concat("business_type", F.lit(" & <"), "institution", F.lit(">|")))
+    span = F.concat(
+        F.lit('<hp:tc rowSpan="'), 1 + k % 2, F.lit('"><hp:p><hp:t>'), "mode", F.lit("</hp:t></hp:p></hp:tc>")
+    )
+    last = F.when(k % 2 == 1, row(cell(F.lit("b")), cell(F.lit("2")))).otherwise(
+        row(cell(F.lit("-")), cell(F.lit("b")), cell(F.lit("2")))
+    )
+    xml = F.concat(
+        F.lit('<hp:sec xmlns:hp="urn:h"><hp:p><hp:t>'), "title", F.lit("</hp:t><hp:t>◦one◦  two</hp:t></hp:p><hp:tbl>"),
+        row(cell(name, 'colSpan="2"'), cell(F.lit("n"))), row(span, cell(F.lit("a")), cell(k.cast("string"))), last,
+        F.lit("</hp:tbl></hp:sec>"),
+    )
+    return notices(spark, sf_dir).select("number", xml.alias("xml"))
+
+
+def grid_fill(spark, sf_dir):
+    parsed = notice_xml(spark, sf_dir).select("number", docs.section_blocks("xml").alias("p"))
+    return parsed.select(
+        "number",
+        docs.to_markdown(F.col("p.blocks")).alias("markdown"),
+        "p.stats.tables", "p.stats.rows", "p.stats.cells", "p.stats.bullets",
+    )
+
+
+def document_blocks(spark, sf_dir):
+    parsed = notice_xml(spark, sf_dir).select("number", docs.section_blocks("xml").alias("p"))
+    blocks = docs.document_blocks(parsed.select("number", "p.blocks"), ["number"])
+    return blocks.select("number", "pos", "kind", F.length("text").alias("chars"))
+
+
+def grid_columns(spark, sf_dir):
+    """Cells of a table row: the lines of one order and slot."""
+    cells = table(spark, sf_dir, "lineitem").withColumn("col_span", (1 + F.col("l_quantity") % 3).cast("int"))
+    order = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
+    placed = positions.grid_columns(cells, ["l_orderkey", "l_linenumber"], order)
+    return placed.select("l_orderkey", "l_linenumber", *order, "col_span", "start_col")
+
+
+def kind_summary(spark, sf_dir):
+    kind = F.when(F.col("lang") == "en", "hwpx").when(F.col("lang") == "fr", "pdf").otherwise("skipped")
+    manifest = table(spark, sf_dir, "documents").select(
+        "source", kind.alias("kind"), F.when(~F.col("lang").isin("en", "fr"), F.col("lang")).alias("reason")
+    )
+    return reports.kind_summary(manifest, ["source"])
+
+
+def route_documents(spark, sf_dir):
+    """Routes by extension over page and part names."""
+    k = F.col("p_partkey")
+    extension = F.element_at(F.array(*map(F.lit, (".hwpx", ".PDF", ".Zip", ".hwp", ".xlsx", ""))), (k % 6 + 1).cast("int"))
+    name = F.concat(F.lit("dir.d/"), F.replace("p_name", F.lit(" "), F.lit("_")), extension)
+    return table(spark, sf_dir, "part").select("p_partkey", docs.route(name).alias("route"))
+
+
+def estimate_tokens(spark, sf_dir):
+    binary = F.col("lang") == "fr"
+    chars = reports.document_chars(F.when(~binary, F.col("text")), F.octet_length("text"))
+    return reports.estimate_tokens(table(spark, sf_dir, "documents"), chars, ["source"])
+
+
+def natural_sort(spark, sf_dir):
+    """Sources src0 .. src19 in numeric order, as positions."""
+    sources = table(spark, sf_dir, "documents").select("source").distinct()
+    return positions.running(sources, [], natural_order("source"), "pos")
+
+
+_XML_TITLE = "title || ' ◦ one ◦ two'"
+
+_BLOCKS_SQL = r"""
+  WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html,
+      '(?is)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>', ' ', 'g'),
+      '(?i)<(h1|p|li)(?:\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'),
+      '(?i)</(?:h1|p|li|ul|nav|div|article|footer|body|html)>', chr(3), 'g') AS html FROM pages),
+  s AS (SELECT page_id, string_split(html, chr(1))[2:] AS l FROM p),
+  b AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS piece FROM s),
+  c AS (SELECT page_id, pos, lower(string_split(piece, chr(2))[1]) AS kind,
+      string_split(regexp_replace(piece, '^[^' || chr(2) || ']*' || chr(2), ''), chr(3))[1] AS html FROM b)
+"""
+_BLOCK_TEXT = (
+    rf"trim(regexp_replace(regexp_replace({PAGE_TEXT}, '[\t\r\n ]+', ' ', 'g'), ' *([◦•]) *', ' \1 ', 'g'), ' ')"
+)
+
+QUERIES = {
+    "page_blocks": (
+        page_blocks,
+        f"{_BLOCKS_SQL} SELECT page_id, pos, kind, md5({_BLOCK_TEXT}) AS digest FROM c",
+    ),
+    "page_block_stats": (
+        page_block_stats,
+        """SELECT page_id, len(regexp_extract_all(html, '<h1[ >]')) AS headings, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs,
+          len(regexp_extract_all(html, '<li[ >]')) AS items, len(regexp_extract_all(html, '<a ')) AS links,
+          length(html) - length(replace(html, '◦', '')) AS bullets FROM pages""",
+    ),
+    "page_markdown": (
+        page_markdown,
+        f"""{_BLOCKS_SQL}, t AS (SELECT page_id, pos, {_BLOCK_TEXT} AS t FROM c)
+        SELECT page_id, md5(string_agg(t, chr(10) || chr(10) ORDER BY pos) || chr(10)) AS digest FROM t WHERE t <> '' GROUP BY page_id""",
+    ),
+    "grid_fill": (
+        grid_fill,
+        rf"""WITH n AS (SELECT *, '| ' || business_type || ' & <' || institution || '>\|' AS h FROM ({NOTICES_SQL}))
+        SELECT number, {_XML_TITLE} || chr(10) || chr(10) || h || ' ' || h || ' | n |' || chr(10) || '| --- | --- | --- |' || chr(10)
+          || '| ' || mode || ' | a | ' || number || ' |' || chr(10)
+          || '| ' || CASE WHEN number % 2 = 1 THEN mode ELSE '-' END || ' | b | 2 |' || chr(10) AS markdown,
+          1 AS tables, 3 AS rows, CASE WHEN number % 2 = 1 THEN 7 ELSE 8 END AS cells, 2 AS bullets FROM n""",
+    ),
+    "document_blocks": (
+        document_blocks,
+        rf"""WITH n AS (SELECT *, '| ' || business_type || ' & <' || institution || '>\|' AS h FROM ({NOTICES_SQL}))
+        SELECT number, 0 AS pos, 'paragraph' AS kind, CAST(length({_XML_TITLE}) AS INTEGER) AS chars FROM n
+        UNION ALL
+        SELECT number, 1, 'table', CAST(length(h || ' ' || h || ' | n |') + length('| --- | --- | --- |') + 3
+          + length('| ' || mode || ' | a | ' || number || ' |')
+          + length('| ' || CASE WHEN number % 2 = 1 THEN mode ELSE '-' END || ' | b | 2 |') AS INTEGER) FROM n""",
+    ),
+    "grid_columns": (
+        grid_columns,
+        """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice,
+            CAST(1 + l_quantity % 3 AS INTEGER) AS col_span FROM lineitem)
+        SELECT *, CAST(coalesce(sum(col_span) OVER (PARTITION BY l_orderkey, l_linenumber
+          ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_col FROM c""",
+    ),
+    "kind_summary": (
+        kind_summary,
+        """SELECT source, count(*) FILTER (lang = 'en') AS hwpx, count(*) FILTER (lang = 'fr') AS pdf,
+          count(*) FILTER (lang NOT IN ('en', 'fr')) AS skipped FROM documents GROUP BY source""",
+    ),
+    "route_documents": (
+        route_documents,
+        """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'convert' WHEN 1 THEN 'pass' WHEN 2 THEN 'expand' ELSE 'skip' END AS route
+        FROM part""",
+    ),
+    "estimate_tokens": (
+        estimate_tokens,
+        """WITH d AS (SELECT source, count(*) AS documents, CAST(sum(CASE WHEN lang = 'fr' THEN ceil(strlen(text) / 2.0)
+            ELSE length(text) END) AS BIGINT) AS chars FROM documents GROUP BY source)
+        SELECT source, documents, chars, CAST(ceil(chars / 1.2) AS BIGINT) AS tokens,
+          round(ceil(chars / 1.2) / 1000000 * 5 + documents * 0.08, 6) AS cost FROM d""",
+    ),
+    "natural_sort": (
+        natural_sort,
+        """SELECT source, row_number() OVER (ORDER BY CAST(regexp_extract(source, '[0-9]+') AS INTEGER)) AS pos
+        FROM (SELECT DISTINCT source FROM documents)""",
+    ),
+}
