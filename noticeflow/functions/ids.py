@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, strip_ws
+from .text import _col, let, strip_ws
 
 # Id patterns. No word boundary is used, because ids are often glued to Hangul.
 STRICT_ID = r"ECR-\d{3}(?!\d)"
@@ -42,23 +42,25 @@ def id_filter(ids: Column) -> Column:
     return F.array_distinct(F.filter(trimmed, lambda i: i.rlike(ECR_PREFIX)))
 
 
-def excerpt_window(text: Column | str, identifier: Column, missing: Column | None = None) -> Column:
-    """Text around the last place an id occurs; a marker when it does not occur."""
+def excerpt_window(
+    text: Column | str, identifier: Column, backwards: Column | None = None
+) -> Column:
+    """Text around the last place an id occurs; a marker when it does not occur.
+
+    ``backwards`` is the reversed text, for callers that cut several windows from one text.
+    """
     source = _col(text)
-    at = _last_index(source, identifier)
-    start = F.greatest(at - BEFORE_ID, F.lit(0))
-    stop = F.least(at + FROM_ID, F.length(source))
-    if missing is None:
-        missing = F.concat(F.lit("["), identifier, F.lit(" 원문을 찾지 못함]"))
-    return F.when(at < 0, missing).otherwise(F.substring(source, start + 1, stop - start))
-
-
-def _last_index(text: Column, part: Column) -> Column:
-    """0-based index of the last occurrence, negative for none."""
-    reversed_at = F.position(F.reverse(part), F.reverse(text))
-    return F.when(reversed_at == 0, F.lit(-1)).otherwise(
-        F.length(text) - reversed_at + 1 - F.length(part)
-    )
+    backwards = F.reverse(source) if backwards is None else backwards
+    missing = F.concat(F.lit("["), identifier, F.lit(" 원문을 찾지 못함]"))
+
+    def cut(found: Column) -> Column:
+        # ``found`` counts from the end of the text, 1-based, to the end of the id.
+        at = F.length(source) - found + 1 - F.length(identifier)
+        start = F.greatest(at - BEFORE_ID, F.lit(0))
+        window = F.substring(source, start + 1, at + FROM_ID - start)
+        return F.when(found == 0, missing).otherwise(window)
+
+    return let(F.position(F.reverse(identifier), backwards), cut)
 
 
 def head(text: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, strip_ws
+from .text import _col, let, strip_ws
 
 # Label of an unnamed attachment, query parameters that carry a name or a
 # number, and extensions that are pages rather than files.
@@ -24,9 +24,24 @@ def url_guard(url: Column | str, strict: bool = False) -> Column:
     return _col(url).rlike(URL_GUARD_STRICT if strict else URL_GUARD)
 
 
-def _parameter(url: Column, name: str) -> Column:
-    raw = F.regexp_extract(url, rf"\?(?:[^#]*&)?{name}=([^&#]*)", 1)
-    return F.nullif(raw, F.lit(""))
+def _parameter(url: Column, names: tuple[str, ...]) -> Column:
+    """Raw value of the first named query parameter that is not empty."""
+    values = [F.regexp_extract(url, rf"\?(?:[^#]*&)?{name}=([^&#]*)", 1) for name in names]
+    return F.try_element_at(F.filter(F.array(*values), lambda v: v != ""), F.lit(1))
+
+
+def _path_name(url: Column) -> Column:
+    """Decoded last path part where it names a file."""
+
+    def decode(last: Column) -> Column:
+        # A plus sign stays in a path; bytes that are no UTF-8 make the escape invalid there.
+        decoded = F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
+        return F.when(~decoded.contains("\ufffd"), decoded)
+
+    last = F.regexp_extract(url, r"^[^:]+://[^/?#]*(?:[^?#]*/)?([^/?#]+)/*(?:[?#]|$)", 1)
+    is_file = lambda part: part.contains(".") & ~part.rlike(PAGE_EXTENSIONS)
+    # An array of at most one entry: an invalid escape gives a null entry, no file name gives none.
+    return let(last, lambda part: F.when(is_file(part), F.array(decode(part))))
 
 
 def guess_name(url: Column | str, index: Column) -> Column:
@@ -36,22 +51,22 @@ def guess_name(url: Column | str, index: Column) -> Column:
     An invalid address or escape gives the label with the index.
     """
     address = _col(url)
-    ordinal = F.concat(F.lit(ATTACHMENT_LABEL + " "), (index + 1).cast("string"))
-    named = F.coalesce(*[_parameter(address, p) for p in NAME_PARAMETERS])
-    path = F.regexp_extract(address, r"^[^:]+://[^/?#]*([^?#]*)", 1)
-    last = F.regexp_extract(path, "([^/]+)/*$", 1)
-    is_file = last.contains(".") & ~last.rlike(PAGE_EXTENSIONS)
-    # A plus sign stays in a path; bytes that are no UTF-8 make the escape invalid there.
-    decoded = F.try_url_decode(F.replace(last, F.lit("+"), F.lit("%2B")))
-    path_name = F.when(~decoded.contains("\ufffd"), decoded)
-    number = F.coalesce(*[_parameter(address, p) for p in NUMBER_PARAMETERS])
-    numbered = F.concat(F.lit(ATTACHMENT_LABEL + " "), F.try_url_decode(number))
-    name = (
-        F.when(named.isNotNull(), F.try_url_decode(named))
-        .when(is_file, path_name)
-        .when(number.isNotNull(), numbered)
+    label = F.lit(ATTACHMENT_LABEL + " ")
+
+    def numbered() -> Column:
+        return F.concat(label, F.try_url_decode(_parameter(address, NUMBER_PARAMETERS)))
+
+    def from_path() -> Column:
+        return let(
+            _path_name(address), lambda found: F.when(found.isNotNull(), found[0]).otherwise(numbered())
+        )
+
+    named = let(
+        _parameter(address, NAME_PARAMETERS),
+        lambda raw: F.when(raw.isNotNull(), F.try_url_decode(raw)).otherwise(from_path()),
     )
-    return F.coalesce(F.when(address.rlike(_VALID_URL), name), ordinal)
+    ordinal = F.concat(label, (index + 1).cast("string"))
+    return F.coalesce(F.when(address.rlike(_VALID_URL), named), ordinal)
 
 
 def base_name(path: Column | str) -> Column:

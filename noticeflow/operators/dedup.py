@@ -29,7 +29,7 @@ def keep_first(
     blank_key: str = "keep",
     copies: str | None = None,
 ) -> DataFrame:
-    """The first row of each key by ``order``.
+    """The first row of each key by ``order``, which must be unique.
 
     Rows with a blank key are all kept or all dropped. ``copies`` names a column that counts
     the rows dropped in favour of the kept one.
@@ -38,18 +38,16 @@ def keep_first(
         raise ValueError(f"blank_key: {blank_key}")
     blank = F.coalesce(F.col(key), F.lit("")) == ""
     rest = [c for c in df.columns if c != key]
+    if blank_key == "drop":
+        df = df.where(~blank)
+    # Rows without a key are groups of their own, named by their place in the order.
+    own = F.when(blank, _order(order)).alias("_own")
     aggregates = [F.min_by(F.struct(*rest), _order(order)).alias("_row")]
     if copies:
         aggregates.append((F.count(F.lit(1)) - 1).alias(copies))
-    first = df.where(~blank).groupBy(key).agg(*aggregates)
+    first = df.groupBy(key, *([own] if blank_key == "keep" else [])).agg(*aggregates)
     columns = [F.col(c) if c == key else F.col("_row")[c].alias(c) for c in df.columns]
-    first = first.select(*columns, *([copies] if copies else []))
-    if blank_key == "drop":
-        return first
-    unkeyed = df.where(blank)
-    if copies:
-        unkeyed = unkeyed.withColumn(copies, F.lit(0).cast("long"))
-    return first.unionByName(unkeyed)
+    return first.select(*columns, *([copies] if copies else []))
 
 
 def latest_per_key(df: DataFrame, key: Keys, date: str, arrival: str) -> DataFrame:

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, DataType, IntegerType, StructField, StructType
 
 from ..functions.ids import PART_SEPARATOR, PROMPT_ID, excerpt_window, extract_ids, head
-from ..functions.text import non_empty
+from ..functions.text import let, non_empty
 from ..spec import EXTRACTION, IDS_PER_REQUEST_HOSTED, OPTIONAL_EXTRACTION_FIELDS, RETRY_ROUNDS
 from .dedup import last_write_wins
 from .positions import running
@@ -94,46 +94,48 @@ def _item(item: Column) -> Column:
 
 def normalise_keys(raw: Column | str) -> Column:
     """Extraction struct from JSON text in any of the accepted spellings; null if malformed."""
-    variant = F.try_parse_json(raw)
     fields = EXTRACTION["사업개요"].dataType.names
     overview_type = "struct<" + ",".join(f"`{n}`:string" for n in fields) + ">"
     empty = F.struct(*[F.lit("").alias(n) for n in fields])
-    result = F.struct(
-        F.coalesce(_first(variant, OVERVIEW, overview_type), empty).alias("사업개요"),
-        _text(variant, ID_RULE).alias("ID부여규칙"),
-        _first(variant, DECLARED, "int").alias("요구사항수"),
-        F.transform(_list(variant, REQUIREMENTS), _requirement).alias("요구사항목록"),
-        F.transform(_list(variant, DETAILS), _item).alias("ecr"),
-        _list(variant, MISSING, "string").alias("누락"),
-        F.transform(_list(variant, OTHER), _requirement).alias("기타요구사항"),
-    )
-    return F.when(variant.isNotNull(), result)
+
+    def result(variant: Column) -> Column:
+        return F.struct(
+            F.coalesce(_first(variant, OVERVIEW, overview_type), empty).alias("사업개요"),
+            _text(variant, ID_RULE).alias("ID부여규칙"),
+            _first(variant, DECLARED, "int").alias("요구사항수"),
+            F.transform(_list(variant, REQUIREMENTS), _requirement).alias("요구사항목록"),
+            F.transform(_list(variant, DETAILS), _item).alias("ecr"),
+            _list(variant, MISSING, "string").alias("누락"),
+            F.transform(_list(variant, OTHER), _requirement).alias("기타요구사항"),
+        )
+
+    return let(F.try_parse_json(raw), lambda v: F.when(v.isNotNull(), result(v)))
 
 
 def pick_number(raw: Column | str, names: Sequence[str], default: int = 0) -> Column:
     """A number from JSON text under the first spelling present."""
-    return F.coalesce(_first(F.try_parse_json(raw), names, "long"), F.lit(default).cast("long"))
+    found = let(F.try_parse_json(raw), lambda v: _first(v, names, "long"))
+    return F.coalesce(found, F.lit(default).cast("long"))
 
 
 def conforms(raw: Column | str, schema: DataType = EXTRACTION) -> Column:
     """Whether JSON text has exactly the schema's keys and types."""
-    return F.coalesce(_conforms(F.try_parse_json(raw), schema), F.lit(False))
+    checked = let(F.try_parse_json(raw), lambda v: _conforms(v, schema))
+    return F.coalesce(checked, F.lit(False))
 
 
 def _conforms(variant: Column, schema: DataType) -> Column:
     kind = F.schema_of_variant(variant)
     if isinstance(schema, StructType):
-        keys = F.map_keys(F.try_variant_get(variant, "$", "map<string,variant>"))
         required = [n for n in schema.names if n not in OPTIONAL_EXTRACTION_FIELDS]
-        checks = F.forall(keys, lambda k: k.isin(schema.names)) & (
-            F.size(F.array_intersect(keys, F.array(*map(F.lit, required)))) == len(required)
+        checks = let(
+            F.map_keys(F.try_variant_get(variant, "$", "map<string,variant>")),
+            lambda keys: F.forall(keys, lambda k: k.isin(schema.names))
+            & (F.size(F.array_intersect(keys, F.array(*map(F.lit, required)))) == len(required)),
         )
         for field in schema.fields:
             value = F.try_variant_get(variant, f"$.{field.name}", "variant")
-            fits = _conforms(value, field.dataType)
-            if field.name in OPTIONAL_EXTRACTION_FIELDS:
-                fits = value.isNull() | fits
-            checks = checks & fits
+            checks = checks & let(value, _field_check(field))
         return F.coalesce(checks, F.lit(False))
     if isinstance(schema, ArrayType):
         items = F.try_variant_get(variant, "$", "array<variant>")
@@ -145,6 +147,12 @@ def _conforms(variant: Column, schema: DataType) -> Column:
     return kind == "STRING"
 
 
+def _field_check(field: StructField):
+    if field.name in OPTIONAL_EXTRACTION_FIELDS:
+        return lambda value: value.isNull() | _conforms(value, field.dataType)
+    return lambda value: _conforms(value, field.dataType)
+
+
 # ---- requests
 
 
@@ -158,7 +166,10 @@ def chunk_array(ids: Column, size: int) -> Column:
 
 def request_source(text: Column, ids: Column) -> Column:
     """Trimmed source of one request: the windows around its ids."""
-    windows = F.transform(ids, lambda i: excerpt_window(text, i))
+    windows = let(
+        F.reverse(text),
+        lambda backwards: F.transform(ids, lambda i: excerpt_window(text, i, backwards)),
+    )
     return F.array_join(windows, PART_SEPARATOR)
 
 

@@ -46,30 +46,45 @@ def verification(expected: Column, declared: Column, items: Column, markdown: Co
     array of (id, detail), ``markdown`` the text of the documents. All are bound to one result,
     so the checks stay inside the row.
     """
-    wanted = id_filter(expected)
     ids = F.transform(items, lambda i: strip_ws(i["id"]))
     actual = F.array_distinct(F.filter(ids, lambda i: i != ""))
-    missing = F.array_except(wanted, actual)
+    return let(
+        id_filter(expected),
+        lambda wanted: let(
+            actual, lambda found: _verify(wanted, found, declared, items, markdown)
+        ),
+    )
+
+
+def _verify(wanted: Column, actual: Column, declared: Column, items: Column, markdown: Column) -> Column:
+    none = F.array().cast("array<string>")
     counts = F.concat(
         F.lit(COUNT_DIFFERS[0]), declared.cast("string"), F.lit(COUNT_DIFFERS[1]), F.size(wanted).cast("string")
     )
-    differs = F.when(declared != F.size(wanted), F.array(counts))
-    errors = F.concat(
-        _listed(MISSING, missing),
-        _listed(UNEXPECTED, F.array_except(actual, wanted)),
-        F.coalesce(differs, F.array().cast("array<string>")),
-        detail_errors(items, markdown),
-    )
+    differs = F.coalesce(F.when(declared != F.size(wanted), F.array(counts)), none)
     spelled = F.array_distinct(F.transform(wanted, hyphenate))
     absent = F.array_except(spelled, loose_ids(markdown))
-    return F.struct(
-        (F.size(errors) == 0).alias("verified"),
-        errors.alias("errors"),
-        _listed(ID_NOT_IN_TEXT, absent).alias("warnings"),
-        wanted.alias("expected_ids"),
-        actual.alias("actual_ids"),
-        missing.alias("missing"),
-    )
+
+    def result(missing: Column) -> Column:
+        errors = F.concat(
+            _listed(MISSING, missing),
+            let(F.array_except(actual, wanted), lambda u: _listed(UNEXPECTED, u)),
+            differs,
+            detail_errors(items, markdown),
+        )
+        return let(
+            errors,
+            lambda e: F.struct(
+                (F.size(e) == 0).alias("verified"),
+                e.alias("errors"),
+                let(absent, lambda a: _listed(ID_NOT_IN_TEXT, a)).alias("warnings"),
+                wanted.alias("expected_ids"),
+                actual.alias("actual_ids"),
+                missing.alias("missing"),
+            ),
+        )
+
+    return let(F.array_except(wanted, actual), result)
 
 
 def verify_results(results: DataFrame, texts: DataFrame, keys: list[str]) -> DataFrame:

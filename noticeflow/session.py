@@ -51,3 +51,13 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
     fs, jpath = hadoop_path(spark, path)
     fs.mkdirs(jpath)
     fs.deleteOnExit(jpath)
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out over all task slots when it has fewer splits than slots.
+
+    For costly work per row on a few small files. A large input has more splits than slots and
+    is left as it is. Filters and column pruning still reach the scan.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let, non_empty
 from ..spec import PAGE_SIZE
 
 # The words by which a message tells that the requested range is too long, and
@@ -27,14 +28,20 @@ def envelope_items(raw: Column) -> Column:
     ``items`` may be a list, an object holding a list or a single object under ``item``, or
     absent. Nested values stay JSON text.
     """
-    items = _get(F.try_parse_json(raw), "$.response.body.items", "variant")
-    one = _get(items, "$.item", "map<string,string>")
-    return F.coalesce(
-        _get(items, "$", "array<map<string,string>>"),
-        _get(items, "$.item", "array<map<string,string>>"),
-        F.when(one.isNotNull(), F.array(one)),
-        F.array().cast("array<map<string,string>>"),
-    )
+    none = F.array().cast("array<map<string,string>>")
+
+    def listed(items: Column) -> Column:
+        one = let(
+            _get(items, "$.item", "map<string,string>"), lambda i: F.when(i.isNotNull(), F.array(i))
+        )
+        return F.coalesce(
+            _get(items, "$", "array<map<string,string>>"),
+            _get(items, "$.item", "array<map<string,string>>"),
+            one,
+            none,
+        )
+
+    return let(_get(F.try_parse_json(raw), "$.response.body.items", "variant"), listed)
 
 
 def parse_envelope(df: DataFrame, raw: str = "body") -> DataFrame:
@@ -45,13 +52,19 @@ def parse_envelope(df: DataFrame, raw: str = "body") -> DataFrame:
 
 def envelope_totals(raw: Column) -> Column:
     """Declared ``total`` and ``page_size`` of a response."""
-    variant = F.try_parse_json(raw)
-    total = _get(variant, "$.response.body.totalCount", "string").try_cast("long")
-    size = _get(variant, "$.response.body.numOfRows", "string").try_cast("int")
-    return F.struct(
-        F.coalesce(total, F.lit(0)).alias("total"),
-        F.coalesce(F.nullif(size, F.lit(0)), F.lit(PAGE_SIZE)).alias("page_size"),
-    )
+    return let(
+        F.try_parse_json(raw),
+        lambda v: F.struct(
+            F.coalesce(_number(v, "$.response.body.totalCount"), F.lit(0).cast("long")).alias("total"),
+            F.coalesce(
+                F.nullif(_number(v, "$.response.body.numOfRows"), F.lit(0)), F.lit(PAGE_SIZE)
+            ).cast("int").alias("page_size"),
+        ),
+    )
+
+
+def _number(variant: Column, path: str) -> Column:
+    return _get(variant, path, "string").try_cast("long")
 
 
 def _retryable(status: Column) -> Column:
@@ -63,31 +76,26 @@ def classify(status: Column, body: Column) -> Column:
 
     A response that is no JSON comes from a gateway on the way and may pass on a repeat.
     """
-    kind = classify_message(status, upstream_status(body), has_body(body), message(body))
-    return F.when(F.coalesce(body, F.lit("")).rlike(JSON_START), kind).otherwise(F.lit(TRANSIENT))
+    text = F.coalesce(body, F.lit(""))
+    kind = let(F.try_parse_json(text), lambda v: _classify_json(status, v, text))
+    return F.when(text.rlike(JSON_START), kind).otherwise(F.lit(TRANSIENT))
 
 
-def classify_message(status: Column, upstream: Column, complete: Column, text: Column) -> Column:
-    """The same from parts that are already columns."""
+def _classify_json(status: Column, variant: Column, text: Column) -> Column:
+    upstream = F.coalesce(_number(variant, "$.upstreamStatus"), F.lit(0))
     return (
-        F.when(_retryable(status) | _retryable(F.coalesce(upstream, F.lit(0))), F.lit(TRANSIENT))
-        .when(complete, F.lit(OK))
-        .when(text.rlike(RANGE_WORDS), F.lit(RANGE_ERROR))
+        F.when(_retryable(status) | _retryable(upstream), F.lit(TRANSIENT))
+        .when(_get(variant, "$.response.body", "variant").isNotNull(), F.lit(OK))
+        .when(_message(variant, text).rlike(RANGE_WORDS), F.lit(RANGE_ERROR))
         .otherwise(F.lit(ERROR))
     )
 
 
-def upstream_status(body: Column) -> Column:
-    return _get(F.try_parse_json(body), "$.upstreamStatus", "string").try_cast("int")
-
-
-def has_body(body: Column) -> Column:
-    return _get(F.try_parse_json(body), "$.response.body", "variant").isNotNull()
+def _message(variant: Column, text: Column) -> Column:
+    return non_empty(_get(variant, "$.response.header.resultMsg", "string"), text)
 
 
 def message(body: Column) -> Column:
     """Header message, else the response itself; a preview when it is not JSON."""
-    header = _get(F.try_parse_json(body), "$.response.header.resultMsg", "string")
-    return F.when(
-        body.rlike(JSON_START), F.coalesce(F.nullif(header, F.lit("")), body)
-    ).otherwise(F.substring(body, 1, PREVIEW_CHARS))
+    found = let(F.try_parse_json(body), lambda v: _message(v, body))
+    return F.when(body.rlike(JSON_START), found).otherwise(F.substring(body, 1, PREVIEW_CHARS))

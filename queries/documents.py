@@ -14,12 +14,12 @@ from .texts import PAGE_TEXT
 
 def page_blocks(spark, sf_dir):
     blocks = docs.html_blocks("html")
-    pages = table(spark, sf_dir, "pages").select("page_id", F.posexplode(blocks).alias("pos", "_b"))
+    pages = table(spark, sf_dir, "pages", spread=True).select("page_id", F.posexplode(blocks).alias("pos", "_b"))
     return pages.select("page_id", "pos", "_b.kind", F.md5("_b.text").alias("digest"))
 
 
 def page_block_stats(spark, sf_dir):
-    return docs.page_block_stats(table(spark, sf_dir, "pages").select("page_id", "html"))
+    return docs.page_block_stats(table(spark, sf_dir, "pages", spread=True).select("page_id", "html"))
 
 
 def page_markdown(spark, sf_dir):
@@ -33,7 +33,7 @@ def page_markdown(spark, sf_dir):
         ),
     )
     shown = F.filter(blocks, lambda b: b["text"] != "")
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(docs.to_markdown(shown)).alias("digest"))
+    return table(spark, sf_dir, "pages", spread=True).select("page_id", F.md5(docs.to_markdown(shown)).alias("digest"))
 
 
 def notice_xml(spark, sf_dir):
@@ -55,7 +55,7 @@ def notice_xml(spark, sf_dir):
         row(cell(name, 'colSpan="2"'), cell(F.lit("n"))), row(span, cell(F.lit("a")), cell(k.cast("string"))), last,
         F.lit("</hp:tbl></hp:sec>"),
     )
-    return notices(spark, sf_dir).select("number", xml.alias("xml"))
+    return notices(spark, sf_dir, spread=True).select("number", xml.alias("xml"))
 
 
 def grid_fill(spark, sf_dir):

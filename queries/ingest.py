@@ -25,7 +25,7 @@ def parse_envelope(spark, sf_dir):
         .otherwise(F.lit("null"))
     )
     body = F.concat(F.lit('{"response":{"header":{},"body":{"totalCount":"'), k, F.lit('","numOfRows":"10","items":'), items, F.lit("}}}"))
-    responses = table(spark, sf_dir, "orders").select("o_orderkey", body.alias("body"))
+    responses = table(spark, sf_dir, "orders", spread=True).select("o_orderkey", body.alias("body"))
     totals = responses.withColumn("totals", envelope.envelope_totals(F.col("body")))
     read = lambda name: F.try_element_at("item", F.lit(name))
     return envelope.parse_envelope(totals).select(

@@ -16,7 +16,7 @@ from .tables import NOTICES_SQL, notices, slots, sql_normalise, table
 ORDER_LINES = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
 
 
-def raw_records(spark, sf_dir):
+def raw_records(spark, sf_dir, spread=False):
     """Orders as records with the published field names of both kinds."""
     k = F.col("o_orderkey")
     key = k.cast("string")
@@ -31,7 +31,7 @@ def raw_records(spark, sf_dir):
     base = "https://files.example/"
     url = lambda *parts: F.concat(F.lit(base), *parts)
     extension = F.element_at(F.array(*map(F.lit, (".hwp", ".hwpx", ".pdf", ".zip"))), (k % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders", spread).select(
         k,
         F.when(~pre, F.concat(F.lit(" "), key)).otherwise("").alias("bidNtceNo"),
         F.when(pre, key).alias("bfSpecRgstNo"),
@@ -85,7 +85,7 @@ FILES_SQL = f"""
 
 
 def mapped(spark, sf_dir, keep=()):
-    raw = raw_records(spark, sf_dir)
+    raw = raw_records(spark, sf_dir, spread=True)
     is_tender = text.strip_ws("bidNtceNo") != ""
     pre = ops.map_notice(raw.where(~is_tender), PRE, F.lit("용역"), keep)
     bid = ops.map_notice(raw.where(is_tender), BID, F.lit("용역"), keep)
@@ -168,7 +168,7 @@ def latest_window(spark, sf_dir):
 
 def keep_first(spark, sf_dir):
     # The digest of a text stands for the text, so texts are not shuffled.
-    keyed = table(spark, sf_dir, "documents").select(
+    keyed = table(spark, sf_dir, "documents", spread=True).select(
         F.sha2(text.normalise_ws("text"), 256).alias("key"), "doc_id"
     )
     return dedup.keep_first(keyed, "key", "doc_id", copies="copies").select("doc_id", "copies")

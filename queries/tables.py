@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from noticeflow.session import spread_scan
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """``spread`` is for queries whose cost lies in work per row, not in reading."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_scan(df) if spread else df
 
-def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def notices(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Orders as notices: mode, number, institution, business_type, title, day."""
-    orders = table(spark, sf_dir, "orders")
+    orders = table(spark, sf_dir, "orders", spread)
     customer = table(spark, sf_dir, "customer")
     nation = table(spark, sf_dir, "nation")
     return (
@@ -40,9 +44,9 @@ NOTICES_SQL = """
 """
 
 
-def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+def slots(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
     """Lineitem with part as attachments or items of a notice."""
-    lineitem = table(spark, sf_dir, "lineitem")
+    lineitem = table(spark, sf_dir, "lineitem", spread)
     part = table(spark, sf_dir, "part")
     return lineitem.join(part, lineitem.l_partkey == part.p_partkey)
 

@@ -12,7 +12,7 @@ from .tables import SQL_WS, slots, sql_normalise, table
 
 def normalise_text(spark, sf_dir):
     squashed = text.squash_ws("text")
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", spread=True).select(
         "doc_id",
         F.md5(text.normalise_ws("text")).alias("normalised"),
         F.md5(squashed).alias("squashed"),
@@ -23,7 +23,7 @@ def normalise_text(spark, sf_dir):
 def bullet_spacing(spark, sf_dir):
     """Sentence ends of the documents written as bullets."""
     marked = F.regexp_replace("text", r"\. +", "◦")
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", spread=True).select(
         "doc_id",
         text.count_bullets(marked).alias("bullets"),
         F.md5(text.bullet_spacing(marked)).alias("spaced"),
@@ -31,7 +31,7 @@ def bullet_spacing(spark, sf_dir):
 
 
 def page_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.markup_text("html")).alias("digest"))
+    return table(spark, sf_dir, "pages", spread=True).select("page_id", F.md5(text.markup_text("html")).alias("digest"))
 
 
 PAGE_TEXT = r"""regexp_replace(html, '<[^>]+>', ' ', 'g')"""
@@ -45,13 +45,13 @@ def decode_entities(spark, sf_dir):
     written = F.concat(
         F.lit("a&#x"), F.lower(F.hex(code)), F.lit(";b&#"), (code + 1).cast("string"), F.lit(";c&#38;lt;d&amp;gt;&#1114112;")
     )
-    return table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem", spread=True).select(
         "l_partkey", text.decode_entities(written).alias("decoded")
     ).distinct()
 
 
 def html_escape(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(text.html_escape("html")).alias("digest"))
+    return table(spark, sf_dir, "pages", spread=True).select("page_id", F.md5(text.html_escape("html")).alias("digest"))
 
 
 def guess_name(spark, sf_dir):
@@ -96,7 +96,7 @@ def _made_ids():
 
 
 def extract_ids(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").withColumn("made", _made_ids())
+    lines = table(spark, sf_dir, "lineitem", spread=True).withColumn("made", _made_ids())
     joined = lambda found: F.array_join(found, " ")
     return lines.select(
         *KEYS,
@@ -111,7 +111,7 @@ KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
 def document_ids(spark, sf_dir):
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(ids.loose_ids("text")).alias("id"))
+    found = table(spark, sf_dir, "documents", spread=True).select("doc_id", F.explode(ids.loose_ids("text")).alias("id"))
     return sets.distinct_ids(found, ["doc_id"], "id")
 
 
@@ -122,7 +122,7 @@ def distinct_ids(spark, sf_dir):
 
 def excerpt_window(spark, sf_dir):
     window = ids.excerpt_window("text", F.lit("the"))
-    return table(spark, sf_dir, "documents").select(
+    return table(spark, sf_dir, "documents", spread=True).select(
         "doc_id", F.length(window).alias("chars"), F.md5(window).alias("digest"), F.md5(ids.head("text")).alias("head")
     )
 
@@ -146,7 +146,7 @@ def join_text(spark, sf_dir):
 
 def text_cells(spark, sf_dir):
     """Cells wrapped as text and read back, also from the older form."""
-    lines = slots(spark, sf_dir)
+    lines = slots(spark, sf_dir, spread=True)
     value = F.when(F.col("l_partkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('="'), "p_name", F.lit(',"')))
     return lines.select(
         *KEYS,
