@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 
 from ..functions.names import file_extension
+from ..functions.nested import explode_rows
 from ..functions.text import BULLET, count_bullets, markdown_table, markup_text
 
 # What archives may hold, how deep and how large they may be.
@@ -122,17 +123,24 @@ def expand(name: str, content: bytes, sequence: str, depth: int = 0) -> Iterator
 
 # ---- document XML
 
+_RUNS = re.compile(r"[\t\r\n ]+")
+_BULLET_RUN = re.compile(" *([◦•]) *")
 
-def _local(tag: str) -> str:
-    return tag.rsplit("}", 1)[-1]
+
+def _parse_xml(text: str | bytes) -> ET.Element:
+    """Element tree with local names: the prefix of document tags does not matter."""
+    root = ET.fromstring(text)
+    for element in root.iter():
+        element.tag = element.tag.rpartition("}")[2]
+    return root
 
 
 def _top(element: ET.Element, *tags: str) -> Iterator[ET.Element]:
     """Outermost descendants with one of the tags, in order."""
     for child in element:
-        if _local(child.tag) in tags:
+        if child.tag in tags:
             yield child
-        else:
+        elif len(child):
             yield from _top(child, *tags)
 
 
@@ -140,20 +148,22 @@ def _pieces(element: ET.Element) -> Iterator[str]:
     """Text of an element without the tables in it."""
     yield element.text or ""
     for child in element:
-        if _local(child.tag) != "tbl":
+        if child.tag != "tbl":
             yield from _pieces(child)
         yield child.tail or ""
 
 
-def _text(element: ET.Element) -> str:
-    """Same rules as ``markup_text``, on parsed XML."""
-    joined = re.sub(r"[\t\r\n ]+", " ", " ".join(_pieces(element)))
-    return re.sub(" *([◦•]) *", r" \1 ", joined).strip()
+def _text(element: ET.Element, tables: list[ET.Element]) -> str:
+    """Same rules as ``markup_text``, on parsed XML; ``tables`` are those in the element."""
+    joined = _RUNS.sub(" ", " ".join(_pieces(element) if tables else element.itertext()))
+    if "◦" in joined or "•" in joined:
+        joined = _BULLET_RUN.sub(r" \1 ", joined)
+    return joined.strip()
 
 
 def _span(cell: ET.Element, name: str) -> int:
     for key, value in cell.attrib.items():
-        if _local(key).lower() == name and value.isdigit():
+        if key.lower() == name and value.isdigit():
             return max(1, int(value))
     return 1
 
@@ -163,57 +173,55 @@ def fill_grid(rows: list[list[tuple[int, int, str]]]) -> list[list[str]]:
 
     A cell starts at the first free column and its text is repeated over its spans.
     """
-    taken: dict[tuple[int, int], str] = {}
-    height = len(rows)
-    width = 0
+    grid: list[list[str | None]] = [[] for _ in rows]
+    filled = 0
     for y, row in enumerate(rows):
         x = 0
         for columns, lines, value in row:
-            while (y, x) in taken:
+            while x < len(grid[y]) and grid[y][x] is not None:
                 x += 1
-            if len(taken) + columns * lines > MAX_GRID_CELLS:
+            filled += columns * lines
+            if filled > MAX_GRID_CELLS:
                 raise DocumentError("table is too large")
-            for dy in range(lines):
-                for dx in range(columns):
-                    taken[y + dy, x + dx] = value
-            height = max(height, y + lines)
+            grid.extend([] for _ in range(y + lines - len(grid)))
+            for line in grid[y : y + lines]:
+                line.extend([None] * (x + columns - len(line)))
+                line[x : x + columns] = [value] * columns
             x += columns
-            width = max(width, x)
-    return [[taken.get((y, x), "") for x in range(width)] for y in range(height)]
+    width = max(map(len, grid), default=0)
+    return [[v or "" for v in line] + [""] * (width - len(line)) for line in grid]
 
 
-def _walk(element: ET.Element, section: str, blocks: list[dict], stats: dict) -> None:
+def _walk(element: ET.Element, section: str | None, blocks: list[dict], stats: dict) -> None:
     """Append paragraph and table blocks; tables nested in a block follow it."""
     for block in _top(element, "p", "tbl"):
-        if _local(block.tag) == "p":
-            text = _text(block)
-            if text:
-                stats["bullets"] += text.count(BULLET)
-                blocks.append({"section": section, "kind": "paragraph", "text": text, "rows": None})
-            nested = list(_top(block, "tbl"))
-        else:
-            nested = _table(block, section, blocks, stats)
+        if block.tag == "tbl":
+            _walk_table(block, section, blocks, stats)
+            continue
+        nested = list(_top(block, "tbl"))
+        text = _text(block, nested)
+        if text:
+            stats["bullets"] += text.count(BULLET)
+            blocks.append({"section": section, "kind": "paragraph", "text": text, "rows": None})
         for table in nested:
             _walk_table(table, section, blocks, stats)
 
 
-def _walk_table(table: ET.Element, section: str, blocks: list[dict], stats: dict) -> None:
-    for nested in _table(table, section, blocks, stats):
-        _walk_table(nested, section, blocks, stats)
-
-
-def _table(table: ET.Element, section: str, blocks: list[dict], stats: dict) -> list[ET.Element]:
+def _walk_table(table: ET.Element, section: str | None, blocks: list[dict], stats: dict) -> None:
     rows, nested = [], []
     for line in _top(table, "tr"):
-        cells = list(_top(line, "tc"))
-        rows.append([(_span(c, "colspan"), _span(c, "rowspan"), _text(c)) for c in cells])
-        stats["cells"] += len(cells)
-        for cell in cells:
-            nested.extend(_top(cell, "tbl"))
+        row = []
+        for cell in _top(line, "tc"):
+            inner = list(_top(cell, "tbl"))
+            row.append((_span(cell, "colspan"), _span(cell, "rowspan"), _text(cell, inner)))
+            nested += inner
+        rows.append(row)
+        stats["cells"] += len(row)
     stats["tables"] += 1
     stats["rows"] += len(rows)
     blocks.append({"section": section, "kind": "table", "text": None, "rows": fill_grid(rows)})
-    return nested
+    for inner in nested:
+        _walk_table(inner, section, blocks, stats)
 
 
 def parse_document(content: bytes) -> tuple[list[dict], dict]:
@@ -225,7 +233,7 @@ def parse_document(content: bytes) -> tuple[list[dict], dict]:
     blocks: list[dict] = []
     for name in sorted(sections, key=lambda n: int(SECTION.match(n)[1])):
         blocks.append({"section": name, "kind": "section", "text": f"<!-- {name} -->", "rows": None})
-        _walk(ET.fromstring(sections[name]), name, blocks, stats)
+        _walk(_parse_xml(sections[name]), name, blocks, stats)
     return blocks, stats
 
 
@@ -306,7 +314,7 @@ def section_blocks(xml: pa.Array) -> pa.Array:
         blocks: list[dict] = []
         stats = dict.fromkeys(_STAT_NAMES, 0) | {"sections": 1}
         try:
-            _walk(ET.fromstring(text.as_py()), None, blocks, stats)
+            _walk(_parse_xml(text.as_py()), None, blocks, stats)
             parsed.append({"blocks": blocks, "stats": stats, "error": None})
         except (DocumentError, ET.ParseError, TypeError) as error:
             parsed.append({"blocks": None, "stats": None, "error": str(error)})
@@ -329,7 +337,7 @@ def to_markdown(blocks: Column | str) -> Column:
 
 def document_blocks(documents: DataFrame, keys: list[str], blocks: str = "blocks") -> DataFrame:
     """One row per block with its position ``pos`` and ``text``."""
-    exploded = documents.select(*keys, F.posexplode(blocks).alias("pos", "_block"))
+    exploded = explode_rows(documents, keys, F.col(blocks), "_block", "pos")
     return exploded.select(
         *keys,
         "pos",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, IntegerType, StructField, StructType
 
 from ..functions.ids import PART_SEPARATOR, PROMPT_ID, excerpt_window, extract_ids, head
+from ..functions.nested import explode_rows
 from ..functions.text import let, non_empty
 from ..spec import EXTRACTION, IDS_PER_REQUEST_HOSTED, OPTIONAL_EXTRACTION_FIELDS, RETRY_ROUNDS
 from .dedup import last_write_wins
@@ -187,7 +188,7 @@ def plan_requests(
     chunks = F.concat(
         F.array(F.array().cast("array<string>")), chunk_array(F.col(ids), size)
     )
-    planned = documents.select(*keys, F.col(text).alias("_text"), F.posexplode(chunks).alias("request", "ids"))
+    planned = explode_rows(documents, [*keys, F.col(text).alias("_text")], chunks, "ids", "request")
     summary = F.size("ids") == 0
     return planned.select(
         *keys,

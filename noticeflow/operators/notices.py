@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
 from ..functions import dates, names
+from ..functions.nested import explode_rows
 from ..functions.text import fold, let, non_empty, strip_ws
 from ..spec import BID, FILE_ARRAY, PRE, RECORD_KIND_FIELD, RECORD_TYPE_FIELD, SourceSpec
 
@@ -115,7 +116,7 @@ def count_attachments(notices: DataFrame, attachments: DataFrame, keys: Sequence
 def explode_files(df: DataFrame, files: str = "files") -> DataFrame:
     """One row per attachment, with ``url``, ``name`` and ``slot``."""
     rest = [c for c in df.columns if c != files]
-    return df.select(*rest, F.explode(files).alias("_file")).select(
+    return explode_rows(df, rest, F.col(files), "_file").select(
         *rest, "_file.url", "_file.name", "_file.slot"
     )
 
@@ -228,7 +229,7 @@ def select_attachments(
 def download_list(selected: DataFrame) -> DataFrame:
     """One row per attachment to fetch, with its slot after filtering and target file name."""
     rest = [c for c in selected.columns if c != "files"]
-    exploded = selected.select(*rest, F.posexplode("files").alias("_pos", "_file"))
+    exploded = explode_rows(selected, rest, F.col("files"), "_file")
     slot = F.col("_pos") + 1
     fallback = F.concat(F.lit("attachment_"), slot.cast("string"))
     return exploded.select(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import file_extension
+from ..functions.nested import explode_rows
 from ..functions.text import join_text
 
 # Characters per token, price per million tokens and per document.
@@ -105,7 +106,7 @@ def item_alerts(missing: Column, errors: Column, items: Column) -> Column:
 
 def collect_alerts(df: DataFrame, keys: Sequence[str], alerts: Column) -> DataFrame:
     """One row per alert, in order."""
-    return df.select(*keys, F.posexplode(alerts).alias("pos", "alert"))
+    return explode_rows(df, keys, alerts, "alert", "pos")
 
 
 def explode_specs(items: DataFrame, keys: Sequence[str], specs: str = "specs") -> DataFrame:

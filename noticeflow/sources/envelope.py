@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nested import explode_rows
 from ..functions.text import let, non_empty
 from ..spec import PAGE_SIZE
 
@@ -47,7 +48,7 @@ def envelope_items(raw: Column) -> Column:
 def parse_envelope(df: DataFrame, raw: str = "body") -> DataFrame:
     """One row per item with its position ``item_ix`` in the page."""
     rest = [c for c in df.columns if c != raw]
-    return df.select(*rest, F.posexplode(envelope_items(F.col(raw))).alias("item_ix", "item"))
+    return explode_rows(df, rest, envelope_items(F.col(raw)), "item", "item_ix")
 
 
 def envelope_totals(raw: Column) -> Column:

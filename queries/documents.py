@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noticeflow.functions import text
+from noticeflow.functions.nested import explode_rows
 from noticeflow.operators import documents as docs, positions, reports
 from noticeflow.operators.notices import natural_order
 
@@ -13,9 +14,9 @@ from .texts import PAGE_TEXT
 
 
 def page_blocks(spark, sf_dir):
-    blocks = docs.html_blocks("html")
-    pages = table(spark, sf_dir, "pages", spread=True).select("page_id", F.posexplode(blocks).alias("pos", "_b"))
-    return pages.select("page_id", "pos", "_b.kind", F.md5("_b.text").alias("digest"))
+    pages = table(spark, sf_dir, "pages", spread=True)
+    blocks = explode_rows(pages, ["page_id"], docs.html_blocks("html"), "_b", "pos")
+    return blocks.select("page_id", "pos", "_b.kind", F.md5("_b.text").alias("digest"))
 
 
 def page_block_stats(spark, sf_dir):
