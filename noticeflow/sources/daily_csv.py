@@ -125,14 +125,14 @@ def export_lines(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def write_report(lines: DataFrame, header: Sequence[str], path: str, *order) -> None:
-    """Write sorted report lines behind a byte-order mark and a header.
+    """Write sorted report lines below ``path``: ``header`` (with a byte-order mark) and ``rows``.
 
-    A report is one file by nature; ``order`` columns come from ``lines``. The sort runs in
-    parallel and its ranges are read one after the other by the single writing task.
+    The part files of ``rows`` are in order, so header and parts in name order are the report.
     """
-    head = lines.sparkSession.range(1).select(F.lit(BOM + ",".join(header)).alias("value"))
-    body = lines.orderBy(*order).select(F.col("line").alias("value"))
-    head.union(body).coalesce(1).write.mode("overwrite").text(path)
+    head = lines.sparkSession.range(1, numPartitions=1).select(F.lit(BOM + ",".join(header)).alias("value"))
+    head.write.mode("overwrite").text(f"{path}/header")
+    rows = lines.orderBy(*order).select(F.col("line").alias("value"))
+    rows.write.mode("overwrite").text(f"{path}/rows")
 
 
 def _q(name: str) -> str:
