@@ -250,6 +250,14 @@ def merge_responses(
     return joined.withColumn("missing", F.col("_answered").isNull()).drop("_answered")
 
 
+def order_as_expected(
+    items: DataFrame, expected: DataFrame, keys: Sequence[str], ids: str, identifier: str
+) -> DataFrame:
+    """Items in the order of each key's ``ids`` array; items that are not listed drop out."""
+    listed = explode_rows(expected, keys, F.col(ids), identifier, "position")
+    return items.join(listed, [*keys, identifier]).orderBy(*keys, "position").drop("position")
+
+
 def retry_missing(
     documents: DataFrame,
     expected: DataFrame,

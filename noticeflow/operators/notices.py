@@ -107,8 +107,15 @@ def attachment_count(files: Column | str = "files") -> Column:
     return F.coalesce(F.size(files), F.lit(0))
 
 
-def count_attachments(notices: DataFrame, attachments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``attachments``: rows of an attachment relation per notice, 0 kept."""
+def count_attachments(
+    notices: DataFrame, attachments: DataFrame, keys: Sequence[str], selective: bool = False
+) -> DataFrame:
+    """Add ``attachments``: rows of an attachment relation per notice, 0 kept.
+
+    ``selective`` is for few notices: other attachments are dropped before they are counted.
+    """
+    if selective:
+        attachments = attachments.join(notices.select(*keys), list(keys), "left_semi")
     counted = attachments.groupBy(*keys).agg(F.count(F.lit(1)).alias("attachments"))
     return notices.join(counted, list(keys), "left").fillna(0, ["attachments"])
 

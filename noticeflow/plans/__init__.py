@@ -1,3 +1,3 @@
-from . import config, jobs
+from . import config, jobs, programs
 
-__all__ = ["config", "jobs"]
+__all__ = ["config", "jobs", "programs"]

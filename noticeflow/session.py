@@ -54,10 +54,10 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
 
 
 def spread_scan(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out over all task slots when it has fewer splits than slots.
+    """Deal the rows of a scan out over all task slots when most slots would stay idle.
 
-    For costly work per row on a few small files. A large input has more splits than slots and
-    is left as it is. Filters and column pruning still reach the scan.
+    For costly work per row on a few small files. An input with more splits than a quarter of
+    the slots is left as it is. Filters and column pruning still reach the scan.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    return df.repartition(slots) if 4 * df.rdd.getNumPartitions() <= slots else df

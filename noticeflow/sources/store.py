@@ -117,7 +117,7 @@ class NoticeStore:
     def replace_scope(
         self,
         changes: DataFrame,
-        mode: str,
+        mode: str | None,
         begin: str,
         end: str,
         scope: Column,
@@ -125,9 +125,12 @@ class NoticeStore:
     ) -> DataFrame | None:
         """Delete the stored rows of a mode and day range that ``scope`` selects, then merge.
 
-        Call it after the rows were read successfully: both steps are one commit.
+        Without a mode all modes are meant. Call it after the rows were read successfully:
+        both steps are one commit.
         """
-        inside = (F.col("mode") == mode) & F.col("day").between(begin, end) & scope
+        inside = F.col("day").between(begin, end) & scope
+        if mode is not None:
+            inside = inside & (F.col("mode") == mode)
         return self._merge(changes, (mode, begin, end, inside), batch_id)
 
     def _merge(self, changes, scope, batch_id) -> DataFrame | None:
@@ -162,7 +165,9 @@ class NoticeStore:
         )
         if scope is not None:
             mode, begin, end, inside = scope
-            in_range = [e for e in index.files if e.mode == mode and begin <= e.date <= end]
+            in_range = [
+                e for e in index.files if mode in (None, e.mode) and begin <= e.date <= end
+            ]
             emptied = self._open(index, in_range).where(inside)
             touched = touched.union(emptied.select("mode", "day"))
         # At most one row per mode and calendar day.

@@ -129,13 +129,15 @@ _BLOCK_TEXT = (
 QUERIES = {
     "page_blocks": (
         page_blocks,
-        f"{_BLOCKS_SQL} SELECT page_id, pos, kind, md5({_BLOCK_TEXT}) AS digest FROM c",
+        f"{_BLOCKS_SQL} SELECT page_id, CAST(pos AS INTEGER) AS pos, kind, md5({_BLOCK_TEXT}) AS digest FROM c",
     ),
     "page_block_stats": (
         page_block_stats,
-        """SELECT page_id, len(regexp_extract_all(html, '<h1[ >]')) AS headings, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs,
-          len(regexp_extract_all(html, '<li[ >]')) AS items, len(regexp_extract_all(html, '<a ')) AS links,
-          length(html) - length(replace(html, '◦', '')) AS bullets FROM pages""",
+        """SELECT page_id, CAST(len(regexp_extract_all(html, '<h1[ >]')) AS INTEGER) AS headings,
+          CAST(len(regexp_extract_all(html, '<p[ >]')) AS INTEGER) AS paragraphs,
+          CAST(len(regexp_extract_all(html, '<li[ >]')) AS INTEGER) AS items,
+          CAST(len(regexp_extract_all(html, '<a ')) AS INTEGER) AS links,
+          CAST(length(html) - length(replace(html, '◦', '')) AS INTEGER) AS bullets FROM pages""",
     ),
     "page_markdown": (
         page_markdown,

@@ -373,7 +373,7 @@ QUERIES = {
             CASE number % 3 WHEN 0 THEN [] WHEN 1 THEN ['누락: ECR-1'] ELSE ['누락: ECR-1', '누락: ECR-2'] END,
             CASE WHEN number % 2 = 0 THEN [business_type] ELSE [] END),
             list_transform(string_split(title, ' '), lambda w: 'ECR-3: ' || w)) AS l FROM ({NOTICES_SQL}))
-        SELECT number, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS alert FROM a""",
+        SELECT number, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS pos, unnest(l) AS alert FROM a""",
     ),
     "analysis_summary": (
         analysis_summary,

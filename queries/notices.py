@@ -115,7 +115,7 @@ def search_notices(spark, sf_dir):
     first = dedup.keep_first(asked, "number", ["day", "title"])
     found = ops.match_filters(first, {"title": " H I G H "})
     attachments = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("number"))
-    counted = ops.count_attachments(found, attachments, ["number"])
+    counted = ops.count_attachments(found, attachments, ["number"], selective=True)
     return ops.newest_first(counted, "day", "number")
 
 
@@ -343,7 +343,7 @@ QUERIES = {
         f AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY slot) AS n
               FROM ({FILES_SQL}) WHERE k IN (SELECT k FROM top)
                 AND (name LIKE '%.hwp' OR name LIKE '%.hwpx'))
-        SELECT mode, number, n AS slot, url, name, '0' || n || '_' || name AS target FROM f""",
+        SELECT mode, number, CAST(n AS INTEGER) AS slot, url, name, '0' || n || '_' || name AS target FROM f""",
     ),
     "result_page": (
         result_page,
