@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
-from datetime import datetime, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,6 +94,14 @@ class NoticeStore:
         ]
         return self._open(index, wanted)
 
+    def read_latest(self, days: int = 7, mode: str | None = None) -> DataFrame | None:
+        """Rows of the last ``days`` days up to the newest stored day, found from the index."""
+        stored = [e.date for e in self.index().files]
+        if not stored:
+            return self.read()
+        first = date.fromisoformat(max(stored)) - timedelta(days=days - 1)
+        return self.read(begin=first.isoformat(), mode=mode)
+
     def _open(self, index: Index, entries: list[Entry]) -> DataFrame | None:
         if index.schema is None:
             return None

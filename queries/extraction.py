@@ -98,7 +98,7 @@ def _turns(spark, sf_dir):
 
 def choose_expected(spark, sf_dir):
     turns = _turns(spark, sf_dir)
-    return ex.choose_expected(turns.where("role = 'user'"), turns.where("turn % 3 = 0"), ["conv_id"], "turn")
+    return ex.choose_expected(turns.where("role = 'user'"), turns.where("role <> 'user'"), ["conv_id"], "turn")
 
 
 def merge_responses(spark, sf_dir):
@@ -112,7 +112,7 @@ def retry_missing(spark, sf_dir):
     """Words of each document that no answer named, as the requests of the next round."""
     documents = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
     words = documents.select("doc_id", F.explode(ids.extract_ids("text", WORD)).alias("id"))
-    answered = words.where(F.length("id") % 2 == 0)
+    answered = words.where(F.length("id") > 6)
     requests = ex.retry_missing(documents, words, answered, ["doc_id"], "id", attempt=1, size=10)
     return requests.select("doc_id", "request", F.array_join("ids", " ").alias("ids"), F.md5("source").alias("digest"))
 
@@ -127,7 +127,7 @@ def items(spark, sf_dir):
     spec = lambda name, value: F.struct(F.lit(name).alias("field"), value.alias("quantity"))
     quantity = F.when(F.col("l_quantity") % 2 == 0, F.floor("l_quantity").cast("string")).otherwise("")
     size = F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("string"))
-    return slots(spark, sf_dir).select(
+    return slots(spark, sf_dir, spread=True).select(
         F.col("l_orderkey").alias("number"),
         *ITEM_ORDER,
         F.concat(F.lit("ECR-"), F.lpad(F.col("l_partkey").cast("string"), 6, "0")).alias("id"),
@@ -177,7 +177,7 @@ def collect_alerts(spark, sf_dir):
         F.struct(F.lit("ECR-3").alias("id"), F.split("title", " ").alias("doubts")),
         F.struct(F.lit("ECR-4").alias("id"), F.array().cast("array<string>").alias("doubts")),
     )
-    return reports.collect_alerts(notices(spark, sf_dir), ["number"], reports.item_alerts(missing, errors, made))
+    return reports.collect_alerts(notices(spark, sf_dir, spread=True), ["number"], reports.item_alerts(missing, errors, made))
 
 
 def analysis_summary(spark, sf_dir):
@@ -313,9 +313,9 @@ QUERIES = {
     "choose_expected": (
         choose_expected,
         """WITH s AS (SELECT conv_id, count(DISTINCT turn) FILTER (role = 'user') AS d,
-            count(DISTINCT turn) FILTER (turn % 3 = 0) AS f FROM conversations GROUP BY 1)
+            count(DISTINCT turn) FILTER (role <> 'user') AS f FROM conversations GROUP BY 1)
         SELECT DISTINCT c.conv_id, CASE WHEN f > d THEN 'found' ELSE 'declared' END AS origin, turn, greatest(f, d) AS expected
-        FROM conversations c JOIN s ON c.conv_id = s.conv_id WHERE CASE WHEN f > d THEN turn % 3 = 0 ELSE role = 'user' END""",
+        FROM conversations c JOIN s ON c.conv_id = s.conv_id WHERE (role <> 'user') = (f > d)""",
     ),
     "merge_responses": (
         merge_responses,
@@ -328,7 +328,7 @@ QUERIES = {
     ),
     "retry_missing": (
         retry_missing,
-        f"""WITH w AS (SELECT doc_id, text, list_filter({_WORDS}, lambda x: length(x) % 2 = 1) AS l FROM documents),
+        f"""WITH w AS (SELECT doc_id, text, list_filter({_WORDS}, lambda x: length(x) <= 6) AS l FROM documents),
         x AS (SELECT doc_id, text, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS i FROM w)
         SELECT doc_id, i // 10 AS request, string_agg(word, ' ' ORDER BY i) AS ids,
           md5(string_agg({_window_sql('text', 'word')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i)) AS digest

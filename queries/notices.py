@@ -205,8 +205,8 @@ def result_page(spark, sf_dir):
 
 def union_columns(spark, sf_dir):
     raw = raw_records(spark, sf_dir)
-    pre = raw.where("o_orderkey % 2 = 0").select(F.col("bfSpecRgstNo").alias("a"), F.col("o_orderkey").cast("string").alias("key"))
-    bid = raw.where("o_orderkey % 2 = 1").select(F.col("o_orderkey").cast("string").alias("key"), F.col("bidClseDt").alias("b"))
+    pre = raw.where("bidNtceNo = ''").select(F.col("bfSpecRgstNo").alias("a"), F.col("o_orderkey").cast("string").alias("key"))
+    bid = raw.where("bidNtceNo <> ''").select(F.col("o_orderkey").cast("string").alias("key"), F.col("bidClseDt").alias("b"))
     return sets.union_columns(pre, bid)
 
 
@@ -353,8 +353,8 @@ QUERIES = {
     ),
     "union_columns": (
         union_columns,
-        f"""SELECT CASE WHEN k % 2 = 0 AND is_pre THEN key ELSE '' END AS a, key,
-          CASE WHEN k % 2 = 1 THEN day ELSE '' END AS b FROM ({RAW_SQL})""",
+        f"""SELECT CASE WHEN is_pre THEN key ELSE '' END AS a, key,
+          CASE WHEN is_pre THEN '' ELSE day END AS b FROM ({RAW_SQL})""",
     ),
     "record_key": (
         record_key,

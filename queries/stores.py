@@ -102,7 +102,7 @@ def compact_store(spark, sf_dir):
 
 def csv_roundtrip(spark, sf_dir):
     path = work_dir(spark, "csv")
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    documents = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text", "lang")
     daily_csv.write_daily(documents, path)
     back = daily_csv.read_daily(spark, path)
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")

@@ -197,6 +197,7 @@ def test_key_leaves_its_old_day(spark, store):
     paths = {e.date: e.path for e in store.index().files}
     assert "v=00000001" in paths["2024-01-02"] and "v=00000002" in paths["2024-01-03"]
     assert store.vacuum() == []
+    assert store.read_latest(1).count() == 1 and store.read_latest(2, "bid").count() == 3
     assert store.read(begin="2024-01-03").count() == 1 and store.read(mode="pre").count() == 0
 
 
