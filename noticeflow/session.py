@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local_roots: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
@@ -19,10 +22,11 @@ def shared_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="noticeflow-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    _delete_on_exit(spark, root)
-    return root
+    application = spark.sparkContext.applicationId
+    if application not in _local_roots:
+        _local_roots[application] = tempfile.mkdtemp(prefix="noticeflow-")
+        _delete_on_exit(spark, _local_roots[application])
+    return _local_roots[application]
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
@@ -53,11 +57,16 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(jpath)
 
 
+SMALL_SCAN_SPLITS = 32
+
+
 def spread_scan(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out over all task slots when most slots would stay idle.
+    """Deal the rows of a small scan out over all task slots.
 
-    For costly work per row on a few small files. An input with more splits than a quarter of
-    the slots is left as it is. Filters and column pruning still reach the scan.
+    For costly work per row on a few files: a split may hold no row group at all, so a handful
+    of splits can mean a single busy task. A scan of more splits, or of as many as there are
+    slots, is left as it is. Filters and column pruning still reach the scan.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if 4 * df.rdd.getNumPartitions() <= slots else df
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(slots) if splits <= SMALL_SCAN_SPLITS and splits < slots else df

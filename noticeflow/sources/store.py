@@ -202,7 +202,10 @@ class NoticeStore:
         return rejected
 
     def compact(self, mode: Column | None = None, day: Column | None = None) -> None:
-        """Rewrite everything: one row per key, each under its own (recomputed) mode and day."""
+        """Rewrite everything: one row per key, each under its own (recomputed) mode and day.
+
+        A row for which no day can be computed stays where it is.
+        """
         index = self.index()
         rows = self._open(index, index.files)
         if rows is None:
@@ -210,8 +213,9 @@ class NoticeStore:
         if mode is not None:
             rows = rows.withColumn("mode", mode)
         if day is not None:
-            rows = rows.withColumn("day", day)
-        rows = last_write_wins(rows.where(F.col("day") != UNDATED), self.key, self.order)
+            dated = F.coalesce(day, F.lit(UNDATED)) != UNDATED
+            rows = rows.withColumn("day", F.when(dated, day).otherwise(F.col("day")))
+        rows = last_write_wins(rows, self.key, self.order)
         version = index.version + 1
         written = self._write_data(rows, version)
         self._commit(
