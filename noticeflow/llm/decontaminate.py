@@ -83,33 +83,14 @@ def contaminated(n_hit: Column, n_words: Column, least_share: float = 0.05) -> C
     return (n_hit > 0) & (n_hit >= F.lit(least_share) * n_words)
 
 
-def _over_runs(values: Column, size: int, combine: Callable[[Column, Column], Column]) -> Column:
-    """``combine`` over every run of ``size`` values, by doubling: a few passes over the array, whatever the size.
-
-    Runs overlap while they double, so ``combine`` must give equal results for equal runs, as a hash or a minimum does.
-    The array must hold at least ``size`` values.
-    """
-    if size == 1:
-        return values
-    half = 1 << ((size - 1).bit_length() - 1)
-    return let(_over_runs(values, half, combine), lambda h: F.zip_with(
-        F.slice(h, 1, F.size(h) - (size - half)), F.slice(h, size - half + 1, F.size(h)), combine
-    ))
-
-
-def _grams(w: Column, gram: int) -> Column:
-    """Hash of every run of ``gram`` words; there must be so many."""
-    return _over_runs(F.transform(w, lambda x: F.xxhash64(x)), gram, lambda a, b: F.xxhash64(a, b))
-
-
 def _fingerprints(w: Column, window: int, gram: int, short: list[int]) -> Column:
     """Smallest gram hash of every window of the words, and the hashes of all runs of the lengths in ``short``."""
     none = F.array().cast("array<bigint>")
-    least = let(_grams(w, gram), lambda g: _over_runs(g, window - gram + 1, lambda a, b: F.least(a, b)))
+    least = let(words.gram_hashes(w, gram), lambda g: words.over_runs(g, window - gram + 1, lambda a, b: F.least(a, b)))
     parts = [F.when(F.size(w) >= window, least).otherwise(none)]
     for n in short:
         # on the benchmark's side this gives more than its short items need, which costs some candidates only
-        parts.append(F.when(F.size(w) >= n, _grams(w, n)).otherwise(none))
+        parts.append(F.when(F.size(w) >= n, words.gram_hashes(w, n)).otherwise(none))
     return F.concat(*parts) if short else parts[0]
 
 
@@ -122,7 +103,7 @@ def _places(w: Column, sizes: list[int], wanted: Column | None) -> Column:
     kind = "array<struct<hash:bigint,at:int,size:int>>"
     parts = []
     for n in sizes:
-        at = F.transform(_grams(w, n), _placed(n))
+        at = F.transform(words.gram_hashes(w, n), _placed(n))
         if wanted is not None:
             at = F.filter(at, lambda x: F.array_contains(wanted, x["hash"]))
         parts.append(F.when(F.size(w) >= n, at.cast(kind)).otherwise(F.array().cast(kind)))

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import string
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from noticeflow.functions.text import let
+
 UPPER, LOWER = string.ascii_uppercase, string.ascii_lowercase
 # Everything in ASCII that is neither a digit nor a lower-case letter parts words.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -33,6 +36,25 @@ def lower_ascii(column: Column) -> Column:
     return F.when(F.octet_length(column) == F.length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))
 
 
+def over_runs(values: Column, size: int, combine: Callable[[Column, Column], Column]) -> Column:
+    """``combine`` over every run of ``size`` values, by doubling: a few passes over the array, whatever the size.
+
+    Runs overlap while they double, so ``combine`` must give equal results for equal runs, as a hash or a minimum does.
+    The array must hold at least ``size`` values.
+    """
+    if size == 1:
+        return values
+    half = 1 << ((size - 1).bit_length() - 1)
+    return let(over_runs(values, half, combine), lambda h: F.zip_with(
+        F.slice(h, 1, F.size(h) - (size - half)), F.slice(h, size - half + 1, F.size(h)), combine
+    ))
+
+
+def gram_hashes(w: Column, gram: int) -> Column:
+    """Hash of every run of ``gram`` words; there must be so many."""
+    return over_runs(F.transform(w, lambda x: F.xxhash64(x)), gram, lambda a, b: F.xxhash64(a, b))
+
+
 def text_keys(text: Column | str) -> list[Column]:
     """128 bits that stand for a text in joins; null is a text of its own."""
     column = F.col(text) if isinstance(text, str) else text
