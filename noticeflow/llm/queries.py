@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeflow.llm import decontaminate, licenses, simhash, substrings
+from noticeflow.session import work_dir
+from noticeflow.llm import decontaminate, licenses, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,19 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "tokens") + "/files"
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file(), end=0)
+    out = tokens.read_tokens(spark, path)
+    return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_copies(table(spark, sf_dir, "documents"), shingle=4)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -86,6 +100,7 @@ FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_license_scan": (op1_license_scan, None),
+    "op3_token_output": (op3_token_output, None),
     "op6_simhash": (op6_simhash, None),
     "op8_substring_dedup": (op8_substring_dedup, None),
     "op10_decontamination": (op10_decontamination, OP10_SQL),
