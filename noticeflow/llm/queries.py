@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.session import work_dir
-from noticeflow.llm import decontaminate, licenses, simhash, substrings, tokens
+from noticeflow.llm import decontaminate, licenses, neighbours, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    index = neighbours.build(vectors, "vec_id", "embedding", keep=6)
+    found = neighbours.search(index, vectors.where("vec_id % 50 = 0"), "vec_id", "embedding", k=5)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -102,6 +109,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op1_license_scan": (op1_license_scan, None),
     "op3_token_output": (op3_token_output, None),
     "op6_simhash": (op6_simhash, None),
+    "op7_nearest_neighbours": (op7_nearest_neighbours, None),
     "op8_substring_dedup": (op8_substring_dedup, None),
     "op10_decontamination": (op10_decontamination, OP10_SQL),
 }
