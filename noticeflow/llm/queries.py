@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.session import work_dir
-from noticeflow.llm import decontaminate, licenses, neighbours, simhash, substrings, tokens
+from noticeflow.llm import decontaminate, licenses, mixing, neighbours, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("n_words"))
+    out = mixing.mix(documents, "source", "n_words", entropy=0.9, most_passes=4.0)
+    return out.select("document.doc_id", "source", "document.n_words", "pass", "block", "position")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=13)
     return out.select(
@@ -111,5 +117,6 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op6_simhash": (op6_simhash, None),
     "op7_nearest_neighbours": (op7_nearest_neighbours, None),
     "op8_substring_dedup": (op8_substring_dedup, None),
+    "op9_temperature_mixing": (op9_temperature_mixing, None),
     "op10_decontamination": (op10_decontamination, OP10_SQL),
 }
