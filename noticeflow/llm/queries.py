@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.session import work_dir
-from noticeflow.llm import decontaminate, licenses, mixing, neighbours, simhash, substrings, tokens
+from noticeflow.llm import decontaminate, licenses, mixing, neighbours, quality, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,24 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """Grades 0 to 2: a point for each of good quality and no toxic words."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
+    return quality.train(table(spark, sf_dir, "documents"), labels, "doc_id", "text", "grade", grades=3)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.grade(documents, quality_model(spark, sf_dir), "text")
+    return out.select(
+        "doc_id",
+        F.col("quality.expected").alias("expected_grade"),
+        F.col("quality.at_least")[0].alias("p_grade_1"),
+        F.col("quality.at_least")[1].alias("p_grade_2"),
+        (F.col("quality.at_least")[1] >= 0.5).alias("keep"),
+    )
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_copies(table(spark, sf_dir, "documents"), shingle=4)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
@@ -114,6 +132,7 @@ FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_license_scan": (op1_license_scan, None),
     "op3_token_output": (op3_token_output, None),
+    "op5_quality_classifier": (op5_quality_classifier, None),
     "op6_simhash": (op6_simhash, None),
     "op7_nearest_neighbours": (op7_nearest_neighbours, None),
     "op8_substring_dedup": (op8_substring_dedup, None),
