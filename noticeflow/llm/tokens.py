@@ -24,6 +24,7 @@ KNOWN_PIECES = 600_000
 ENCODE_BYTES = 2 << 20
 BLOCK_BYTES = 4 << 20
 
+_SPACES = b" \t\n\r\x0b\x0c"
 _PIECE = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 # White space beyond ASCII, or taken as such by some engines: texts with it are encoded in one piece.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -43,20 +44,44 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        vocabulary = self.tokenizer.get_vocab()
+        # a character of a byte-level token stands for a byte
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+        self.sizes[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self._forget()
 
     def _forget(self) -> None:
         self.index: dict[bytes, int] = {}
         self.ids = np.empty(0, dtype=self.width)
         self.offsets = np.zeros(1, dtype=np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
 
     def _learn(self, pieces: list[bytes]) -> None:
-        new = [x.ids for x in self.tokenizer.encode_batch([p.decode() for p in pieces], add_special_tokens=False)]
+        # Pieces between white space and a word's end keep their ids side by side, so many are encoded as one text.
+        inner = [p for p in pieces if p[0] in _SPACES and p[-1] not in _SPACES]
+        outer = [p for p in pieces if p[0] not in _SPACES or p[-1] in _SPACES]
+        for at in range(0, len(inner), 4096):
+            part = inner[at : at + 4096]
+            [found] = self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)
+            ids = np.array(found.ids, dtype=self.width)
+            tops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p) for p in part])) + 1
+            self._add(part, ids, np.diff(tops, prepend=0))
+        for at in range(0, len(outer), 4096):
+            part = outer[at : at + 4096]
+            found = self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
+            ids = [np.array(x.ids, dtype=self.width) for x in found]
+            self._add(part, np.concatenate(ids), np.array([len(x) for x in ids]))
+
+    def _add(self, pieces: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
         self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces)), strict=True))
-        lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
-        flat = np.fromiter((i for ids in new for i in ids), dtype=self.width, count=int(lengths.sum()))
-        self.ids = np.concatenate([self.ids, flat])
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
+        self.new.append((ids, lengths))
+
+    def _settle(self) -> None:
+        if self.new:
+            self.ids = np.concatenate([self.ids, *(ids for ids, _ in self.new)])
+            lengths = np.concatenate([lengths for _, lengths in self.new])
+            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
+            self.new = []
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """The ids of each text and the end id."""
@@ -74,6 +99,7 @@ class Encoder:
             pieces += found
             counts.append(len(found))
         self._learn([p for p in dict.fromkeys(pieces) if p not in self.index])
+        self._settle()
         at = np.fromiter(map(self.index.__getitem__, pieces), dtype=np.int64, count=len(pieces))
         first, lengths = self.offsets[at], self.offsets[at + 1] - self.offsets[at]
         ends = np.cumsum(lengths)
