@@ -124,6 +124,15 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
     return np.cumsum(steps.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Numbers of eight bytes, byte planes apart, so that what they have in common compresses away."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(packed: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
+
+
 def bucket_count(documents: DataFrame, text_col: str, bucket_bytes: int) -> int:
     """Number of hash buckets for which one holds the hashes of about ``bucket_bytes`` of text."""
     total = documents.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0

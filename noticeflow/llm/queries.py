@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.session import work_dir
-from noticeflow.llm import decontaminate, licenses, mixing, neighbours, quality, simhash, substrings, tokens
+from noticeflow.llm import decontaminate, language_model, licenses, mixing, neighbours, quality, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,14 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    out = language_model.score(table(spark, sf_dir, "documents"), ~held_out)
+    return out.select(
+        "doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     """Grades 0 to 2: a point for each of good quality and no toxic words."""
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") + 1 - F.col("toxic")).alias("grade"))
@@ -132,6 +140,7 @@ FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_license_scan": (op1_license_scan, None),
     "op3_token_output": (op3_token_output, None),
+    "op4_language_model": (op4_language_model, None),
     "op5_quality_classifier": (op5_quality_classifier, None),
     "op6_simhash": (op6_simhash, None),
     "op7_nearest_neighbours": (op7_nearest_neighbours, None),

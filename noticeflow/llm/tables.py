@@ -7,12 +7,21 @@ from pyspark.sql import functions as F
 
 from noticeflow.session import work_dir
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: its lineage ends there, and it is computed once."""
-    path = work_dir(df.sparkSession, label) + "/table"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = work_dir(spark, label) + "/table"
+    # nothing reads the shuffles of this job once its table is written
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, most_rows: int) -> DataFrame:
