@@ -28,8 +28,8 @@ class Settings:
     strength: float = 1.0
     parent_discount: float = 0.6
     parent_strength: float = 1.0
-    burn_in: int = 2
-    samples: int = 4
+    burn_in: int = 1
+    samples: int = 3
     seed: int = 42
 
 
@@ -69,7 +69,9 @@ def score(
     )
     rows = chunks.chunked(keyed, "key", "text")
 
-    asked = rows.mapInArrow(_ask_words(buckets), "chunk long, bucket int, hashes binary, counts binary")
+    asked = chunks.map_chunks(
+        keyed, "key", "text", _ask_words(buckets), "chunk long, bucket int, hashes binary, counts binary"
+    )
     asked = tables.staged(asked, "words")
     counts = asked.groupBy("bucket").applyInArrow(
         _count_words, "chunk long, bucket int, a binary, total long, types long"
@@ -247,10 +249,13 @@ def seat(customers: np.ndarray, weight, discount: float, random: np.random.Gener
     """
     taken = np.minimum(customers, 1)
     one_by_one = 12
-    for seated in range(1, min(one_by_one, int(customers.max(initial=0)))):
-        at = np.flatnonzero(customers > seated)
+    at = np.flatnonzero(customers > 1)
+    for seated in range(1, one_by_one):
+        if not len(at):
+            break
         new = weight(at, taken[at])
         taken[at] += random.random(len(at)) * (new + seated - discount * taken[at]) < new
+        at = at[customers[at] > seated + 1]
     at = np.flatnonzero(customers > one_by_one)
     seated = np.full(len(at), one_by_one, dtype=np.float64)
     while len(at):
@@ -287,14 +292,20 @@ def _seat(settings: Settings, total: int, types: int, buckets: int):
         parent = np.maximum(2.0 ** (base[firsts] / 1000) - 1, 0.5) / (total + 0.5 * (types + 1))
         d, strength = settings.discount, settings.strength
         random = np.random.default_rng([settings.seed, int(group.column("bucket")[0].as_py())])
-        seats = n.copy()
-        mean, mean_all = np.zeros(len(n)), np.zeros(m)
+        # a single customer has a single table; only the others are drawn again
+        several = np.flatnonzero(n > 1)
+        where, many, chance = restaurant[several], n[several], parent[several]
+        single = np.bincount(restaurant[n == 1], minlength=m)
+        drawn = many.copy()
+        mean, mean_all = (n == 1).astype(np.float64), single.astype(np.float64)
         for sweep in range(settings.burn_in + settings.samples):
-            others = np.bincount(restaurant, weights=seats, minlength=m)[restaurant] - seats
-            seats = seat(n, lambda at, t, o=others: (strength + d * (o[at] + t)) * parent[at], d, random)
+            others = (single + np.bincount(where, weights=drawn, minlength=m))[where] - drawn
+            drawn = seat(many, lambda at, t, o=others: (strength + d * (o[at] + t)) * chance[at], d, random)
             if sweep >= settings.burn_in:
-                mean += seats / settings.samples
-                mean_all += np.bincount(restaurant, weights=seats, minlength=m) / settings.samples
+                mean[several] += drawn / settings.samples
+                mean_all += np.bincount(where, weights=drawn, minlength=m) / settings.samples
+        seats = np.minimum(n, 1)
+        seats[several] = drawn
         served = n - d * mean
         all_customers = np.bincount(restaurant, weights=n, minlength=m)
         # answers, in the order of the questions
