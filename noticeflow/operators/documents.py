@@ -27,7 +27,11 @@ ARCHIVED = (".hwp", ".hwpx", ".pdf", ".zip")
 MAX_DEPTH = 2
 MAX_ENTRIES = 5000
 MAX_BYTES = 64 * 1024 * 1024
-MAX_GRID_CELLS = 5_000_000
+#: Documents whose results go back to Spark together, by their own size.
+BATCH_BYTES = 4 * 1024 * 1024
+# How a file is treated, by extension; other files are skipped. The older binary document format needs an external
+# converter first.
+ROUTES = {".hwpx": "convert", ".pdf": "pass", ".zip": "expand"}
 # Document sections, and reasons given for documents without text.
 SECTION = re.compile(r"^Contents/section(\d+)\.xml$", re.IGNORECASE)
 UNSUPPORTED = "지원하지 않는 확장자 "
@@ -61,17 +65,12 @@ _ARROW_MANIFEST = pa.schema(
 
 
 def route(name: Column | str) -> Column:
-    """How a file is treated, by extension: convert, pass, expand or skip.
-
-    The older binary document format needs an external converter first and is skipped.
-    """
+    """How a file is treated, by extension: convert, pass, expand or skip."""
     extension = file_extension(name)
-    return (
-        F.when(extension == ".hwpx", F.lit("convert"))
-        .when(extension == ".pdf", F.lit("pass"))
-        .when(extension == ".zip", F.lit("expand"))
-        .otherwise(F.lit("skip"))
-    )
+    routed = F.lit("skip")
+    for known, action in ROUTES.items():
+        routed = F.when(extension == known, F.lit(action)).otherwise(routed)
+    return routed
 
 
 # ---- archives
@@ -108,17 +107,16 @@ def expand(name: str, content: bytes, sequence: str, depth: int = 0) -> Iterator
     if _extension(name) != ".zip" or depth >= MAX_DEPTH:
         yield sequence, name, content, None
         return
+    found: list[tuple] = []
     child = 0
     try:
         for entry, data in archive_entries(content):
             if _extension(entry) in ARCHIVED:
                 child += 1
-                yield from expand(entry, data, f"{sequence}{child}", depth + 1)
-    except (DocumentError, zipfile.BadZipFile, NotImplementedError, RuntimeError, EOFError) as error:
-        yield sequence, name, content, f"error: {error}"
-        return
-    if not child:
-        yield sequence, name, content, EMPTY_ARCHIVE
+                found += expand(entry, data, f"{sequence}{child}", depth + 1)
+    except Exception as error:  # any archive that cannot be read whole is one error row
+        found = [(sequence, name, content, f"error: {error or type(error).__name__}")]
+    yield from found or [(sequence, name, content, EMPTY_ARCHIVE)]
 
 
 # ---- document XML
@@ -174,15 +172,11 @@ def fill_grid(rows: list[list[tuple[int, int, str]]]) -> list[list[str]]:
     A cell starts at the first free column and its text is repeated over its spans.
     """
     grid: list[list[str | None]] = [[] for _ in rows]
-    filled = 0
     for y, row in enumerate(rows):
         x = 0
         for columns, lines, value in row:
             while x < len(grid[y]) and grid[y][x] is not None:
                 x += 1
-            filled += columns * lines
-            if filled > MAX_GRID_CELLS:
-                raise DocumentError("table is too large")
             grid.extend([] for _ in range(y + lines - len(grid)))
             for line in grid[y : y + lines]:
                 line.extend([None] * (x + columns - len(line)))
@@ -251,14 +245,14 @@ def _manifest_rows(notice: str, path: str, name: str, content: bytes) -> Iterato
         extension = _extension(original)
         if reason is not None:
             row["kind"] = "error" if reason.startswith("error: ") else "skipped"
-        elif extension == ".pdf":
-            row["kind"] = "pdf"
-        elif extension == ".hwpx":
+        elif ROUTES.get(extension) == "pass":
+            row["kind"] = extension[1:]
+        elif ROUTES.get(extension) == "convert":
             try:
                 row["blocks"], row["stats"] = parse_document(data)
-                row["kind"] = "hwpx"
-            except (DocumentError, ET.ParseError, zipfile.BadZipFile, NotImplementedError, RuntimeError) as error:
-                row["kind"], row["reason"] = "error", str(error)
+                row["kind"] = extension[1:]
+            except Exception as error:  # whatever is wrong with a file, the others go on
+                row["kind"], row["reason"] = "error", str(error) or type(error).__name__
         else:
             row["kind"] = "skipped"
             row["reason"] = UNSUPPORTED + (extension or NO_EXTENSION)
@@ -266,11 +260,17 @@ def _manifest_rows(notice: str, path: str, name: str, content: bytes) -> Iterato
 
 
 def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
     for batch in batches:
         for notice, path, name, content in zip(*(column for column in batch.columns), strict=True):
-            rows = _manifest_rows(notice.as_py(), path.as_py(), name.as_py(), content.as_py())
-            for row in rows:  # one batch per document keeps little in memory
-                yield pa.RecordBatch.from_pylist([row], schema=_ARROW_MANIFEST)
+            for row in _manifest_rows(notice.as_py(), path.as_py(), name.as_py(), content.as_py()):
+                held.append(row)
+                size += row["bytes"]
+                if size >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(held, schema=_ARROW_MANIFEST)
+                    held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema=_ARROW_MANIFEST)
 
 
 def convert_documents(files: DataFrame) -> DataFrame:
@@ -316,8 +316,8 @@ def section_blocks(xml: pa.Array) -> pa.Array:
         try:
             _walk(_parse_xml(text.as_py()), None, blocks, stats)
             parsed.append({"blocks": blocks, "stats": stats, "error": None})
-        except (DocumentError, ET.ParseError, TypeError) as error:
-            parsed.append({"blocks": None, "stats": None, "error": str(error)})
+        except Exception as error:
+            parsed.append({"blocks": None, "stats": None, "error": str(error) or type(error).__name__})
     return pa.array(parsed, type=_ARROW_PARSED)
 
 

@@ -1,14 +1,18 @@
 """Keyed notice store on plain Parquet files, one folder per mode and day.
 
-A commit writes the touched partitions below ``data/v=N`` and then one index file that lists,
+A commit writes the touched partitions below a folder of its own and then one index file that lists,
 for every (mode, day), the folder that holds it and its row count. Readers follow the newest
 index, so they never see half a commit, and a run that dies before its index is written can be
-repeated. The index has one entry per mode and day and is the only thing the driver handles.
+repeated. Two writers never write to the same folder; the one that publishes second gets
+:class:`CommitConflict` and changes nothing. The index has one entry per mode and day and is the only
+thing the driver handles.
 """
 
 from __future__ import annotations
 
 import json
+import time
+import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import date, datetime, timedelta, timezone
 
@@ -20,12 +24,15 @@ from ..functions.dates import UNDATED
 from ..operators.dedup import last_write_wins
 from ..session import hadoop_path
 
-_FOLDER_KEYS = ("p_mode", "p_day")
+# Folder of a partition: a digest, so that any mode or day, null included, makes a plain name.
+_FOLDER = "p_part"
+# A claim whose writer died while it published is taken over after so many seconds.
+CLAIM_SECONDS = 600
 
 
 @dataclass(frozen=True)
 class Entry:
-    mode: str
+    mode: str | None
     date: str
     path: str
     count: int
@@ -34,12 +41,16 @@ class Entry:
 @dataclass
 class Index:
     version: int = 0
-    batch_id: int = -1
+    batches: dict[str, int] = field(default_factory=dict)  # last batch of each stream
     schema: str | None = None
     updated_at: str | None = None
     files: list[Entry] = field(default_factory=list)
 
 
+def _folder() -> Column:
+    return F.substring(F.sha2(F.to_json(F.struct("mode", "day")), 256), 1, 32)
+
+
 class CommitConflict(RuntimeError):
     """Another writer committed this version first."""
 
@@ -113,14 +124,15 @@ class NoticeStore:
 
     # ---- writing
 
-    def upsert(self, changes: DataFrame, batch_id: int | None = None) -> DataFrame | None:
+    def upsert(self, changes: DataFrame, batch_id: int | None = None, stream: str = "") -> DataFrame | None:
         """Merge changes by key and return those that could not be placed.
 
         A key whose day changed leaves its old partition. The row with the greater arrival
         order wins, stored or new, so a repeated or late batch does no harm. Changes without
-        key or day are dead letters; what is stored for their keys stays.
+        key or day are dead letters; what is stored for their keys stays. A batch that the same
+        ``stream`` has committed already changes nothing, and its dead letters are returned again.
         """
-        return self._merge(changes, None, batch_id)
+        return self._merge(changes, None, batch_id, stream)
 
     def replace_scope(
         self,
@@ -130,6 +142,7 @@ class NoticeStore:
         end: str,
         scope: Column,
         batch_id: int | None = None,
+        stream: str = "",
     ) -> DataFrame | None:
         """Delete the stored rows of a mode and day range that ``scope`` selects, then merge.
 
@@ -139,23 +152,25 @@ class NoticeStore:
         inside = F.col("day").between(begin, end) & scope
         if mode is not None:
             inside = inside & (F.col("mode") == mode)
-        return self._merge(changes, (mode, begin, end, inside), batch_id)
+        return self._merge(changes, (mode, begin, end, inside), batch_id, stream)
 
-    def _merge(self, changes, scope, batch_id) -> DataFrame | None:
+    def _merge(self, changes, scope, batch_id, stream) -> DataFrame | None:
         index = self.index()
-        if batch_id is not None and batch_id <= index.batch_id:
-            return None  # a repeated micro-batch
-        version = index.version + 1
+        attempt = f"v={index.version + 1:08d}-{uuid.uuid4().hex[:12]}"
         key = F.col(self.key)
         placed = (F.coalesce(key, F.lit("")) != "") & (
             F.coalesce(F.col("day"), F.lit(UNDATED)) != UNDATED
         )
         rejected = changes.where(~placed)
+        if batch_id is not None:
+            if batch_id <= index.batches.get(stream, -1):
+                return rejected  # a repeated micro-batch
+            index.batches = index.batches | {stream: batch_id}
         # Landed once: the batch is needed several times, and must not change on a task retry.
-        latest = self._land(last_write_wins(changes.where(placed), self.key, self.order), version)
+        latest = self._land(last_write_wins(changes.where(placed), self.key, self.order), attempt)
         stored = self._open(index, index.files)
         if stored is None:
-            return self._write_all(latest, index, version, [], batch_id, rejected)
+            return self._write_all(latest, index, attempt, [], rejected)
         stays = F.lit(True) if scope is None else ~F.coalesce(scope[3], F.lit(False))
 
         # Only key, place and order of the whole store are read here.
@@ -167,9 +182,9 @@ class NoticeStore:
         )
         moves = latest.join(spots, self.key, "left")
         newer = moves.where(F.col("_order").isNull() | (F.col("_order") <= F.col(self.order)))
-        newer = self._land(newer, version, "newer")
+        newer = self._land(newer, attempt, "newer")
         touched = newer.select("mode", "day").union(
-            newer.where(F.col("_mode").isNotNull()).select("_mode", "_day")
+            newer.where(F.col("_day").isNotNull()).select("_mode", "_day")
         )
         if scope is not None:
             mode, begin, end, inside = scope
@@ -185,19 +200,13 @@ class NoticeStore:
         kept = self._open(index, old).where(stays).join(winners.select(self.key), self.key, "left_anti")
         merged = kept.unionByName(winners, allowMissingColumns=True)
         carried = [e for e in index.files if (e.mode, e.date) not in buckets]
-        return self._write_all(merged, index, version, carried, batch_id, rejected)
-
-    def _write_all(self, rows, index, version, carried, batch_id, rejected) -> DataFrame:
-        written = self._write_data(rows, version)
-        self._commit(
-            Index(
-                version=version,
-                batch_id=index.batch_id if batch_id is None else batch_id,
-                schema=json.dumps(rows.schema.jsonValue()),
-                files=carry_counts(carried, written),
-            )
-        )
-        fs, staging = hadoop_path(self.spark, f"{self.root}/staging/v={version:08d}")
+        return self._write_all(merged, index, attempt, carried, rejected)
+
+    def _write_all(self, rows, index, attempt, carried, rejected) -> DataFrame:
+        written = self._write_data(rows, attempt)
+        schema = json.dumps(rows.schema.jsonValue())
+        self._commit(Index(index.version + 1, index.batches, schema, files=carry_counts(carried, written)))
+        fs, staging = hadoop_path(self.spark, f"{self.root}/staging/{attempt}")
         fs.delete(staging, True)
         return rejected
 
@@ -216,58 +225,90 @@ class NoticeStore:
             dated = F.coalesce(day, F.lit(UNDATED)) != UNDATED
             rows = rows.withColumn("day", F.when(dated, day).otherwise(F.col("day")))
         rows = last_write_wins(rows, self.key, self.order)
-        version = index.version + 1
-        written = self._write_data(rows, version)
-        self._commit(
-            Index(version, index.batch_id, json.dumps(rows.schema.jsonValue()), files=written)
-        )
+        written = self._write_data(rows, f"v={index.version + 1:08d}-{uuid.uuid4().hex[:12]}")
+        schema = json.dumps(rows.schema.jsonValue())
+        self._commit(Index(index.version + 1, index.batches, schema, files=written))
 
-    def vacuum(self) -> list[str]:
-        """Delete version folders that the newest index does not use; returns their names."""
-        index = self.index()
-        used = {e.path.split("/")[1] for e in index.files}
-        fs, folder = hadoop_path(self.spark, f"{self.root}/data")
+    def vacuum(self, older_than: float = 7 * 86400) -> list[str]:
+        """Delete partitions that the newest index does not use; returns their paths below the root.
+
+        Only what was last written ``older_than`` seconds ago goes, so that a running commit keeps its files;
+        the same holds for what dead attempts left in the staging folder.
+        """
+        used = {e.path for e in self.index().files}
+        limit = (time.time() - older_than) * 1000
         removed = []
-        if fs.exists(folder):
-            for status in fs.listStatus(folder):
-                if status.getPath().getName() not in used:
+        for folder in (*self._folders("data"), *self._folders("staging")):
+            fs, path = hadoop_path(self.spark, f"{self.root}/{folder}")
+            parts = [s for s in fs.listStatus(path) if s.getPath().getName().startswith((_FOLDER, "latest", "newer"))]
+            for status in parts:
+                name = f"{folder}/{status.getPath().getName()}"
+                if name not in used and status.getModificationTime() <= limit:
                     fs.delete(status.getPath(), True)
-                    removed.append(status.getPath().getName())
+                    removed.append(name)
+            if parts and not any(s.isDirectory() for s in fs.listStatus(path)):
+                fs.delete(path, True)
         return sorted(removed)
 
+    def _folders(self, top: str) -> list[str]:
+        fs, path = hadoop_path(self.spark, f"{self.root}/{top}")
+        return [f"{top}/{s.getPath().getName()}" for s in fs.listStatus(path)] if fs.exists(path) else []
+
     # ---- files
 
-    def _land(self, df: DataFrame, version: int, name: str = "latest") -> DataFrame:
-        path = f"{self.root}/staging/v={version:08d}/{name}"
-        df.write.mode("overwrite").parquet(path)
+    def _land(self, df: DataFrame, attempt: str, name: str = "latest") -> DataFrame:
+        path = f"{self.root}/staging/{attempt}/{name}"
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def _write_data(self, rows: DataFrame, version: int) -> list[Entry]:
-        folder = f"data/v={version:08d}"
-        tagged = rows.withColumns({"p_mode": F.col("mode"), "p_day": F.col("day")})
+    def _write_data(self, rows: DataFrame, attempt: str) -> list[Entry]:
+        folder = f"data/{attempt}"
         # Rebalancing cuts a day that holds many rows into several tasks and files.
-        tagged.hint("rebalance", *_FOLDER_KEYS).write.mode("overwrite").partitionBy(
-            *_FOLDER_KEYS
-        ).parquet(f"{self.root}/{folder}")
+        tagged = rows.withColumn(_FOLDER, _folder()).hint("rebalance", _FOLDER)
+        tagged.write.partitionBy(_FOLDER).parquet(f"{self.root}/{folder}")
         stored = self.spark.read.schema(rows.schema).option("recursiveFileLookup", True)
         counts = stored.parquet(f"{self.root}/{folder}").groupBy("mode", "day").count()
         return [
-            Entry(r["mode"], r["day"], f"{folder}/p_mode={r['mode']}/p_day={r['day']}", r["count"])
-            for r in counts.collect()  # one row per written partition
+            Entry(r["mode"], r["day"], f"{folder}/{_FOLDER}={r['part']}", r["count"])
+            for r in counts.withColumn("part", _folder()).collect()  # one row per written partition
         ]
 
     def _commit(self, index: Index) -> None:
+        """Publish an index whole, or raise :class:`CommitConflict` if its version exists."""
         index.updated_at = datetime.now(timezone.utc).isoformat()
-        index.files = sorted(index.files, key=lambda e: (e.date, e.mode))
+        index.files = sorted(index.files, key=lambda e: (e.date, e.mode or ""))
         text = json.dumps(asdict(index), ensure_ascii=False, indent=1)
-        fs, final = hadoop_path(self.spark, f"{self.root}/index/v{index.version:08d}.json")
-        _, draft = hadoop_path(self.spark, f"{self.root}/index/.draft-v{index.version:08d}")
+        name = f"{self.root}/index/v{index.version:08d}"
+        fs, final = hadoop_path(self.spark, f"{name}.json")
+        _, draft = hadoop_path(self.spark, f"{self.root}/index/.draft-{uuid.uuid4().hex}")
+        _, claim = hadoop_path(self.spark, f"{self.root}/index/.claim-v{index.version:08d}")
         fs.mkdirs(final.getParent())
         stream = fs.create(draft, True)
         stream.write(bytearray(text.encode("utf-8")))
         stream.close()
-        if fs.exists(final) or not fs.rename(draft, final):
-            raise CommitConflict(f"version {index.version} exists")
+        if not self._claim(fs, claim):
+            fs.delete(draft, False)
+            raise CommitConflict(f"version {index.version} is being written")
+        try:
+            if fs.exists(final) or not fs.rename(draft, final):
+                raise CommitConflict(f"version {index.version} exists")
+        finally:
+            fs.delete(draft, False)
+            fs.delete(claim, False)
+
+    def _claim(self, fs, claim) -> bool:
+        """Create a file that must not exist, as one step: only its owner may rename an index into place."""
+        if fs.exists(claim) and fs.getFileStatus(claim).getModificationTime() < (time.time() - CLAIM_SECONDS) * 1000:
+            fs.delete(claim, False)
+        if fs.getUri().getScheme() == "file":
+            return self.spark._jvm.java.io.File(claim.toUri().getPath()).createNewFile()
+        try:
+            fs.create(claim, False).close()
+        except Exception as error:  # the file system's own class for "exists"
+            if "AlreadyExists" in str(error) or "AlreadyBeingCreated" in str(error):
+                return False
+            raise
+        return True
 
 
 def carry_counts(previous: list[Entry], written: list[Entry]) -> list[Entry]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import hadoop_path
 from ..sources.store import NoticeStore
 
 
@@ -19,15 +22,18 @@ def stream_upsert(
 ) -> StreamingQuery:
     """Merge arriving rows into the store at ``root``.
 
-    The batch id is committed with the data, so a repeated micro-batch changes nothing. The
+    The batch id is committed with the data under the id of the query, so a repeated micro-batch changes
+    nothing, and streams with other checkpoints, old or new, write to the same store. Changes that cannot be
+    placed go to ``dead_letter``, by default a folder of the store. The
     result does not depend on how the input is cut into files, because the arrival order
     column decides which copy of a key stays.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rejected = NoticeStore(batch.sparkSession, root, key, order).upsert(batch, batch_id)
-        if rejected is not None and dead_letter:
-            rejected.write.mode("overwrite").parquet(f"{dead_letter}/batch={batch_id}")
+        stream = query_id(batch.sparkSession, checkpoint)
+        rejected = NoticeStore(batch.sparkSession, root, key, order).upsert(batch, batch_id, stream)
+        folder = dead_letter or f"{root}/dead_letter"
+        rejected.write.mode("overwrite").parquet(f"{folder}/stream={stream}/batch={batch_id}")
 
     return (
         changes.writeStream.foreachBatch(merge)
@@ -37,6 +43,16 @@ def stream_upsert(
     )
 
 
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave the query of a checkpoint; a new checkpoint has another one."""
+    fs, path = hadoop_path(spark, f"{checkpoint}/metadata")
+    stream = fs.open(path)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))["id"]
+    finally:
+        stream.close()
+
+
 def stream_keep_first(changes: DataFrame, key: str, event_time: str, delay: str) -> DataFrame:
     """The first arrival of each key; state is kept for ``delay`` of event time.
 

@@ -254,10 +254,48 @@ def test_new_columns_and_compaction(spark, store):
     assert sorted((r["key"], r["extra"]) for r in store.read().collect())[-1] == ("bid:6", "e")
     store.compact(day=F.lit("2024-02-01"))
     assert [tuple(r) for r in store.daily_index().select("date", "count").collect()] == [("2024-02-01", 4)]
-    assert store.vacuum() == ["v=00000001", "v=00000002"]
+    assert store.vacuum() == []  # too young
+    removed = store.vacuum(older_than=0)
+    assert removed and all("v=00000003" not in name for name in removed)
+    assert store.vacuum(older_than=0) == []
     assert store.read().count() == 4
 
 
+def test_losing_writer_changes_nothing(spark, store, monkeypatch):
+    """Both read the same version; the second one to publish gets a conflict, and the first one's rows stay."""
+    ours, theirs = make(spark, ("bid:7", "bid", "2024-01-05", 9, "a", "ours")), make(spark, ("bid:8", "bid", "2024-01-05", 9, "a", "theirs"))
+    other = NoticeStore(spark, store.root)
+    commit = NoticeStore._commit
+
+    def overtaken(self, index):
+        monkeypatch.setattr(NoticeStore, "_commit", commit)
+        other.upsert(theirs)
+        commit(self, index)
+
+    monkeypatch.setattr(NoticeStore, "_commit", overtaken)
+    with pytest.raises(CommitConflict):
+        store.upsert(ours)
+    assert ("bid:8", "2024-01-05", "theirs") in stored(store)
+    store.upsert(ours)
+    assert {("bid:7", "2024-01-05", "ours"), ("bid:8", "2024-01-05", "theirs")} <= set(stored(store))
+
+
+def test_streams_have_batches_of_their_own(spark, store):
+    one, two = make(spark, ("bid:7", "bid", "2024-01-05", 9, "a", "x")), make(spark, ("bid:8", "bid", "2024-01-05", 9, "a", "y"))
+    store.upsert(one, 5, "first")
+    store.upsert(two, 0, "second")
+    store.upsert(make(spark, ("bid:8", "bid", "2024-01-05", 10, "a", "again")), 0, "second")
+    assert {("bid:7", "2024-01-05", "x"), ("bid:8", "2024-01-05", "y")} <= set(stored(store))
+
+
+def test_modes_that_make_no_plain_path(spark, store):
+    odd = make(spark, ("bid:7", "a:b", "2024-01-05", 9, "a", "x"), ("bid:8", None, "2024-01-05", 9, "a", "y"), ("bid:9", "c/d=e", "2024-01-05", 9, "a", "z"))
+    store.upsert(odd)
+    store.upsert(make(spark, ("bid:8", "bid", "2024-01-06", 10, "a", "moved")))
+    assert {("bid:7", "2024-01-05", "x"), ("bid:8", "2024-01-06", "moved"), ("bid:9", "2024-01-05", "z")} <= set(stored(store))
+    assert store.read().count() == 6
+
+
 def test_jobs_follow_data(spark, tmp_path):
     schema = "job_id string"
     assert completed_jobs(spark, str(tmp_path), schema).count() == 0
@@ -286,7 +324,7 @@ def test_stream_equals_batch(spark, tmp_path, files):
 def test_repeated_micro_batch_is_skipped(spark, store):
     store.upsert(make(spark, ("bid:7", "bid", "2024-01-01", 9, "a", "seven")), batch_id=3)
     version = store.index().version
-    assert store.upsert(make(spark, ("bid:7", "bid", "2024-01-02", 10, "a", "again")), batch_id=3) is None
+    assert store.upsert(make(spark, ("bid:7", "bid", "2024-01-02", 10, "a", "again")), batch_id=3).count() == 0
     assert store.index().version == version
 
 
