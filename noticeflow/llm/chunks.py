@@ -13,9 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from noticeflow.llm import words
 
@@ -43,6 +44,43 @@ def chunked(documents: DataFrame, id_col: str, text_col: str, chunk_bytes: int =
     return rows.mapInArrow(_cut(chunk_bytes), schema)
 
 
+def packed_chunks(documents: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """The same chunks to be shuffled: (chunk, ids, sizes, data), the texts as one zstandard frame."""
+    rows = _rows(documents, id_col, text_col)
+    schema = StructType(
+        [
+            StructField("chunk", LongType()),
+            StructField("ids", ArrayType(rows.schema["ids"].dataType)),
+            StructField("sizes", ArrayType(LongType())),
+            StructField("data", BinaryType()),
+        ]
+    )
+
+    def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in _cut(chunk_bytes)(batches):
+            data, offsets = text_bytes(batch.column("texts").values)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("chunk"),
+                    batch.column("ids"),
+                    _one_list(pa.array(np.diff(offsets), pa.int64())),
+                    pa.array([packer.compress(data)], pa.binary()),
+                ],
+                schema.names,
+            )
+
+    return rows.mapInArrow(pack_texts, schema)
+
+
+def chunk_texts(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a chunk's texts, packed or not."""
+    if "data" not in batch.schema.names:
+        return text_bytes(batch.column("texts")[i].values)
+    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(batch.column("data")[i].as_buffer()), dtype=np.uint8)
+    return data, np.concatenate([[0], np.cumsum(batch.column("sizes")[i].values.to_numpy())])
+
+
 def map_chunks(documents: DataFrame, id_col: str, text_col: str, function, schema, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``chunked(...).mapInArrow(function, schema)`` in one Python worker, so that chunks don't go back and forth."""
     cut = _cut(chunk_bytes)

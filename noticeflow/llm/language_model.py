@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,10 @@ LOWERED = np.frombuffer(words.LOWER_TABLE, dtype=np.uint8)
 
 @dataclass(frozen=True)
 class Settings:
-    """``discount`` and ``strength`` of the restaurants of one-word contexts and of their parent; sweeps of the sampler."""
+    """``discount`` and ``strength`` of the restaurants of one-word contexts and of their parent; sweeps of the sampler.
+
+    ``rounds``: parts into which the contexts are split, seated one after the other.
+    """
 
     discount: float = 0.85
     strength: float = 1.0
@@ -30,6 +34,7 @@ class Settings:
     parent_strength: float = 1.0
     burn_in: int = 1
     samples: int = 3
+    rounds: int = 3
     seed: int = 42
 
 
@@ -67,7 +72,7 @@ def score(
     keyed = documents.select(
         F.struct(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(True)).alias("learn")).alias("key"), F.col(text_col).alias("text")
     )
-    rows = chunks.chunked(keyed, "key", "text")
+    rows = chunks.packed_chunks(keyed, "key", "text")
 
     asked = chunks.map_chunks(
         keyed, "key", "text", _ask_words(buckets), "chunk long, bucket int, hashes binary, counts binary"
@@ -81,14 +86,11 @@ def score(
     total, types = per.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
 
     answers = counts.select("chunk", F.lit(0).alias("kind"), "bucket", "a", *(F.lit(None).cast("binary").alias(c) for c in "bc"))
-    pairs = _with_answers(rows, answers).mapInArrow(
-        _ask_pairs(buckets), "chunk long, bucket int, contexts binary, sizes binary, followers binary, counts binary, base binary"
-    )
-    seated = pairs.groupBy("bucket").applyInArrow(
-        _seat(settings, total, types, buckets),
-        "chunk long, bucket int, a binary, b binary, c binary, hashes binary, tables binary",
-    )
-    seated = tables.staged(seated, "seats")
+    # one part of the contexts after the other, so that the pairs of a part are all that is under way
+    parts = [
+        tables.staged(_seated(rows, answers, settings, total, types, buckets, part), "seats") for part in range(settings.rounds)
+    ]
+    seated = reduce(DataFrame.union, parts)
 
     parents = seated.where("chunk IS NULL").select("chunk", "bucket", "hashes", F.col("tables").alias("counts"))
     parent = asked.unionByName(parents).groupBy("bucket").applyInArrow(
@@ -116,6 +118,18 @@ def score(
     return _with_answers(rows, answers).mapInArrow(_apply(settings, buckets, known, schema.names), schema)
 
 
+def _seated(rows, answers, settings: Settings, total: int, types: int, buckets: int, part: int) -> DataFrame:
+    """Answers and customers of the parent from every ``rounds``-th bucket of contexts."""
+    pairs = _with_answers(rows, answers).mapInArrow(
+        _ask_pairs(buckets, settings.rounds, part),
+        "chunk long, bucket int, contexts binary, sizes binary, followers binary, counts binary, base binary",
+    )
+    return pairs.groupBy("bucket").applyInArrow(
+        _seat(settings, total, types, buckets),
+        "chunk long, bucket int, a binary, b binary, c binary, hashes binary, tables binary",
+    )
+
+
 def _with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
     # rows of equal content share their answers, which then come more than once
     listed = answers.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "a", "b", "c")).alias("answers"))
@@ -124,7 +138,7 @@ def _with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
 
 def _tokens(batch: pa.RecordBatch, i: int):
     """(token hashes, document of each, distinct hashes in order, index of each token in them)"""
-    data, offsets = chunks.text_bytes(batch.column("texts")[i].values)
+    data, offsets = chunks.chunk_texts(batch, i)
     data = LOWERED[data]
     starts, ends = words.spans(data)
     doc = np.searchsorted(offsets[1:], starts, side="right")
@@ -206,7 +220,7 @@ def _joined(answers: dict[int, np.ndarray], cuts: np.ndarray, dtype) -> np.ndarr
     return np.concatenate([answers[int(b)] for b in used]) if len(used) else np.empty(0, dtype=dtype)
 
 
-def _ask_pairs(buckets: int):
+def _ask_pairs(buckets: int, rounds: int, part: int):
     names = ["chunk", "bucket", "contexts", "sizes", "followers", "counts", "base"]
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +238,8 @@ def _ask_pairs(buckets: int):
             cuts = chunks.bucket_cuts(contexts, bounds)
             tops = np.append(first, len(context))
             out = []
-            for b in np.flatnonzero(np.diff(cuts)):
+            used = np.flatnonzero(np.diff(cuts))
+            for b in used[used % rounds == part]:
                 own = slice(cuts[b], cuts[b + 1])
                 pairs = slice(tops[cuts[b]], tops[cuts[b + 1]])
                 out.append(
@@ -234,9 +249,10 @@ def _ask_pairs(buckets: int):
                     )
                 )
             kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names
-            )
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names
+                )
 
     return ask
 

@@ -330,10 +330,9 @@ def read_tokens(spark: SparkSession, path: str, only: Callable[[Column], Column]
 
 def as_array(ids: Column) -> Column:
     """Stored ids as an array of numbers."""
-    n = (F.octet_length(ids) / 4).cast("int")
-    at = F.when(n > 0, F.sequence(F.lit(0), n - 1))
-    digits = F.hex(F.reverse(ids))
-    return F.coalesce(
-        F.transform(at, lambda i: F.conv(F.substring(digits, (n - i - 1) * 8 + 1, F.lit(8)), 16, 10).cast("long")),
-        F.array().cast("array<bigint>"),
-    )
+
+    @F.arrow_udf("array<bigint>")
+    def unpack(packed: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(x.as_buffer(), dtype="<u4").astype(np.int64) for x in packed], pa.list_(pa.int64()))
+
+    return unpack(ids)
