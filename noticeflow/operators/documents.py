@@ -27,6 +27,8 @@ ARCHIVED = (".hwp", ".hwpx", ".pdf", ".zip")
 MAX_DEPTH = 2
 MAX_ENTRIES = 5000
 MAX_BYTES = 64 * 1024 * 1024
+#: Cells of a grid that a task holds. In a table whose spans ask for more, each text stands once, in its row.
+GRID_CELLS = 50_000_000
 #: Documents whose results go back to Spark together, by their own size.
 BATCH_BYTES = 4 * 1024 * 1024
 # How a file is treated, by extension; other files are skipped. The older binary document format needs an external
@@ -213,7 +215,9 @@ def _walk_table(table: ET.Element, section: str | None, blocks: list[dict], stat
         stats["cells"] += len(row)
     stats["tables"] += 1
     stats["rows"] += len(rows)
-    blocks.append({"section": section, "kind": "table", "text": None, "rows": fill_grid(rows)})
+    cells = sum(columns * lines for row in rows for columns, lines, _ in row)
+    grid = fill_grid(rows) if cells <= GRID_CELLS else [[text for _, _, text in row] for row in rows]
+    blocks.append({"section": section, "kind": "table", "text": None, "rows": grid})
     for inner in nested:
         _walk_table(inner, section, blocks, stats)
 

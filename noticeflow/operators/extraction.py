@@ -180,23 +180,23 @@ def plan_requests(
     text: str,
     ids: str,
     size: int = IDS_PER_REQUEST_HOSTED,
+    trim: bool = False,
 ) -> DataFrame:
     """Per document one summary request (number 0), then one per chunk of ids.
 
-    Everything a request needs is in its document's row, so nothing is shuffled.
+    Requests carry the whole text. With ``trim``, for models of short context, a summary gets its head and the others
+    the windows around their ids (sizes in ``functions.ids``). Everything a request needs is in its document's row, so
+    nothing is shuffled, and sources are cut before rows are multiplied.
     """
-    chunks = F.concat(
-        F.array(F.array().cast("array<string>")), chunk_array(F.col(ids), size)
-    )
-    planned = explode_rows(documents, [*keys, F.col(text).alias("_text")], chunks, "ids", "request")
-    summary = F.size("ids") == 0
-    return planned.select(
-        *keys,
-        "request",
-        F.when(summary, F.lit("summary")).otherwise(F.lit("details")).alias("kind"),
-        "ids",
-        F.when(summary, head("_text")).otherwise(request_source(F.col("_text"), F.col("ids"))).alias("source"),
-    )
+    chunks = F.concat(F.array(F.array().cast("array<string>")), chunk_array(F.col(ids), size))
+    source = F.col(text)
+    requests = F.transform(chunks, lambda c: F.struct(
+        c.alias("ids"),
+        (F.when(F.size(c) == 0, head(source)).otherwise(request_source(source, c)) if trim else source).alias("source"),
+    ))
+    planned = explode_rows(documents, [*keys], requests, "_request", "request")
+    kind = F.when(F.size("_request.ids") == 0, F.lit("summary")).otherwise(F.lit("details"))
+    return planned.select(*keys, "request", kind.alias("kind"), "_request.ids", "_request.source")
 
 
 def prompt_ids(prompt: Column | str) -> Column:
@@ -289,7 +289,7 @@ def build_items(
     keys: Sequence[str],
     order: Sequence[str],
     fields: Sequence[str],
-    part_size: int = 1000,
+    part_size: int,
     **options,
 ) -> DataFrame:
     """Rows to ``items`` arrays per key, in order.

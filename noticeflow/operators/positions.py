@@ -1,8 +1,8 @@
 """Positions and running sums inside ordered groups of any size.
 
-A window over ``partitionBy(group)`` puts each group into one task. Groups up to
-``GROUP_ROWS`` rows are numbered that way. A larger group is range-partitioned by its order,
-numbered inside each range, and shifted by the sizes of the ranges before it.
+A window over ``partitionBy(group)`` puts each group into one task. Here all rows are range-partitioned by
+group and order, numbered inside each range, and shifted by the sizes of the ranges before it, so that a
+group may be larger than a task.
 """
 
 from __future__ import annotations
@@ -14,8 +14,6 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
-GROUP_ROWS = 4_000_000
-
 
 def running(
     df: DataFrame,
@@ -24,7 +22,6 @@ def running(
     name: str,
     value: Column | None = None,
     before: bool = False,
-    group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Add the running sum of ``value`` (default: the 1-based position) along ``order``.
 
@@ -33,26 +30,7 @@ def running(
     """
     value = F.lit(1).cast("long") if value is None else value.cast("long")
     df = df.withColumn(name, value)
-    if not group:
-        return _by_range(df, [], order, name, before)
-    large = (
-        df.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > group_rows)
-        .drop("_rows")
-    )
-    # The list of large groups is no longer than rows / GROUP_ROWS.
-    names = large.collect()
-    if not names:
-        return _by_window(df, group, order, name, before)
-    large = df.sparkSession.createDataFrame(names, large.schema)
-    same = [F.col(f"d.{g}").eqNullSafe(F.col(f"l.{g}")) for g in group]
-    listed = F.broadcast(large.alias("l"))
-    small = df.alias("d").join(listed, same, "left_anti")
-    hot = df.alias("d").join(listed, same, "left_semi")
-    return _by_window(small, group, order, name, before).unionByName(
-        _by_range(hot, group, order, name, before)
-    )
+    return _by_range(df, group, order, name, before)
 
 
 def _frame(group: Sequence[str], order: Sequence[str | Column], before: bool):
@@ -73,14 +51,14 @@ def _by_range(df, group, order, name, before) -> DataFrame:
         df.orderBy(*group, *order).withColumn("_range", F.spark_partition_id())
     )
     pieces = placed.groupBy(*group, "_range").agg(F.sum(name).alias("_piece"))
-    # One row per range and large group, so the window and the broadcast stay small.
+    # One row per group and range; adaptive execution broadcasts them if they are few.
     earlier = _frame(group, ["_range"], before=True) if group else (
         Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     )
     pieces = pieces.withColumn("_shift", F.coalesce(F.sum("_piece").over(earlier), F.lit(0)))
     inside = _by_window(placed, [*group, "_range"], order, name, before)
     same = [F.col(f"i.{g}").eqNullSafe(F.col(f"p.{g}")) for g in [*group, "_range"]]
-    joined = inside.alias("i").join(F.broadcast(pieces.alias("p")), same)
+    joined = inside.alias("i").join(pieces.alias("p"), same)
     columns = [
         (F.col(f"i.{c}") + F.col("p._shift")).alias(c) if c == name else F.col(f"i.{c}")
         for c in df.columns
@@ -123,12 +101,9 @@ def page(
     pages = max(1, -(-rows // size))
     number = min(max(1, number), pages)
     first = (number - 1) * size
-    if first + size <= 10_000:
-        shown = df.orderBy(*order).offset(first).limit(size)
-    else:  # a deep page: number all rows instead of sorting a long head in one task
-        numbered = running(df, [], order, "_pos")
-        shown = numbered.where(F.col("_pos").between(first + 1, first + size)).drop("_pos")
-        shown = shown.orderBy(*order)
+    # Numbering all rows holds for any depth; sorting a head would put it into one task.
+    numbered = running(df, [], order, "_pos")
+    shown = numbered.where(F.col("_pos").between(first + 1, first + size)).drop("_pos").orderBy(*order)
     return shown.withColumns({"page": F.lit(number), "pages": F.lit(pages)})
 
 

@@ -19,6 +19,10 @@ from .config import CollectConfig
 from .jobs import date_chunks, plan_jobs, resume_pending
 
 _ARRIVAL = ["job_ix", "page", "item_ix"]
+STORED = (
+    "key string, mode string, day string, seq struct<run:int,job_ix:int,page:int,item_ix:int>, "
+    "business_type string, item map<string,string>"
+)
 
 
 def search(items: DataFrame, spec: SourceSpec, filters: Mapping[str, str | None]) -> DataFrame:
@@ -80,6 +84,8 @@ def collect(
         rejected = store.upsert(rows)
     else:
         scopes = _scopes(succeeded)
+        if not scopes:  # every job failed: what is stored stays
+            return failed, None
         begin, end = min(s[2] for s in scopes), max(s[3] for s in scopes)
         scope = reduce(Column.__or__, [notices.in_job_scope(m, b, e, t) for m, t, b, e in scopes])
         rejected = store.replace_scope(rows, None, begin, end, scope)
@@ -99,8 +105,6 @@ def _scopes(jobs: DataFrame) -> list[tuple[str, str, str, str]]:
             last[3] = end
         else:
             merged.append([mode, type_, begin, end])
-    if not merged:
-        raise ValueError("no job succeeded")
     return [(m, t, b.isoformat(), e.isoformat()) for m, t, b, e in merged]
 
 
@@ -109,9 +113,10 @@ def downloads(
     spec: SourceSpec = BID,
     institutions: tuple[str, ...] = (),
     pattern: str = ".",
-    limit: int = 50,
+    *,
+    limit: int,
 ) -> DataFrame:
-    """Attachments to fetch: the newest notices of the institutions, matching files only.
+    """Attachments to fetch: the ``limit`` newest notices of the institutions, matching files only.
 
     ``records`` has ``item`` (map) and ``arrival`` (a number).
     """
@@ -128,15 +133,21 @@ def texts(files: DataFrame) -> DataFrame:
     return documents.convert_documents(files).withColumn("markdown", documents.to_markdown("blocks"))
 
 
-def verified_results(responses: DataFrame, sources: DataFrame, keys: list[str]) -> DataFrame:
-    """Parsed and verified extraction results from answers as JSON text in ``raw``.
+def verified_results(responses: DataFrame, sources: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Verified extraction results from answers as JSON text in ``raw``, and the failed ones with their reason.
 
-    ``sources`` has the keys and ``markdown``. Answers that are no JSON drop out; see
-    ``sources.landed.tag_failures`` for keeping them.
+    ``sources`` has the keys and ``markdown``, with an optional ``sequence``: the documents of a notice are put together
+    in its order, and a result is verified against all of them.
     """
-    parsed = responses.select(*keys, extraction.normalise_keys("raw").alias("_r"))
+    order = [F.col("sequence")] if "sequence" in sources.columns else []
+    part = F.struct(*order, F.col("markdown"))
+    whole = sources.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["markdown"]), "\n\n").alias("markdown")
+    )
+    parsed = responses.select(*keys, "raw", extraction.normalise_keys("raw").alias("_r"))
     results = parsed.where("_r is not null").select(*keys, "_r.*")
-    return verification.verify_results(results, sources, keys)
+    failed = parsed.where("_r is null").select(*keys, "raw", F.lit("the answer is no JSON object").alias("reason"))
+    return verification.verify_results(results, whole, keys), failed
 
 
 def browse(
@@ -151,6 +162,8 @@ def browse(
 ) -> DataFrame:
     """One page of stored notices, newest first, with the state of their analysis."""
     rows = store.read(begin.isoformat(), end.isoformat(), mode or None)
+    if rows is None:  # nothing was ever stored
+        rows = store.spark.createDataFrame([], STORED)
     specs = [s for s in (PRE, BID) if mode in (None, "", s.mode)]
     shown = union_all(
         *[

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach.
 
     Taken from ``spark.checkpoint.dir``. Only a local session, where driver and executors
-    are one process, may fall back to a folder of its own.
+    are one process, may fall back to a folder of its own, below the warehouse.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -24,7 +23,8 @@ def shared_root(spark: SparkSession) -> str:
         raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
     application = spark.sparkContext.applicationId
     if application not in _local_roots:
-        _local_roots[application] = tempfile.mkdtemp(prefix="noticeflow-")
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        _local_roots[application] = f"{warehouse}/.noticeflow-{uuid.uuid4().hex[:12]}"
         _delete_on_exit(spark, _local_roots[application])
     return _local_roots[application]
 
@@ -55,18 +55,3 @@ def _delete_on_exit(spark: SparkSession, path: str) -> None:
     fs, jpath = hadoop_path(spark, path)
     fs.mkdirs(jpath)
     fs.deleteOnExit(jpath)
-
-
-SMALL_SCAN_SPLITS = 32
-
-
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Deal the rows of a small scan out over all task slots.
-
-    For costly work per row on a few files: a split may hold no row group at all, so a handful
-    of splits can mean a single busy task. A scan of more splits, or of as many as there are
-    slots, is left as it is. Filters and column pruning still reach the scan.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    return df.repartition(slots) if splits <= SMALL_SCAN_SPLITS and splits < slots else df

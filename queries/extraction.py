@@ -44,13 +44,13 @@ def declared_count(spark, sf_dir):
 def ground_excerpt(spark, sf_dir):
     """Benchmark passages in any document."""
     quotes = table(spark, sf_dir, "benchmark")
-    grounded = excerpts.ground_excerpt(quotes, "text", table(spark, sf_dir, "documents", spread=True), "doc_id", "text")
+    grounded = excerpts.ground_excerpt(quotes, "text", table(spark, sf_dir, "documents"), "doc_id", "text")
     return grounded.select("item_id", "too_short", "found", "texts", "first_text")
 
 
 def ground_items(spark, sf_dir):
     """Benchmark passages and their shortened copies as one result, checked in one text each."""
-    texts = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     item = F.struct(F.concat(F.lit("ECR-"), "doc_id").alias("id"), F.substring("text", 30, 70).alias("detail"))
     upper = F.struct(F.lit("ECR-x").alias("id"), F.upper(F.substring("text", 30, 70)).alias("detail"))
     short = F.struct(F.lit("ECR-y").alias("id"), F.substring("text", 1, 20).alias("detail"))
@@ -69,7 +69,7 @@ def verify_extraction(spark, sf_dir):
     items = F.slice(F.array(item(1, detail(1)), item(2, second)), F.lit(1), (1 + k % 2).cast("int"))
     declared = F.when(k % 4 == 0, F.lit(None).cast("int")).otherwise((1 + k % 3 + F.when(k % 11 == 0, 1).otherwise(0)).cast("int"))
     markdown = F.concat(F.lit("ECR–001 ECR-002 "), detail(1), F.lit("\n"), detail(2))
-    result = notices(spark, sf_dir, spread=True).select("number", check.verification(expected, declared, items, markdown).alias("v"))
+    result = notices(spark, sf_dir).select("number", check.verification(expected, declared, items, markdown).alias("v"))
     joined = lambda field: F.array_join(f"v.{field}", " / ")
     return result.select(
         "number", "v.verified", joined("errors").alias("errors"), joined("warnings").alias("warnings"),
@@ -85,8 +85,17 @@ def chunk_ids(spark, sf_dir):
 
 def plan_requests(spark, sf_dir):
     found = F.array_sort(ids.extract_ids("text", WORD))
-    documents = table(spark, sf_dir, "documents", spread=True).withColumn("ids", found)
-    requests = ex.plan_requests(documents, ["doc_id"], "text", "ids")
+    documents = table(spark, sf_dir, "documents").withColumn("ids", found)
+    return _digests(ex.plan_requests(documents, ["doc_id"], "text", "ids", trim=True))
+
+
+def plan_whole_requests(spark, sf_dir):
+    found = F.array_sort(ids.extract_ids("text", WORD))
+    documents = table(spark, sf_dir, "documents").withColumn("ids", found)
+    return _digests(ex.plan_requests(documents, ["doc_id"], "text", "ids"))
+
+
+def _digests(requests):
     return requests.select(
         "doc_id", "request", "kind", F.array_join("ids", " ").alias("ids"), F.md5("source").alias("digest")
     )
@@ -110,7 +119,7 @@ def merge_responses(spark, sf_dir):
 
 def retry_missing(spark, sf_dir):
     """Words of each document that no answer named, as the requests of the next round."""
-    documents = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = documents.select("doc_id", F.explode(ids.extract_ids("text", WORD)).alias("id"))
     answered = words.where(F.length("id") > 6)
     requests = ex.retry_missing(documents, words, answered, ["doc_id"], "id", attempt=1, size=10)
@@ -127,7 +136,7 @@ def items(spark, sf_dir):
     spec = lambda name, value: F.struct(F.lit(name).alias("field"), value.alias("quantity"))
     quantity = F.when(F.col("l_quantity") % 2 == 0, F.floor("l_quantity").cast("string")).otherwise("")
     size = F.when(F.col("p_size") % 3 == 0, F.col("p_size").cast("string"))
-    return slots(spark, sf_dir, spread=True).select(
+    return slots(spark, sf_dir).select(
         F.col("l_orderkey").alias("number"),
         *ITEM_ORDER,
         F.concat(F.lit("ECR-"), F.lpad(F.col("l_partkey").cast("string"), 6, "0")).alias("id"),
@@ -165,7 +174,7 @@ def build_items(spark, sf_dir):
 def explode_items(spark, sf_dir):
     """Words of the documents as items; documents without any stay."""
     words = F.transform(ids.extract_ids("text", WORD), lambda w: F.struct(w.alias("word"), F.length(w).alias("chars")))
-    documents = table(spark, sf_dir, "documents", spread=True).select("doc_id", words.alias("items"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", words.alias("items"))
     return ex.explode_items(documents).select("doc_id", "word", "chars")
 
 
@@ -177,11 +186,11 @@ def collect_alerts(spark, sf_dir):
         F.struct(F.lit("ECR-3").alias("id"), F.split("title", " ").alias("doubts")),
         F.struct(F.lit("ECR-4").alias("id"), F.array().cast("array<string>").alias("doubts")),
     )
-    return reports.collect_alerts(notices(spark, sf_dir, spread=True), ["number"], reports.item_alerts(missing, errors, made))
+    return reports.collect_alerts(notices(spark, sf_dir), ["number"], reports.item_alerts(missing, errors, made))
 
 
 def analysis_summary(spark, sf_dir):
-    documents = table(spark, sf_dir, "documents", spread=True)
+    documents = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("verified"))
     results = documents.join(labels, "doc_id").select(
         "doc_id", "verified", F.concat_ws("-", "lang", "source").alias("analysed_at"), ids.extract_ids("text", WORD).alias("items")
@@ -201,7 +210,7 @@ def _answers(spark, sf_dir):
         F.when(k % 5 == 0, F.lit("")).otherwise(F.lit(',"기타요구사항":[]')), F.when(k % 7 == 0, F.lit(',"extra":1')).otherwise(F.lit("")), F.lit("}"),
     )
     raw = F.when(k % 3 == 0, strict).when(k % 3 == 1, loose).otherwise(F.lit("{broken"))
-    return notices(spark, sf_dir, spread=True).select("number", "title", raw.alias("raw"))
+    return notices(spark, sf_dir).select("number", "title", raw.alias("raw"))
 
 
 def normalise_keys(spark, sf_dir):
@@ -310,6 +319,14 @@ QUERIES = {
           md5(string_agg({_window_sql('text', 'word')}, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY i))
         FROM x GROUP BY doc_id, request""",
     ),
+    "plan_whole_requests": (
+        plan_whole_requests,
+        f"""WITH w AS (SELECT doc_id, text, {_WORDS} AS l FROM documents),
+        c AS (SELECT doc_id, text, l, unnest(range(0, len(l), 15)) AS s FROM w)
+        SELECT doc_id, 0 AS request, 'summary' AS kind, '' AS ids, md5(text) AS digest FROM documents
+        UNION ALL
+        SELECT doc_id, CAST(s // 15 + 1 AS INTEGER), 'details', array_to_string(l[s + 1 : s + 15], ' '), md5(text) FROM c""",
+    ),
     "choose_expected": (
         choose_expected,
         """WITH s AS (SELECT conv_id, count(DISTINCT turn) FILTER (role = 'user') AS d,

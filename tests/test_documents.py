@@ -43,10 +43,10 @@ def document(*blocks) -> bytes:
     return archive({"Contents/section0.xml": section(*blocks)})
 
 
-IDS = [f"ECR-{('COM', 'HW', 'NW', 'SW')[i % 4]}-{i + 1:02d}" for i in range(42)]
+IDS = [f"ECR-{'PQXYZ'[i % 5] * 2}-{3 * i + 5:03d}" for i in range(31)]
 SAMPLE = document(
-    p(" ".join(IDS) + "◦ 보존" * 179),
-    tbl(tr(tc("세부내용", 'colSpan="2"')), tr(tc("CPU"), tc("16 core"))),
+    p(" ".join(IDS) + "◦ 점검" * 57),
+    tbl(tr(tc("점검 주기", 'colSpan="2"')), tr(tc("발전기"), tc("30일"))),
 )
 
 
@@ -66,10 +66,10 @@ def convert(spark):
 def test_sample_document(convert):
     made = convert({"01_a.hwpx": SAMPLE})["01", "01_a.hwpx"]
     assert made["kind"] == "hwpx" and made["reason"] is None
-    assert sum(i in made["markdown"] for i in IDS) == 42
-    assert made["stats"].asDict() == {"sections": 1, "tables": 1, "rows": 2, "cells": 3, "bullets": 179}
-    assert "| 세부내용 | 세부내용 |\n| --- | --- |\n| CPU | 16 core |" in made["markdown"]
-    assert made["markdown"].startswith("<!-- Contents/section0.xml -->\n\nECR-COM-01 ")
+    assert sum(i in made["markdown"] for i in IDS) == 31
+    assert made["stats"].asDict() == {"sections": 1, "tables": 1, "rows": 2, "cells": 3, "bullets": 57}
+    assert "| 점검 주기 | 점검 주기 |\n| --- | --- |\n| 발전기 | 30일 |" in made["markdown"]
+    assert made["markdown"].startswith("<!-- Contents/section0.xml -->\n\n" + IDS[0] + " ")
     assert made["markdown"].endswith("|\n")
 
 
@@ -90,9 +90,33 @@ def test_grid(rows, grid):
     assert docs.fill_grid(rows) == grid
 
 
-def test_huge_spans_are_an_error(convert):
+def test_huge_spans_keep_their_text(convert):
     made = convert({"01_a.hwpx": document(tbl(tr(tc("x", 'rowSpan="90000" colSpan="90000"'))))})
-    assert made["01", "01_a.hwpx"]["kind"] == "error"
+    assert made["01", "01_a.hwpx"]["blocks"][1]["rows"] == [["x"]]
+
+
+def test_spans_beyond_the_old_limit_are_filled():
+    grid = docs.fill_grid([[(2000, 3000, "x")]])
+    assert len(grid) == 3000 and all(len(line) == 2000 and line[-1] == "x" for line in grid[::500])
+
+
+def test_broken_files_are_error_rows(convert):
+    inner = document(p("fine"))
+    corrupt = bytearray(archive({"a.hwpx": inner, "b.hwpx": document(p("more"))}))
+    middle = len(corrupt) // 3
+    corrupt[middle : middle + 40] = bytes(40)
+    deep = "<hp:p>" * 5000 + "</hp:p>" * 5000
+    made = convert(
+        {
+            "01_bad.zip": bytes(corrupt),
+            "02_deep.hwpx": archive({"Contents/section0.xml": f"<hp:sec xmlns:hp='x'>{deep}</hp:sec>"}),
+            "03_enc.hwpx": archive({"Contents/section0.xml": b"<?xml version='1.0' encoding='euc-kr-none'?><a/>"}),
+            "04_ok.hwpx": inner,
+        }
+    )
+    kinds = {name: row["kind"] for (_, name), row in made.items()}
+    assert kinds["01_bad.zip"] == "error" and "a.hwpx" not in kinds  # nothing of a broken archive comes out
+    assert kinds["03_enc.hwpx"] == "error" and kinds["04_ok.hwpx"] == "hwpx" and kinds["02_deep.hwpx"] in ("error", "hwpx")
 
 
 def test_nested_tables_follow_their_block(convert):

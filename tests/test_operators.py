@@ -58,7 +58,7 @@ def skewed(spark):
 @pytest.mark.parametrize("before", [False, True])
 def test_large_groups(skewed, before):
     plain = positions.running(skewed, ["g"], ["o"], "n", F.col("v"), before)
-    split = positions.running(skewed, ["g"], ["o"], "n", F.col("v"), before, group_rows=15)
+    split = positions.running(skewed, ["g"], ["o"], "n", F.col("v"), before)
     key = lambda r: (r[0] or "", r[1])
     assert sorted(map(tuple, plain.collect()), key=key) == sorted(map(tuple, split.collect()), key=key)
 
@@ -79,7 +79,7 @@ def test_deep_page(spark):
 
 
 def test_chunks_of_a_hot_group(skewed):
-    chunks = positions.chunk_ids(skewed.where("g is not null"), ["g"], ["o"], "o", 7, group_rows=20)
+    chunks = positions.chunk_ids(skewed.where("g is not null"), ["g"], ["o"], "o", 7)
     assert chunks.agg(F.max(F.size("ids"))).first()[0] == 7
     assert chunks.agg(F.sum(F.size("ids"))).first()[0] == 880
     firsts = chunks.where("g = 'hot'").orderBy("chunk").select("ids").collect()
@@ -263,7 +263,7 @@ def test_normalised_result_conforms(spark):
 
 def test_build_items_keeps_all_in_parts(spark):
     df = spark.range(25).select(F.lit("d").alias("doc"), F.col("id").alias("pos"), F.col("id").cast("string").alias("v"))
-    for options in ({}, {"group_rows": 5}):
+    for options in ({},):
         built = extraction.build_items(df, ["doc"], ["pos"], ["v"], part_size=10, **options).orderBy("part").collect()
         assert [len(r["items"]) for r in built] == [10, 10, 5]
         assert [i["v"] for r in built for i in r["items"]] == [str(i) for i in range(25)]

@@ -82,7 +82,7 @@ def test_downloads(spark):
         ],
         "arrival int, item map<string,string>",
     )
-    listed = programs.downloads(records, BID, ("연금",), "제안요청서").collect()
+    listed = programs.downloads(records, BID, ("연금",), "제안요청서", limit=50).collect()
     assert [(r["number"], r["slot"], r["url"], r["target"]) for r in listed] == [("1", 1, "https://h/2", "01_v2.hwp")]
 
 
@@ -91,5 +91,22 @@ def test_verified_results(spark):
     good = {"requirements": [{"id": "ECR-1"}], "ecr": [{"id": "ECR-1", "detail": detail}]}
     responses = spark.createDataFrame([("n1", json.dumps(good)), ("n2", "{broken")], "notice string, raw string")
     sources = spark.createDataFrame([("n1", "ECR-1 " + detail)], "notice string, markdown string")
-    made = programs.verified_results(responses, sources, ["notice"]).collect()
-    assert [(r["notice"], r["verification"]["verified"]) for r in made] == [("n1", True)]
+    made, failed = programs.verified_results(responses, sources, ["notice"])
+    assert [(r["notice"], r["verification"]["verified"]) for r in made.collect()] == [("n1", True)]
+    assert [(r["notice"], r["raw"]) for r in failed.collect()] == [("n2", "{broken")]
+
+
+def test_quote_of_the_second_document_is_verified(spark):
+    detail = "The supplier shall keep the servers of both sites in step and report every gap within an hour."
+    answer = {"requirements": [{"id": "ECR-1"}], "ecr": [{"id": "ECR-1", "detail": detail}]}
+    responses = spark.createDataFrame([("n1", json.dumps(answer))], "notice string, raw string")
+    sources = spark.createDataFrame(
+        [("n1", "02", "ECR-1 " + detail), ("n1", "01", "cover page")], "notice string, sequence string, markdown string"
+    )
+    made, _ = programs.verified_results(responses, sources, ["notice"])
+    assert [r["verification"]["verified"] for r in made.collect()] == [True]
+
+
+def test_browse_of_an_empty_store(spark, tmp_path):
+    store = NoticeStore(spark, str(tmp_path / "none"))
+    assert programs.browse(store, date(2024, 1, 1), date(2024, 12, 31)).count() == 0

@@ -8,7 +8,7 @@ from noticeflow import session
 def without_setting(spark, master):
     """The session as seen where no checkpoint folder is configured."""
     context = SimpleNamespace(master=master, applicationId="app", _jsc=spark.sparkContext._jsc)
-    conf = SimpleNamespace(get=lambda key, default=None: default)
+    conf = SimpleNamespace(get=lambda key, default=None: spark.conf.get(key) if "warehouse" in key else default)
     return SimpleNamespace(conf=conf, sparkContext=context, _jvm=spark._jvm)
 
 
@@ -31,13 +31,5 @@ def test_local_session_has_a_folder_of_its_own(spark):
     assert first != second and first.startswith(root)
 
 
-def test_small_scans_are_spread(spark, tmp_path):
-    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
-    scan = spark.read.parquet(str(tmp_path / "t"))
-    assert session.spread_scan(scan).rdd.getNumPartitions() == 4
-    wide = spark.range(0, 100, 1, 8)
-    assert session.spread_scan(wide).rdd.getNumPartitions() == 8
-
-
 def test_checkpoint_keeps_rows(spark):
     assert session.checkpointed(spark.range(10)).count() == 10
