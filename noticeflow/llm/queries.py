@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.session import work_dir
-from noticeflow.llm import decontaminate, language_model, licenses, mixing, neighbours, quality, simhash, substrings, tokens
+from noticeflow.llm import decontaminate, language_model, lengths, licenses, mixing, neighbours, quality, simhash, substrings, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.suffix_sums(lengths.histogram(table(spark, sf_dir, "documents"), tokenizer_file()))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "tokens") + "/files"
     tokens.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file(), end=0)
@@ -139,6 +143,7 @@ FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "op1_license_scan": (op1_license_scan, None),
+    "op2_token_counts": (op2_token_counts, None),
     "op3_token_output": (op3_token_output, None),
     "op4_language_model": (op4_language_model, None),
     "op5_quality_classifier": (op5_quality_classifier, None),

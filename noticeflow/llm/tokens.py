@@ -114,7 +114,7 @@ class Encoder:
 encoder = cache(Encoder)
 
 
-def _encoded(batch: pa.RecordBatch, tokenizer: str, end: int) -> Iterator[tuple[int, np.ndarray]]:
+def encoded(batch: pa.RecordBatch, tokenizer: str, end: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids) of the texts of a batch, some at a time."""
     texts = batch.column("text")
     sizes = np.cumsum(np.array([len(t.as_buffer()) for t in texts], dtype=np.int64))
@@ -168,7 +168,7 @@ def write_tokens(
         packer = _compressor(dictionary, level)
         for batch in batches:
             counts, frames = [], []
-            for _, ids in _encoded(batch, tokenizer, end):
+            for _, ids in encoded(batch, tokenizer, end):
                 counts.append(len(ids))
                 frames.append(packer.compress(ids.tobytes()))
             arrays = [batch.column("id"), batch.column("tie"), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())]
@@ -205,7 +205,7 @@ def _train(docs: DataFrame, tokenizer: str, end: int, sample_docs: int, size: in
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = [ids.tobytes()[: 16 << 10] for _, ids in _encoded(batch, tokenizer, end)]
+            ids = [ids.tobytes()[: 16 << 10] for _, ids in encoded(batch, tokenizer, end)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["sample"])
 
     samples = sorted(bytes(r.sample) for r in chosen.mapInArrow(serialize, "sample binary").collect())

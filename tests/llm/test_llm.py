@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeflow.llm import (
-    components, decontaminate, golay, language_model, licenses, mixing, neighbours, quality, queries, simhash, substrings,
+    components, decontaminate, golay, language_model, lengths, licenses, mixing, neighbours, quality, queries, simhash, substrings,
     tokens,
 )
 from noticeflow.llm.license_templates import NOTICES
@@ -63,6 +63,34 @@ def test_licenses_odd(spark):
     assert licenses.scan_licenses(df.union(df)).count() == 6
 
 
+def test_lengths_on_the_table(docs, rows):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_file())
+    sizes = [len(tokenizer.encode(t, add_special_tokens=False).ids) for _, t in rows]
+    sums = lengths.suffix_sums(lengths.histogram(docs, queries.tokenizer_file())).cache()
+    out = {r.length: r for r in sums.collect()}
+    assert set(out) == set(sizes)
+    for n, r in out.items():
+        longer = [x for x in sizes if x > n]
+        assert (r.docs, r.tokens, r.docs_longer, r.tokens_longer) == (sizes.count(n), n * sizes.count(n), len(longer), sum(longer))
+        assert r.truncated_tokens == sum(min(x, n) for x in sizes) and r.share == pytest.approx(1 - len(longer) / len(sizes))
+    limits = [0, 1, 77, 512, 2048, 10**6]
+    got = {r.context: r for r in lengths.at_limits(sums, limits).collect()}
+    for limit in limits:
+        want = (sum(sizes), sum(min(x, limit) for x in sizes), sum(x > limit for x in sizes))
+        assert (got[limit].total_tokens, got[limit].truncated_tokens, got[limit].truncated_docs) == want
+    assert lengths.quantile(sums, 0.5) == sorted(sizes)[(len(sizes) - 1) // 2]
+
+
+def test_lengths_odd(spark):
+    df = odd(spark, None, "", "a b", (None, "a b"), LONG)
+    counts = lengths.histogram(df, queries.tokenizer_file(), extra=1)
+    assert {r.length: r.docs for r in counts.collect() if r.length < 100} == {1: 2, 3: 2} and counts.count() == 3
+    empty = lengths.suffix_sums(lengths.histogram(df.limit(0), queries.tokenizer_file()))
+    assert empty.count() == 0 and lengths.quantile(empty, 0.5) is None
+
+
 def test_tokens_on_the_table(spark, docs, rows, tmp_path):
     from tokenizers import Tokenizer
 
