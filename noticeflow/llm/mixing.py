@@ -94,6 +94,7 @@ def mix(
     block_tokens: int = 1 << 20,
     bucket_docs: int = 10_000,
     seed: int = 42,
+    broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """Documents in the order of a mixture: ``document`` (a struct of all columns), ``source, pass, block, position``.
 
@@ -104,7 +105,8 @@ def mix(
     Null is a source of its own. Null token counts are 0; documents without tokens come with their neighbours, and
     sources without any tokens are taken once. Rows that repeat are documents like others. An empty table gives an empty
     result. The orders are hashes of the row, so that a run repeated gives the same. A source's stream is summed up in
-    buckets of about ``bucket_docs`` documents, so no task has to hold a source.
+    buckets of about ``bucket_docs`` documents, so no task has to hold a source. The sums of buckets are broadcast up to
+    ``broadcast_rows`` rows, which are counted; beyond that their join shuffles.
     """
     rows = documents.select(
         F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("document"),
@@ -131,6 +133,8 @@ def mix(
         F.col("source").alias("s"), F.col("pass").alias("p"), F.col("bucket").alias("b"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
     )
+    # a row for each ten thousand documents; joined without a second shuffle of the documents while they are few
+    sums = tables.small(tables.staged(sums, "sums"), broadcast_rows)
     within = Window.partitionBy("source", "pass", "bucket").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
     placed = drawn.withColumn("inner", F.coalesce(F.sum("tokens").over(within), F.lit(0)))
     same = placed.source.eqNullSafe(sums.s) & (placed["pass"] == sums.p) & (placed.bucket == sums.b)
