@@ -17,7 +17,9 @@ from noticeflow.llm import chunks, tables, words
 #: The end of a text, as a word hash; it is also the context of the first word.
 END = np.uint64(0xA0761D6478BD642F)
 #: Text whose pairs one task holds.
-BUCKET_BYTES = 6 << 20
+BUCKET_BYTES = 3 << 20
+#: Text of a chunk of documents.
+CHUNK_BYTES = 2 << 20
 LOWERED = np.frombuffer(words.LOWER_TABLE, dtype=np.uint8)
 
 
@@ -72,10 +74,10 @@ def score(
     keyed = documents.select(
         F.struct(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(True)).alias("learn")).alias("key"), F.col(text_col).alias("text")
     )
-    rows = chunks.packed_chunks(keyed, "key", "text")
+    rows = chunks.packed_chunks(keyed, "key", "text", CHUNK_BYTES)
 
     asked = chunks.map_chunks(
-        keyed, "key", "text", _ask_words(buckets), "chunk long, bucket int, hashes binary, counts binary"
+        keyed, "key", "text", _ask_words(buckets), "chunk long, bucket int, hashes binary, counts binary", CHUNK_BYTES
     )
     asked = tables.staged(asked, "words")
     counts = asked.groupBy("bucket").applyInArrow(
