@@ -82,6 +82,22 @@ def components(prints, bits=4):
     return {ids[i]: ids[find(i)] for i in range(len(ids))}
 
 
+def shingles(text, size=5):
+    w = SPACED.findall(lower(text))
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def linked(values, near):
+    """id -> smallest id reachable over links of values that are near each other."""
+    root = {i: i for i in values}
+    for i in sorted(values):
+        for j in sorted(values):
+            if i < j and near(values[i], values[j]):
+                old, new = sorted((root[i], root[j]))[::-1]
+                root = {k: new if r == old else r for k, r in root.items()}
+    return root
+
+
 def repeats(rows, window=35):
     """Per row: (n_words, n_removed, sha256 of the kept words)."""
     split = [SPACED.findall(text or "") for _, text in rows]

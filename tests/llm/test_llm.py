@@ -9,8 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeflow.llm import (
-    components, decontaminate, golay, language_model, lengths, licenses, mixing, neighbours, quality, queries, simhash, substrings,
-    tokens,
+    components, decontaminate, golay, language_model, lengths, licenses, mixing, neighbours, quality, queries, resemblance, simhash,
+    substrings, tokens,
 )
 from noticeflow.llm.license_templates import NOTICES
 
@@ -405,6 +405,34 @@ def test_pipeline_stages(spark):
         docs = after
 
 
+def test_pipeline_drops_copies_with_edits(spark):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    originals = [[f"word{rng.randrange(3000)}" for _ in range(200)] for _ in range(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(originals)]
+    for i, w in enumerate(originals):
+        for copy in range(1, 4):
+            edited = list(w)
+            # three edits change at most 15 of 196 shingles; eight change 40 of them, so those are not near
+            for at in (20, 90, 160) if copy < 3 else range(10, 190, 23):
+                edited[at] = f"edit{copy}x{at}"
+            rows.append((100 * copy + i, " ".join(edited)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, SF_DIR).collect()}
+    assert out == set(range(20)) | set(range(300, 320))
+
+
+@pytest.mark.parametrize("group", [1024, 8])
+def test_resembling_texts_on_the_table(docs, rows, group):
+    sets = {i: brute.shingles(t) for i, t in rows}
+    want = brute.linked(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    by = {}
+    for r in resemblance.groups(docs, "doc_id", "text", group=group).collect():
+        by.setdefault(r.root, set()).add(r.doc_id)
+    assert {i: min(ids) for ids in by.values() for i in ids} == want
+
+
 @pytest.mark.parametrize("name", queries.QUERIES)
 def test_queries_run(spark, name):
     query, sql = queries.QUERIES[name]
