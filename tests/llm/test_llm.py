@@ -423,6 +423,20 @@ def test_pipeline_drops_copies_with_edits(spark):
     assert out == set(range(20)) | set(range(300, 320))
 
 
+def test_pipeline_keeps_unlike_texts_of_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    def text(i):
+        return " ".join(f"t{i}w{k}" for k in range(30))
+
+    rows = [(None, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (None, text(4)), (8, text(3)),
+            (None, text(5)), (None, text(5)), (9, text(6)), (9, text(6)), (None, None), (10, None), (11, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_copies(spark, docs, SF_DIR).collect()), key=str)
+    want = [(None, text(0)), (None, text(1)), (None, text(2)), (7, text(3)), (7, text(4)), (None, text(5)), (9, text(6)), (10, None)]
+    assert out == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("group", [1024, 8])
 def test_resembling_texts_on_the_table(docs, rows, group):
     sets = {i: brute.shingles(t) for i, t in rows}
