@@ -106,7 +106,7 @@ def _spans(docs, candidates, templates, gram: int, slack: int, least_score: floa
     per = lines.groupBy("s_id", "s_t1", "s_t2", "template", "label", "base", "runs").agg(
         F.array_sort(F.collect_set(line)).alias("lines")
     )
-    merged = F.when(F.col("base"), F.col("lines")).otherwise(_merged("lines", slack))
+    merged = F.when(F.col("base"), F.transform("lines", lambda s: F.struct(s["start"], s["end"], s["votes"]))).otherwise(_merged("lines", slack))
     scored = F.transform(merged, lambda s: F.struct(
         F.col("label"), F.col("base"), s["start"].alias("start"), s["end"].alias("end"),
         (F.size(F.array_distinct(s["votes"])) / F.col("runs")).alias("score"),
@@ -120,20 +120,41 @@ def _spans(docs, candidates, templates, gram: int, slack: int, least_score: floa
 
 
 def _merged(lines: str, slack: int) -> Column:
-    """Join neighbouring diagonals, in order of their first hits."""
+    """Join lines with every open span beside them, in order of their first hits.
+
+    A span keeps its least and greatest diagonal; as its lines lie at most ``slack`` diagonals apart, one within
+    ``slack`` of these two is as near to one of them. A span is closed when a line starts further behind its end.
+    """
+
+    def add(state: Column, line: Column) -> Column:
+        def beside(s: Column) -> Column:
+            return line["diagonal"].between(s["low"] - slack, s["high"] + slack)
+
+        def reached(s: Column) -> Column:
+            return line["start"] <= s["end"] + slack
+
+        joined = F.filter(state["open"], lambda s: reached(s) & beside(s))
+
+        def each(field: str) -> Column:
+            return F.transform(joined, lambda s: s[field])
 
-    def add(done: Column, line: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        beside = (line["start"] <= last["end"] + slack) & (F.abs(line["diagonal"] - last["diagonal"]) <= slack)
         grown = F.struct(
-            last["start"].alias("start"), F.greatest(last["end"], line["end"]).alias("end"),
-            line["diagonal"].alias("diagonal"), F.concat(last["votes"], line["votes"]).alias("votes"),
-        )
-        head = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when(beside, F.concat(head, F.array(grown))).otherwise(F.concat(done, F.array(line)))
-
-    none = F.array().cast("array<struct<start:int,end:int,diagonal:int,votes:array<int>>>")
-    return F.aggregate(lines, none, add)
+            F.least(line["start"], F.array_min(each("start"))).alias("start"),
+            F.greatest(line["end"], F.array_max(each("end"))).alias("end"),
+            F.least(line["diagonal"], F.array_min(each("low"))).alias("low"),
+            F.greatest(line["diagonal"], F.array_max(each("high"))).alias("high"),
+            F.array_union(F.flatten(each("votes")), line["votes"]).alias("votes"),
+        )
+        return F.struct(
+            F.concat(F.filter(state["open"], lambda s: reached(s) & ~beside(s)), F.array(grown)).alias("open"),
+            F.concat(state["closed"], F.filter(state["open"], lambda s: ~reached(s))).alias("closed"),
+        )
+
+    none = F.array().cast("array<struct<start:int,end:int,low:int,high:int,votes:array<int>>>")
+    start = F.struct(none.alias("open"), none.alias("closed"))
+    return F.aggregate(lines, start, add, lambda state: F.transform(
+        F.concat(state["closed"], state["open"]), lambda s: F.struct(s["start"], s["end"], s["votes"])
+    ))
 
 
 def _by_start(a: Column, b: Column) -> Column:

@@ -63,6 +63,23 @@ def test_licenses_odd(spark):
     assert licenses.scan_licenses(df.union(df)).count() == 6
 
 
+def test_licenses_with_words_put_in_at_every_place(spark):
+    rows = []
+    for label, notice in NOTICES.items():
+        w = notice.split()
+        rows += [(f"{label} {i}", " ".join([*w[:i], "inserted", *w[i:]])) for i in range(len(w) + 1)]
+        if len(w) > 40:
+            rows += [
+                (f"{label} {i} {j}", " ".join([*w[:i], "inserted", *w[i:j], "again", *w[j:]]))
+                for i in range(0, len(w), 3) for j in range(i + 8, len(w), 3)
+            ]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    out = licenses.scan_licenses(df).collect()
+    assert len(out) == len(rows)
+    lost = [r.doc_id for r in out if r.doc_id.split()[0] not in {s.label for s in r.spans if not s.base}]
+    assert lost == []
+
+
 def test_lengths_on_the_table(docs, rows):
     from tokenizers import Tokenizer
 
