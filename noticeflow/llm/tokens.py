@@ -42,7 +42,11 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        # the library looks for added tokens before it splits a text: texts that hold one are encoded in one piece
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_ODD_SPACE.pattern, *map(re.escape, added)]))
+        # side by side, pieces could only form an added token that holds white space
+        self.joins = not any(re.search(r"\s", content) for content in added)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         vocabulary = self.tokenizer.get_vocab()
         # a character of a byte-level token stands for a byte
@@ -58,8 +62,8 @@ class Encoder:
 
     def _learn(self, pieces: list[bytes]) -> None:
         # Pieces between white space and a word's end keep their ids side by side, so many are encoded as one text.
-        inner = [p for p in pieces if p[0] in _SPACES and p[-1] not in _SPACES]
-        outer = [p for p in pieces if p[0] not in _SPACES or p[-1] in _SPACES]
+        inner = [p for p in pieces if self.joins and p[0] in _SPACES and p[-1] not in _SPACES]
+        outer = [p for p in pieces if not self.joins or p[0] not in _SPACES or p[-1] in _SPACES]
         for at in range(0, len(inner), 4096):
             part = inner[at : at + 4096]
             [found] = self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)
@@ -90,7 +94,7 @@ class Encoder:
         pieces: list[bytes] = []
         counts, whole = [], {}
         for i, text in enumerate(texts):
-            if _ODD_SPACE.search(text):
+            if self.whole.search(text):
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 whole[i] = np.array([*ids, end], dtype=self.width)
                 counts.append(0)

@@ -142,6 +142,19 @@ def test_pieces_encode_as_the_whole_text():
         assert got.tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 7]
 
 
+def test_special_tokens_in_texts_encode_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_file())
+    texts = ["hi <|endoftext|> there", "<|endoftext|>", "a<|endoftext|>b  c", "\n<|endoftext|>\t<|endoftext|> x", "<|endoftext| >", "x y"]
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(want[0]) == 4
+    for ids, got in zip(want, tokens.Encoder(queries.tokenizer_file()).encode(texts, 7), strict=True):
+        assert got.tolist() == [*ids, 7]
+    counts = lengths.histogram(odd(spark, *texts), queries.tokenizer_file()).collect()
+    assert sum(r.length * r.docs for r in counts) == sum(map(len, want))
+
+
 def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 1
 
