@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.session import work_dir
-from noticeflow.llm import decontaminate, language_model, lengths, licenses, mixing, neighbours, quality, simhash, substrings, tokens
+from noticeflow.llm import (
+    decontaminate, importance, jaccard, language_model, lengths, licenses, mixing, neighbours, prefix_trie, quality, simhash, substrings,
+    tokens,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -113,6 +116,27 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weighed = importance.weigh(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), buckets=10_000)
+    digest = F.sha2(F.concat(F.lit("42:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
+    h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double")
+    noise = F.floor(-1000 * F.ln(-F.ln((h + 0.5) / 4294967296.0)))
+    out = importance.draw(weighed, noise, F.col("doc_id"), F.col("n_words") >= 20, percent=5)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.join(table(spark, sf_dir, "documents"), shingle=3, percent=90)
+    return out.select("doc_id", "n_shingles", "component_id")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.numbered(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
+    head = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    rebuilt = prefix_trie.with_heads(prefix_trie.sequences(turns, "conv_id"), F.col("conv_id") - F.col("conv_id") % 100, head, most=5)
+    return prefix_trie.nodes(rebuilt)
+
+
 # Windows of all items as a table, and equality joins on them.
 OP10_SQL = r"""
 WITH doc_words AS (
@@ -152,4 +176,7 @@ QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "op8_substring_dedup": (op8_substring_dedup, None),
     "op9_temperature_mixing": (op9_temperature_mixing, None),
     "op10_decontamination": (op10_decontamination, OP10_SQL),
+    "op11_importance_resampling": (op11_importance_resampling, None),
+    "op12_jaccard_join": (op12_jaccard_join, None),
+    "op13_conversation_trie": (op13_conversation_trie, None),
 }

@@ -133,3 +133,63 @@ def passages(rows, items, window=13):
                     found |= at
         out[doc] = (len(w), len(hit), sorted(found))
     return out
+
+
+def buckets(text, size=10_000):
+    """(n_words, bucket of every run of one to three words)"""
+    w = ALNUM.findall(lower(text))
+    runs = [" ".join(w[i : i + n]) for n in (1, 2, 3) for i in range(len(w) - n + 1)]
+    return len(w), [zlib.crc32(r.encode()) % size for r in runs]
+
+
+def resampled(rows, target, percent=5, least=20):
+    """[(doc_id, n_features, weight, score, rank)], for distinct ids."""
+    found = {i: buckets(t) for i, t in rows}
+    s, t = Counter(b for _, bs in found.values() for b in bs), Counter(b for text in target for b in buckets(text)[1])
+    all_s, all_t = s.total() + 10_000.0, t.total() + 10_000.0
+    gain = [math.floor(1000 * math.log((t[b] + 1) * all_s / ((s[b] + 1) * all_t))) for b in range(10_000)]
+    out = []
+    for i, (n, bs) in found.items():
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[b] for b in bs)
+        out.append((i, n, len(bs), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))))
+    able = sorted((r for r in out if r[1] >= least), key=lambda r: (-r[4], r[0] is not None, r[0]))
+    rank = {r[0]: k for k, r in enumerate(able[: percent * len(able) // 100], start=1)}
+    return sorted(((i, f, w, score, rank.get(i)) for i, _, f, w, score in out), key=str)
+
+
+def rebuilt(rows):
+    """conv_id -> its turns (role, text), with the head taken from conversation c - c % 100."""
+    turns = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            turns[c].append((turn is not None, turn or 0, role or "", text or ""))
+    own = {c: [t[2:] for t in sorted(ts)] for c, ts in turns.items()}
+    out = {}
+    for c, ts in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        out[c] = own.get(c - int(math.fmod(c, 100)), [])[:h] + ts[h:]
+    return out
+
+
+def trie(sequences):
+    """Sorted rows of the trie's nodes, in the order of the contract's columns."""
+    members, ends = defaultdict(set), defaultdict(list)
+    for c, ts in sequences.items():
+        ends[tuple(ts)].append(c)
+        for d in range(len(ts) + 1):
+            members[tuple(ts[:d])].add(c)
+    children = Counter(k[:-1] for k in members if k)
+    leaves, saved = Counter(), Counter()
+    for k, ms in members.items():
+        for d in range(len(k) + 1):
+            leaves[k[:d]] += not children[k]
+            saved[k[:d]] += (len(ms) - 1) * len(k[-1][1]) if k else 0
+    return sorted(
+        (
+            (min(ms), len(k), min(members[k[:-1]]) if k else None, len(ms), children[k], leaves[k], saved[k],
+             hashlib.sha256(",".join(map(str, sorted(ends[k]))).encode()).hexdigest())
+            for k, ms in members.items()
+        ),
+        key=str,
+    )
