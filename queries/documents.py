@@ -30,11 +30,10 @@ def page_markdown(spark, sf_dir):
             F.lit("").alias("section"),
             F.lit("paragraph").alias("kind"),
             b["text"].alias("text"),
-            F.lit(None).cast("array<array<string>>").alias("rows"),
+            F.lit(None).cast(docs.GRID).alias("rows"),
         ),
     )
-    shown = F.filter(blocks, lambda b: b["text"] != "")
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(docs.to_markdown(shown)).alias("digest"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(docs.to_markdown(blocks)).alias("digest"))
 
 
 def notice_xml(spark, sf_dir):
@@ -112,15 +111,26 @@ def natural_sort(spark, sf_dir):
 
 _XML_TITLE = "title || ' ◦ one ◦ two'"
 
-_BLOCKS_SQL = r"""
-  WITH p AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html,
-      '(?is)<script\b.*?</script>|<style\b.*?</style>|<head\b.*?</head>', ' ', 'g'),
-      '(?i)<(h1|p|li)(?:\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g'),
-      '(?i)</(?:h1|p|li|ul|nav|div|article|footer|body|html)>', chr(3), 'g') AS html FROM pages),
-  s AS (SELECT page_id, string_split(html, chr(1))[2:] AS l FROM p),
-  b AS (SELECT page_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS piece FROM s),
-  c AS (SELECT page_id, pos, lower(string_split(piece, chr(2))[1]) AS kind,
-      string_split(regexp_replace(piece, '^[^' || chr(2) || ']*' || chr(2), ''), chr(3))[1] AS html FROM b)
+# Walks all pages at once, a block tag a round, with the open elements as a list.
+_BLOCKS_SQL = rf"""
+  WITH RECURSIVE p AS (SELECT page_id, regexp_replace(regexp_replace(html,
+      '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'),
+      '(?i)<(/?)({docs.BLOCK_ELEMENTS})(?:[ \t\r\n\f/][^>]*)?>', chr(1) || '\1\2' || chr(2), 'g') AS html FROM pages),
+  s AS (SELECT page_id, string_split(html, chr(1)) AS l FROM p),
+  e AS (SELECT page_id, generate_subscripts(l, 1) AS i, unnest(l) AS piece FROM s),
+  f AS (SELECT page_id, i, CASE WHEN i = 1 THEN '' ELSE lower(string_split(piece, chr(2))[1]) END AS tag,
+      CASE WHEN i = 1 THEN piece ELSE string_split(piece, chr(2))[2] END AS html FROM e),
+  w AS (
+    SELECT page_id, i, html, CAST([] AS VARCHAR[]) AS open FROM f WHERE i = 1
+    UNION ALL
+    SELECT f.page_id, f.i, f.html, CASE
+      WHEN tag[1] <> '/' AND (open[-1] = 'p' OR open[-1] = tag AND tag IN ('li', 'dt', 'dd', 'tr', 'th', 'td'))
+        THEN list_append(open[:-2], tag)
+      WHEN tag[1] <> '/' THEN list_append(open, tag)
+      WHEN list_contains(open, tag[2:]) THEN open[:len(open) - list_position(list_reverse(open), tag[2:])]
+      ELSE open END
+    FROM w JOIN f ON f.page_id = w.page_id AND f.i = w.i + 1),
+  c AS (SELECT page_id, i AS pos, coalesce(open[-1], 'text') AS kind, html FROM w)
 """
 _BLOCK_TEXT = (
     rf"trim(regexp_replace(regexp_replace({PAGE_TEXT}, '[\t\r\n ]+', ' ', 'g'), ' *([◦•]) *', ' \1 ', 'g'), ' ')"
@@ -129,7 +139,9 @@ _BLOCK_TEXT = (
 QUERIES = {
     "page_blocks": (
         page_blocks,
-        f"{_BLOCKS_SQL} SELECT page_id, CAST(pos AS INTEGER) AS pos, kind, md5({_BLOCK_TEXT}) AS digest FROM c",
+        f"""{_BLOCKS_SQL}, t AS (SELECT page_id, pos, kind, {_BLOCK_TEXT} AS t FROM c)
+        SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS INTEGER) AS pos, kind, md5(t) AS digest
+        FROM t WHERE t <> ''""",
     ),
     "page_block_stats": (
         page_block_stats,

@@ -1,7 +1,10 @@
 import io
+import re
+import tracemalloc
 import zipfile
 
 import pytest
+from hypothesis import given, settings, strategies
 from pyspark.sql import functions as F
 
 from noticeflow.operators import documents as docs
@@ -87,17 +90,48 @@ def test_sample_document(convert):
     ],
 )
 def test_grid(rows, grid):
-    assert docs.fill_grid(rows) == grid
+    assert written(docs.fill_grid(rows)) == grid
 
 
-def test_huge_spans_keep_their_text(convert):
-    made = convert({"01_a.hwpx": document(tbl(tr(tc("x", 'rowSpan="90000" colSpan="90000"'))))})
-    assert made["01", "01_a.hwpx"]["blocks"][1]["rows"] == [["x"]]
+def written(rows):
+    return [[text for columns, text in cells for _ in range(columns)] for times, cells in rows for _ in range(times)]
 
 
-def test_spans_beyond_the_old_limit_are_filled():
-    grid = docs.fill_grid([[(2000, 3000, "x")]])
-    assert len(grid) == 3000 and all(len(line) == 2000 and line[-1] == "x" for line in grid[::500])
+def plain_grid(rows):
+    """The grid as a matrix, cell by cell."""
+    grid = {}
+    for y, row in enumerate(rows):
+        x = 0
+        for columns, lines, text in row:
+            while (y, x) in grid:
+                x += 1
+            grid |= {(y + i, x + k): text for i in range(lines) for k in range(columns)}
+            x += columns
+    height = max([len(rows), *(y + 1 for y, _ in grid)])
+    width = max((x + 1 for _, x in grid), default=0)
+    return [[grid.get((y, x), "") for x in range(width)] for y in range(height)]
+
+
+cells = strategies.tuples(strategies.integers(1, 4), strategies.integers(1, 4), strategies.sampled_from("abcdef"))
+
+
+@given(strategies.lists(strategies.lists(cells, max_size=5), max_size=6))
+@settings(max_examples=400, deadline=None)
+def test_grid_by_spans_is_the_grid_by_cells(rows):
+    assert written(docs.fill_grid(rows)) == plain_grid(rows)
+
+
+def test_huge_spans_take_no_memory(convert):
+    rows = [[(7100, 7100, "x"), (1, 1, "y")], [(2, 1, "z")]]
+    tracemalloc.start()
+    counted = sum(times * sum(columns for columns, _ in cells) for times, cells in docs.fill_grid(rows))
+    assert counted == 7100 * 7102 and tracemalloc.get_traced_memory()[1] < 100_000
+    tracemalloc.stop()
+    made = convert({"01_a.hwpx": document(tbl(tr(tc("x", 'rowSpan="7100" colSpan="300"')), tr(tc("y"))))})["01", "01_a.hwpx"]
+    assert [(r["times"], [tuple(c) for c in r["cells"]]) for r in made["blocks"][1]["rows"]] == [
+        (1, [(300, "x"), (1, "")]), (1, [(300, "x"), (1, "y")]), (7098, [(300, "x"), (1, "")]),
+    ]
+    assert made["markdown"].count("| x ") == 7100 * 300
 
 
 def test_broken_files_are_error_rows(convert):
@@ -124,7 +158,10 @@ def test_nested_tables_follow_their_block(convert):
     nested_cell = f"<hp:tc>{p('out')}<hp:p><hp:run>{inner}</hp:run></hp:p></hp:tc>"
     in_paragraph = f"<hp:p><hp:run><hp:t>before</hp:t>{inner}<hp:t>after</hp:t></hp:run></hp:p>"
     made = convert({"01_a.hwpx": document(tbl(tr(nested_cell)), in_paragraph)})["01", "01_a.hwpx"]
-    assert [(b["kind"], b["text"], b["rows"]) for b in made["blocks"]][1:] == [
+    def rows(block):
+        return block["rows"] and written((r["times"], [tuple(c) for c in r["cells"]]) for r in block["rows"])
+
+    assert [(b["kind"], b["text"], rows(b)) for b in made["blocks"]][1:] == [
         ("table", None, [["out"]]),
         ("table", None, [["in"]]),
         ("paragraph", "before after", None),
@@ -212,7 +249,21 @@ def test_blocks_keep_order(spark):
     assert parsed.where("id = 2").select("s.error").first()[0]
 
 
-def test_html_blocks(one):
-    html = "<head><p>no</p></head><body>x<H1 class='a'>T&amp;</h1><p>a<p>b <b>c</b><script><p>no</p></script></p><ul><li>d</ul>z"
+def test_html_blocks_hold_all_text(one):
+    html = (
+        "before<head><title>T</title><meta x></head><body>x<H1 class='a'>T&amp;</h1><p>a<p>b <b>c</b><script><p>no</p></script></p>"
+        "<!-- <p>no --><div>in<ul><li>d<li>e</ul>out</div></section><table><tr><td>1<td>2</table>z<footer>foot</footer>"
+    )
     found = one(docs.html_blocks(F.lit(html)))
-    assert [(b["kind"], b["text"]) for b in found] == [("h1", "T&"), ("p", "a"), ("p", "b c"), ("li", "d")]
+    assert [(b["kind"], b["text"]) for b in found] == [
+        ("text", "before"), ("title", "T"), ("body", "x"), ("h1", "T&"), ("p", "a"), ("p", "b c"), ("div", "in"), ("li", "d"), ("li", "e"),
+        ("div", "out"), ("td", "1"), ("td", "2"), ("body", "z"), ("footer", "foot"),
+    ]
+    assert one(docs.html_blocks("html"), html=(None, "string")) == [] == one(docs.html_blocks(F.lit(" <p> </p>")))
+
+
+@given(strategies.lists(strategies.sampled_from(["<p>", "</p>", "<div a='b'>", "</div>", "<li>", "</ul>", "<td>", "word", " ", "<b>", "<pre", ">"])))
+@settings(max_examples=300, deadline=None)
+def test_runs_of_a_page_leave_out_nothing_but_block_tags(pieces):
+    page = "".join(pieces)
+    assert "".join(text for _, text in docs.text_runs(page)) == re.sub(r"</?(p|div|li|ul|td|pre)( [^>]*)?>", "", page)
