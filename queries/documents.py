@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.sax.saxutils import escape
+
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from noticeflow.functions import text
 from noticeflow.functions.nested import explode_rows
 from noticeflow.operators import documents as docs, positions, reports
 from noticeflow.operators.notices import natural_order
+from noticeflow.plans import programs
 
 from .tables import NOTICES_SQL, notices, table
 from .texts import PAGE_TEXT
@@ -81,6 +88,71 @@ def grid_columns(spark, sf_dir):
     return placed.select("l_orderkey", "l_linenumber", *order, "col_span", "start_col")
 
 
+def _zipped(files: dict[str, bytes]) -> bytes:
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as out:
+        for name, data in files.items():
+            out.writestr(zipfile.ZipInfo(name), data)
+    return raw.getvalue()
+
+
+def _section(text: str, encoding: str = "UTF-8") -> bytes:
+    head = f'<?xml version="1.0" encoding="{encoding}"?><hp:sec xmlns:hp="urn:h"><hp:p><hp:t>'
+    return (head + escape(text) + "</hp:t></hp:p></hp:sec>").encode(encoding)
+
+
+def _attached(kind: int, text: str) -> bytes:
+    """A file of one of eight kinds around a text: documents, archives, nested, broken and without documents."""
+    document = {"Contents/section0.xml": _section(text)}
+    if kind == 2:
+        document = {"Contents/section10.xml": _section("tail"), "Contents/section2.xml": _section(text, "UTF-16")}
+    whole = _zipped(document)
+    if kind <= 2:
+        return whole
+    if kind == 3:
+        return whole[: len(whole) // 2]
+    if kind == 4:
+        broken = _zipped({"Contents/section0.xml": b"<hp:sec xmlns:hp='urn:h'><hp:p>"})
+        inner = _zipped({"b.pdf": text.encode(), "c.hwpx": broken, "../d.pdf": b"x"})
+        return _zipped({"\uba74/\ud55c\uae00.hwpx": whole, "note.txt": b"x", "in.zip": inner})
+    return _zipped({"readme.txt": text.encode()}) if kind == 6 else text.encode()
+
+
+@F.arrow_udf(BinaryType())
+def _attachment(kinds: pa.Array, texts: pa.Array) -> pa.Array:
+    return pa.array([_attached(k.as_py(), t.as_py()) for k, t in zip(kinds, texts, strict=True)], pa.binary())
+
+
+_FILE_NAMES = ("01_d.hwpx", "01_d.hwpx", "01_d.hwpx", "01_d.zip", "02_d.ZIP", "03_d.pdf", "04_d.zip", "05_d")
+
+
+def attached_files(spark, sf_dir):
+    """Files of eight kinds made from the documents."""
+    kind = (F.col("doc_id") % 8).cast("int")
+    plain = F.trim(F.regexp_replace("text", r"[\x00-\x20]+", " "))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("notice"),
+        F.lit("/files").alias("path"),
+        F.element_at(F.array(*map(F.lit, _FILE_NAMES)), kind + 1).alias("name"),
+        _attachment(kind, plain).alias("content"),
+    )
+
+
+def convert_documents(spark, sf_dir):
+    made = programs.texts(attached_files(spark, sf_dir))
+    reason = F.when(F.col("kind") != "error", F.col("reason"))
+    digest = F.when(F.col("kind") == "hwpx", F.md5("markdown"))
+    return made.select("notice", "sequence", "original_name", "kind", reason.alias("reason"), digest.alias("digest"))
+
+
+def expand_archives(spark, sf_dir):
+    opened = docs.expand_archives(attached_files(spark, sf_dir))
+    digest = F.when(F.lower("name").endswith(".pdf"), F.md5("content"))
+    return opened.select(
+        "notice", "sequence", "name", digest.alias("digest"), F.coalesce(F.col("reason").startswith("error: "), F.lit(False)).alias("failed")
+    )
+
+
 def kind_summary(spark, sf_dir):
     kind = F.when(F.col("lang") == "en", "hwpx").when(F.col("lang") == "fr", "pdf").otherwise("skipped")
     manifest = table(spark, sf_dir, "documents").select(
@@ -136,7 +208,34 @@ _BLOCK_TEXT = (
     rf"trim(regexp_replace(regexp_replace({PAGE_TEXT}, '[\t\r\n ]+', ' ', 'g'), ' *([◦•]) *', ' \1 ', 'g'), ' ')"
 )
 
+# Files of the documents by kind, as rows of what is in them.
+_FILES_SQL = rf"""
+  WITH d AS (SELECT doc_id % 8 AS k, CAST(doc_id AS VARCHAR) AS notice, trim(regexp_replace(text, '[\x00-\x20]+', ' ', 'g')) AS t FROM documents),
+  c AS (SELECT *, trim(regexp_replace(t, ' *([◦•]) *', ' \1 ', 'g')) AS p FROM d),
+  f AS (
+    SELECT notice, '01' AS sequence, '01_d.hwpx' AS name, 'hwpx' AS kind, NULL AS reason,
+      CASE WHEN k < 2 THEN '<!-- Contents/section0.xml -->' ELSE '<!-- Contents/section2.xml -->' END || chr(10) || chr(10)
+        || p || chr(10) || CASE WHEN k < 2 THEN '' ELSE chr(10) || '<!-- Contents/section10.xml -->' || chr(10) || chr(10)
+        || 'tail' || chr(10) END AS markdown, NULL AS content FROM c WHERE k <= 2
+    UNION ALL SELECT notice, '01', '01_d.zip', 'error', NULL, NULL, NULL FROM c WHERE k = 3
+    UNION ALL SELECT notice, '021', '면/한글.hwpx', 'hwpx', NULL,
+      '<!-- Contents/section0.xml -->' || chr(10) || chr(10) || p || chr(10), NULL FROM c WHERE k = 4
+    UNION ALL SELECT notice, '0221', 'b.pdf', 'pdf', NULL, NULL, t FROM c WHERE k = 4
+    UNION ALL SELECT notice, '0222', 'c.hwpx', 'error', NULL, NULL, NULL FROM c WHERE k = 4
+    UNION ALL SELECT notice, '03', '03_d.pdf', 'pdf', NULL, NULL, t FROM c WHERE k = 5
+    UNION ALL SELECT notice, '04', '04_d.zip', 'skipped', '{docs.EMPTY_ARCHIVE}', NULL, NULL FROM c WHERE k = 6
+    UNION ALL SELECT notice, '05', '05_d', 'skipped', '{docs.UNSUPPORTED}{docs.NO_EXTENSION}', NULL, NULL FROM c WHERE k = 7)
+"""
+
 QUERIES = {
+    "convert_documents": (
+        convert_documents,
+        f"{_FILES_SQL} SELECT notice, sequence, name AS original_name, kind, reason, md5(markdown) AS digest FROM f",
+    ),
+    "expand_archives": (
+        expand_archives,
+        f"""{_FILES_SQL} SELECT notice, sequence, name, md5(content) AS digest, kind = 'error' AND name LIKE '%.zip' AS failed FROM f""",
+    ),
     "page_blocks": (
         page_blocks,
         f"""{_BLOCKS_SQL}, t AS (SELECT page_id, pos, kind, {_BLOCK_TEXT} AS t FROM c)
