@@ -49,7 +49,7 @@ def ground_excerpt(spark, sf_dir):
 
 
 def ground_items(spark, sf_dir):
-    """Benchmark passages and their shortened copies as one result, checked in one text each."""
+    """A passage of each document, the same in capitals and a short one, checked against the document."""
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
     item = F.struct(F.concat(F.lit("ECR-"), "doc_id").alias("id"), F.substring("text", 30, 70).alias("detail"))
     upper = F.struct(F.lit("ECR-x").alias("id"), F.upper(F.substring("text", 30, 70)).alias("detail"))

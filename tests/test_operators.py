@@ -1,6 +1,7 @@
 import json
 from datetime import date
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,9 +227,29 @@ def test_excerpts_anywhere(spark):
 
 def test_rolling_hash_matches_substrings():
     value = "abc가" * 30
-    bits = excerpts.window_bits(value)
-    assert len(bits) == len(value) - 39
-    assert all(bits[i] == excerpts.window_bits(value[i : i + 40])[0] for i in range(len(bits)))
+    hashes = excerpts.window_hashes(value)
+    assert len(hashes) == len(value) - 39
+    assert all(hashes[i] == excerpts.window_hashes(value[i : i + 40])[0] for i in range(len(hashes)))
+
+
+def test_filter_grows_with_the_excerpts_and_has_few_chance_hits(spark):
+    assert excerpts.filter_bits(10) == excerpts.LEAST_BITS and excerpts.filter_bits(10**9) == excerpts.MOST_BITS
+    for many in (100, 30_000):
+        wanted = spark.range(many).select(F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 40).alias("excerpt"))
+        made = excerpts.build_filter(wanted, excerpts.filter_bits(many))
+        own = np.concatenate([excerpts.window_hashes(r[0]) for r in wanted.collect()])
+        assert len(made.passed(own)) == many  # no wanted window is lost
+        other = np.random.default_rng(many).integers(0, 2**64, 4_000_000, dtype=np.uint64)
+        assert len(made.passed(other)) <= 4
+
+
+def test_more_excerpts_than_a_filter_holds(spark):
+    texts = spark.range(300).select("id", F.concat_ws(" ", F.sha2(F.col("id").cast("string"), 256), F.sha2(F.lit("same"), 256)).alias("text"))
+    wanted = spark.range(-4000, 4000).select(F.substring(F.sha2(F.col("id").cast("string"), 256), 5, 40).alias("excerpt"))
+    wanted = wanted.union(spark.range(1).select(F.substring(F.sha2(F.lit("same"), 256), 20, 40)))
+    found = excerpts.excerpt_hits(wanted, texts, "id", "text", most_bits=16)
+    got = [(r["texts"], r["first_text"]) for r in found.collect()]
+    assert sorted(got) == [*((1, i) for i in range(300)), (300, 0)]
 
 
 # ---- extraction
