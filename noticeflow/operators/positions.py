@@ -1,6 +1,6 @@
 """Positions and running sums inside ordered groups of any size.
 
-A window over ``partitionBy(group)`` puts each group into one task. Here all rows are range-partitioned by
+A window over ``partitionBy(group)`` puts each group into one task. Here the keys of all rows are range-partitioned by
 group and order, numbered inside each range, and shifted by the sizes of the ranges before it, so that a
 group may be larger than a task.
 """
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..session import checkpointed
 
+#: Rows that a page may take from the start of an ordered result.
+HEAD = 10_000
+
 
 def running(
     df: DataFrame,
@@ -26,11 +29,17 @@ def running(
     """Add the running sum of ``value`` (default: the 1-based position) along ``order``.
 
     ``before`` leaves the row's own value out. ``order`` must be unique within a group.
-    An empty ``group`` treats the whole table as one group.
+    An empty ``group`` treats the whole table as one group. Named columns make a row's key: only they are sorted and
+    stored, and the rest of a row is joined by them. An ``order`` of other expressions sorts whole rows.
     """
     value = F.lit(1).cast("long") if value is None else value.cast("long")
-    df = df.withColumn(name, value)
-    return _by_range(df, group, order, name, before)
+    keys = [*group, *order]
+    if not all(isinstance(k, str) for k in keys) or {*df.columns} <= {*keys}:
+        return _by_range(df.withColumn(name, value), group, order, name, before)
+    placed = _by_range(df.select(*dict.fromkeys(keys), value.alias(name)), group, order, name, before)
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"k.{k}")) for k in dict.fromkeys(keys)]
+    joined = df.alias("r").join(placed.alias("k"), same)
+    return joined.select(*[F.col(f"r.{c}") for c in df.columns if c != name], F.col(f"k.{name}"))
 
 
 def _frame(group: Sequence[str], order: Sequence[str | Column], before: bool):
@@ -83,7 +92,8 @@ def chunk_ids(
     df: DataFrame, group: Sequence[str], order: Sequence[str], identifier: str, size: int, **options
 ) -> DataFrame:
     """Consecutive groups of at most ``size`` ids: one row per chunk with its ids in order."""
-    numbered = running(df, group, order, "_pos", **options)
+    keys = df.select(*dict.fromkeys([*group, *order, identifier]))
+    numbered = running(keys, group, order, "_pos", **options)
     chunked = numbered.withColumn("chunk", F.floor((F.col("_pos") - 1) / size))
     members = F.array_sort(F.collect_list(F.struct("_pos", F.col(identifier).alias("id"))))
     return (
@@ -94,19 +104,70 @@ def chunk_ids(
 
 
 def page(
-    df: DataFrame, order: Sequence[str | Column], number: int = 1, size: int = 50
+    df: DataFrame, order: Sequence[str], number: int = 1, size: int = 50, descending: Sequence[str] = (), head: int = HEAD
 ) -> DataFrame:
-    """One page of an ordered result, with ``page`` and ``pages``. The number is clamped."""
+    """One page of a result ordered by columns, with ``page`` and ``pages``. The number is clamped.
+
+    Columns in ``descending`` run downwards, with nulls last; the others upwards, with nulls first. Rows alike in all
+    of them may stand in any order. Up to ``head`` rows are cut from the first ones in order. A deeper page is looked for
+    by counts: the order columns alone are dealt into ranges, and only the rows between the bounds of the page's ranges go
+    on, until they are few.
+    """
     rows = df.count()
     pages = max(1, -(-rows // size))
     number = min(max(1, number), pages)
-    first = (number - 1) * size
-    # Numbering all rows holds for any depth; sorting a head would put it into one task.
-    numbered = running(df, [], order, "_pos")
-    shown = numbered.where(F.col("_pos").between(first + 1, first + size)).drop("_pos").orderBy(*order)
+    skip, left, part = (number - 1) * size, rows, df
+    while skip + size > head and left > head:
+        ranges = _range_counts(part, order, descending)
+        at, within = 0, []
+        for count, first, last in ranges:
+            if at < skip + size and at + count > skip:
+                within.append((at, count, first, last))
+            at += count
+        if len(within) == len(ranges):  # equal keys alone fill the ranges
+            break
+        low, high = within[0][2], within[-1][3]
+        part = part.where(_not_before(order, low, descending) & _not_before(order, high, descending, after=True))
+        skip -= within[0][0]
+        left = sum(count for _, count, *_ in within)
+    shown = part.orderBy(*_directed(order, descending)).offset(skip).limit(size)
     return shown.withColumns({"page": F.lit(number), "pages": F.lit(pages)})
 
 
+def _directed(order: Sequence[str], descending: Sequence[str]) -> list[Column]:
+    return [F.col(c).desc() if c in descending else F.col(c).asc() for c in order]
+
+
+def _range_counts(df: DataFrame, order: Sequence[str], descending: Sequence[str]) -> list[tuple]:
+    """(rows, first key, last key) of ranges of the order columns, in order. A row per range reaches the driver."""
+    ranged = df.select(*order).orderBy(*_directed(order, descending)).withColumn("_at", F.monotonically_increasing_id())
+    key = F.struct(*order)
+    counted = ranged.groupBy(F.shiftrightunsigned("_at", 33).alias("_range")).agg(
+        F.count("*").alias("n"), F.min_by(key, "_at").alias("first"), F.max_by(key, "_at").alias("last")
+    )
+    ranges: list[tuple] = []
+    for n, first, last in counted.orderBy("_range").select("n", "first", "last").collect():
+        if ranges and ranges[-1][2] == first:  # equal keys are one range
+            n, first = n + ranges[-1][0], ranges.pop()[1]
+        ranges.append((n, first, last))
+    return ranges
+
+
+def _not_before(order: Sequence[str], key: Sequence, descending: Sequence[str], after: bool = False) -> Column:
+    """Rows that do not come before the key, or with ``after``, not after it."""
+    found = F.lit(True)
+    for name, value in reversed(list(zip(order, key, strict=True))):
+        column, down = F.col(name), name in descending
+        if value is None:
+            beyond = F.lit(False) if down != after else column.isNotNull()
+        else:
+            beyond = column < value if down != after else column > value
+            if (down and not after) or (not down and after):
+                beyond = beyond | column.isNull()
+        found = F.coalesce(beyond, F.lit(False)) | (column.eqNullSafe(value) & found)
+    return found
+
+
 def grid_columns(
     df: DataFrame, row: Sequence[str], order: Sequence[str], col_span: str = "col_span", **options
 ) -> DataFrame:

@@ -173,8 +173,7 @@ def browse(
     )
     found = notices.keyword_search(shown, query)
     found = notices.optional_equals(found, business_type=business_type)
-    order = [F.col("published_at").desc(), "key"]
-    visible = positions.page(found, order, page, RESULTS_PER_PAGE)
+    visible = positions.page(found, ["published_at", "key"], page, RESULTS_PER_PAGE, descending=["published_at"])
     if analyses is not None:
         visible = notices.attach_analysis(visible, analyses)
-    return visible.orderBy(*order)
+    return visible.orderBy(F.col("published_at").desc(), "key")

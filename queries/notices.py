@@ -200,7 +200,7 @@ def top_then_filter(spark, sf_dir):
 
 def result_page(spark, sf_dir):
     found = notices(spark, sf_dir).select("number", "title", "day")
-    return positions.page(found, [F.col("day").desc(), "number"], number=3)
+    return positions.page(found, ["day", "number"], number=3, descending=["day"])
 
 
 def union_columns(spark, sf_dir):

@@ -73,12 +73,34 @@ def test_deep_page(spark):
     df = spark.range(25_000).withColumnRenamed("id", "number")
     page = positions.page(df, ["number"], number=300, size=50)
     assert [r["number"] for r in page.collect()] == list(range(14_950, 15_000))
-    last = positions.page(df, [F.col("number").desc()], number=9_999, size=50)
+    last = positions.page(df, ["number"], number=9_999, size=50, descending=["number"])
     assert [r["number"] for r in last.collect()] == list(range(49, -1, -1))
     empty = positions.page(df.where("number < 0"), ["number"], number=3)
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("head", [10_000, 40])
+def test_pages_of_any_depth_hold_the_rows_in_order(spark, head):
+    values = [(i % 7 if i % 11 else None, f"k{i % 50:02d}" if i % 13 else None, i) for i in range(600)]
+    df = spark.createDataFrame(values, "a int, b string, c int").repartition(5)
+
+    def place(v):
+        return (v[0] is None, -(v[0] or 0), v[1] is not None, v[1] or "", v[2])
+
+    ordered = sorted(values, key=place)
+    for number in (1, 2, 9, 30, 31, 99):
+        shown = positions.page(df, ["a", "b", "c"], number, size=20, descending=["a"], head=head)
+        first = (min(number, 30) - 1) * 20
+        assert [(r["a"], r["b"], r["c"]) for r in shown.collect()] == ordered[first : first + 20]
+        assert {(r["page"], r["pages"]) for r in shown.collect()} == {(min(number, 30), 30)}
+
+
+def test_page_of_equal_keys(spark):
+    df = spark.range(500).select("id", F.lit(1).alias("same"))
+    assert positions.page(df, ["same"], number=4, size=50, head=40).count() == 50
+
+
+
 def test_chunks_of_a_hot_group(skewed):
     chunks = positions.chunk_ids(skewed.where("g is not null"), ["g"], ["o"], "o", 7)
     assert chunks.agg(F.max(F.size("ids"))).first()[0] == 7
