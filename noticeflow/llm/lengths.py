@@ -24,10 +24,10 @@ def histogram(documents: DataFrame, tokenizer: str, text_col: str = "text", extr
     texts = documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for _, found in tokens.encoded(batches, tokenizer, 0):
             # the end id that the encoder appends is not counted
-            found = [len(ids) - 1 + extra for _, ids in tokens.encoded(batch, tokenizer, 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["length"])
+            sizes = [len(ids) - 1 + extra for ids in found]
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], ["length"])
 
     lengths = texts.mapInArrow(count, "length long")
     return lengths.groupBy("length").agg(F.count("*").alias("docs"), F.sum("length").alias("tokens"))

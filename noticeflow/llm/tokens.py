@@ -16,18 +16,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from noticeflow.llm import tables
+from noticeflow.llm import tables, words
 
-#: Distinct pieces of text whose ids a Python worker remembers; it then starts anew. About 100 MB.
-KNOWN_PIECES = 600_000
+#: Distinct pieces of text whose ids a task remembers; it then starts anew. About 60 MB.
+KNOWN_PIECES = 400_000
 #: Text encoded at once, and compressed frames in a row of the files.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 20
+#: New pieces that are encoded as one text, and texts handed to the library at once.
+JOINED, AT_ONCE = 64, 64
 BLOCK_BYTES = 4 << 20
 
 _SPACES = b" \t\n\r\x0b\x0c"
 _PIECE = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 # White space beyond ASCII, or taken as such by some engines: texts with it are encoded in one piece.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
+_ASCII_ODD_SPACE = re.compile("[\x1c-\x1f]")
+
+
+class _Known(dict):
+    """Numbers of pieces in the order in which they were first asked for; ``new`` holds those without ids."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, piece: bytes) -> int:
+        number = self[piece] = len(self)
+        self.new.append(piece)
+        return number
 
 
 class Encoder:
@@ -43,58 +58,60 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         # the library looks for added tokens before it splits a text: texts that hold one are encoded in one piece
-        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([_ODD_SPACE.pattern, *map(re.escape, added)]))
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         # side by side, pieces could only form an added token that holds white space
-        self.joins = not any(re.search(r"\s", content) for content in added)
+        self.joins = not any(re.search(r"\s", content) for content in self.added)
         self.width = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         vocabulary = self.tokenizer.get_vocab()
         # a character of a byte-level token stands for a byte
         self.sizes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
         self.sizes[list(vocabulary.values())] = [len(token) for token in vocabulary]
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
-        self.index: dict[bytes, int] = {}
+    def forget(self) -> None:
+        self.known = _Known()
         self.ids = np.empty(0, dtype=self.width)
         self.offsets = np.zeros(1, dtype=np.int64)
-        self.new: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def _learn(self, pieces: list[bytes]) -> None:
+    def _in_one_piece(self, text: str) -> bool:
+        odd = _ASCII_ODD_SPACE if text.isascii() else _ODD_SPACE
+        return any(content in text for content in self.added) or odd.search(text) is not None
+
+    def _learn(self) -> None:
+        """Ids of the new pieces, behind those that are known."""
+        new, self.known.new = self.known.new, []
         # Pieces between white space and a word's end keep their ids side by side, so many are encoded as one text.
-        inner = [p for p in pieces if self.joins and p[0] in _SPACES and p[-1] not in _SPACES]
-        outer = [p for p in pieces if not self.joins or p[0] not in _SPACES or p[-1] in _SPACES]
-        for at in range(0, len(inner), 4096):
-            part = inner[at : at + 4096]
-            [found] = self.tokenizer.encode_batch_fast([b"".join(part).decode()], add_special_tokens=False)
-            ids = np.array(found.ids, dtype=self.width)
-            tops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(p) for p in part])) + 1
-            self._add(part, ids, np.diff(tops, prepend=0))
-        for at in range(0, len(outer), 4096):
-            part = outer[at : at + 4096]
-            found = self.tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)
-            ids = [np.array(x.ids, dtype=self.width) for x in found]
-            self._add(part, np.concatenate(ids), np.array([len(x) for x in ids]))
-
-    def _add(self, pieces: list[bytes], ids: np.ndarray, lengths: np.ndarray) -> None:
-        self.index.update(zip(pieces, range(len(self.index), len(self.index) + len(pieces)), strict=True))
-        self.new.append((ids, lengths))
-
-    def _settle(self) -> None:
-        if self.new:
-            self.ids = np.concatenate([self.ids, *(ids for ids, _ in self.new)])
-            lengths = np.concatenate([lengths for _, lengths in self.new])
-            self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
-            self.new = []
+        inside = [self.joins and p[0] in _SPACES and p[-1] not in _SPACES for p in new]
+        inner, outer = ([i for i, x in enumerate(inside) if x == kind] for kind in (True, False))
+        ids, lengths = [np.empty(0, dtype=self.width)], [np.empty(0, dtype=np.int64)]
+        for at in range(0, len(inner), JOINED * AT_ONCE):
+            part = [new[i] for i in inner[at : at + JOINED * AT_ONCE]]
+            texts = [b"".join(part[k : k + JOINED]).decode() for k in range(0, len(part), JOINED)]
+            ids.append(self._encoded(texts)[0])
+            tops = np.searchsorted(np.cumsum(self.sizes[ids[-1]]), np.cumsum([len(p) for p in part])) + 1
+            lengths.append(np.diff(tops, prepend=0))
+        for at in range(0, len(outer), JOINED * AT_ONCE):
+            for found, values in zip((ids, lengths), self._encoded([new[i].decode() for i in outer[at : at + JOINED * AT_ONCE]]), strict=True):
+                found.append(values)
+        ids, lengths = np.concatenate(ids), np.concatenate(lengths)
+        starts = np.cumsum(lengths) - lengths
+        order = np.argsort(np.array([*inner, *outer], dtype=np.int64))
+        self.ids = np.concatenate([self.ids, ids[_spans(starts[order], lengths[order])]])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths[order])])
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one behind the other, and their numbers."""
+        found = [np.array(x.ids, dtype=self.width) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(found), np.array([len(x) for x in found], dtype=np.int64)
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """The ids of each text and the end id."""
-        if len(self.index) > KNOWN_PIECES:
-            self._forget()
+        if len(self.known) > KNOWN_PIECES:
+            self.forget()
         pieces: list[bytes] = []
         counts, whole = [], {}
         for i, text in enumerate(texts):
-            if self.whole.search(text):
+            if self._in_one_piece(text):
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 whole[i] = np.array([*ids, end], dtype=self.width)
                 counts.append(0)
@@ -102,32 +119,40 @@ class Encoder:
             found = _PIECE.findall(text.encode())
             pieces += found
             counts.append(len(found))
-        self._learn([p for p in dict.fromkeys(pieces) if p not in self.index])
-        self._settle()
-        at = np.fromiter(map(self.index.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        at = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        if self.known.new:
+            self._learn()
         first, lengths = self.offsets[at], self.offsets[at + 1] - self.offsets[at]
-        ends = np.cumsum(lengths)
-        flat = self.ids[np.repeat(first - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        tops = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        flat = self.ids[_spans(first, lengths)]
+        tops = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
         stop = np.array([end], dtype=self.width)
         return [
             whole[i] if i in whole else np.concatenate([flat[tops[i] : tops[i + 1]], stop]) for i in range(len(texts))
         ]
 
 
+def _spans(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places ``first``, ``first + 1``, ... of all spans, one behind the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(first - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
 encoder = cache(Encoder)
 
 
-def encoded(batch: pa.RecordBatch, tokenizer: str, end: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, ids) of the texts of a batch, some at a time."""
-    texts = batch.column("text")
-    sizes = np.cumsum(np.array([len(t.as_buffer()) for t in texts], dtype=np.int64))
-    at = 0
-    while at < len(texts):
-        done = sizes[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, done + ENCODE_BYTES, side="right")))
-        yield from enumerate(encoder(tokenizer).encode(texts.slice(at, to - at).to_pylist(), end), start=at)
-        at = to
+def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """(some rows of a batch, ids of their texts). What is remembered is freed at the end of the task."""
+    own = encoder(tokenizer)
+    for batch in batches:
+        texts = batch.column("text")
+        sizes = np.cumsum(np.array([len(t.as_buffer()) for t in texts], dtype=np.int64))
+        at = 0
+        while at < len(texts):
+            done = sizes[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, done + ENCODE_BYTES, side="right")))
+            yield batch.slice(at, to - at), own.encode(texts.slice(at, to - at).to_pylist(), end)
+            at = to
+    own.forget()
 
 
 def write_tokens(
@@ -170,15 +195,13 @@ def write_tokens(
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = _compressor(dictionary, level)
-        for batch in batches:
-            counts, frames = [], []
-            for _, ids in encoded(batch, tokenizer, end):
-                counts.append(len(ids))
-                frames.append(packer.compress(ids.tobytes()))
+        for batch, found in encoded(batches, tokenizer, end):
+            counts = [len(ids) for ids in found]
+            frames = [packer.compress(ids.tobytes()) for ids in found]
             arrays = [batch.column("id"), batch.column("tie"), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, frame.names)
 
-    frames = tables.staged(docs.withColumn("tie", F.xxhash64("text")).mapInArrow(compress, frame), "frames")
+    frames = tables.staged(docs.withColumn("tie", F.xxhash64("text")).mapInArrow(words.freeing(compress), frame), "frames")
     ordered = frames.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "n_tokens", "frame")
     block = StructType(
         [
@@ -192,7 +215,7 @@ def write_tokens(
             StructField("frames", BinaryType()),
         ]
     )
-    ordered.select("id", "n_tokens", "frame").mapInArrow(_blocks(key, block), block).write.parquet(f"{path}/blocks")
+    ordered.select("id", "n_tokens", "frame").mapInArrow(words.freeing(_blocks(key, block)), block).write.parquet(f"{path}/blocks")
     totals = spark.read.schema(block).parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_block").alias("n"))
     first, rows = 0, []
     for shard, n in sorted(totals.collect()):  # a row per file, not per document
@@ -205,14 +228,17 @@ def write_tokens(
 def _train(docs: DataFrame, tokenizer: str, end: int, sample_docs: int, size: int) -> tuple[bytes, str]:
     n = docs.count()
     share = min(1.0, sample_docs / max(n, 1))
-    chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40))).limit(2 * sample_docs)
+    chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    # the sample is of texts' heads, spread over all tasks
+    chosen = chosen.select(F.substring("text", 1, 64 << 10).alias("text")).limit(2 * sample_docs)
+    chosen = chosen.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("text"))
 
     def serialize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [ids.tobytes()[: 16 << 10] for _, ids in encoded(batch, tokenizer, end)]
+        for _, found in encoded(batches, tokenizer, end):
+            ids = [ids.tobytes()[: 16 << 10] for ids in found]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["sample"])
 
-    samples = sorted(bytes(r.sample) for r in chosen.mapInArrow(serialize, "sample binary").collect())
+    samples = sorted(bytes(r.sample) for r in chosen.mapInArrow(words.freeing(serialize), "sample binary").collect())
     width = encoder(tokenizer).width
     try:
         return zstandard.train_dictionary(size, samples, k=256, d=8).as_bytes(), width
@@ -329,7 +355,7 @@ def read_tokens(spark: SparkSession, path: str, only: Callable[[Column], Column]
                         schema.names,
                     )
 
-    return rows.mapInArrow(decode, schema)
+    return rows.mapInArrow(words.freeing(decode), schema)
 
 
 def as_array(ids: Column) -> Column:
