@@ -20,14 +20,17 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from noticeflow.llm import chunks, components, tables, words
 
-#: Text whose shingles one counting task holds.
+#: Text that is hashed at once, and text whose shingles one counting task holds.
+CHUNK_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
 #: Shingles behind the shared one that the trie holds.
-DEPTH = 32
+DEPTH = 24
+#: Shares of the hash space in which a set's shingles are counted: sets differ by at least what their counts differ.
+SHARES = 128
 #: Sets of a shingle that one task joins; more are dealt out in blocks of half as many.
 GROUP = 4096
 #: Rows whose tries are joined at once, and pairs of nodes that are looked at in one step.
-ROWS, FRONTIER = 1 << 14, 1 << 18
+ROWS, FRONTIER = 1 << 14, 1 << 17
 #: Rounds that link only neighbours in the order of the trie.
 CHAINS = 2
 LOWERED = np.frombuffer(words.LOWER_TABLE, dtype=np.uint8)
@@ -47,21 +50,22 @@ def join(
     table gives an empty result; other columns are ignored. A very long text is one row of its own.
 
     Every link is decided on whole sets. Shingles are 64-bit hashes; equal sets are one set from the start. A first few
-    rounds link neighbours in the trie's order, the last one takes all pairs that are not connected by then.
+    rounds link neighbours in the trie's order and the nearest sets of two components; the last one takes all pairs that
+    are not connected by then.
     """
-    rows = chunks.chunked(documents, id_col, text_col)
+    rows = chunks.chunked(documents, id_col, text_col, CHUNK_BYTES)
     buckets = chunks.bucket_count(documents, text_col, bucket_bytes)
-    asked = rows.select("chunk", "texts").mapInArrow(_ask(shingle, buckets), "chunk long, bucket int, hashes binary, counts binary")
+    asked = rows.select("chunk", "texts").mapInArrow(words.freeing(_ask(shingle, buckets)), "chunk long, bucket int, hashes binary, counts binary")
     answered = asked.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket int, counts binary")
     answers = answered.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "counts")).alias("answers"))
     joined = rows.join(answers, "chunk", "left").select("ids", "texts", "answers")
     schema = StructType(
         [StructField(id_col, rows.schema["ids"].dataType.elementType), *(StructField(c, LongType()) for c in ("n", "n1", "n2"))]
-    ).add("path", "binary").add("rest", "binary")
-    signed = tables.staged(joined.mapInArrow(_sign(shingle, percent, buckets, schema.names), schema), "sets")
+    ).add("counts", "binary").add("path", "binary").add("rest", "binary")
+    signed = tables.staged(joined.mapInArrow(words.freeing(_sign(shingle, percent, buckets, schema.names)), schema), "sets")
     open_ = signed.where("n1 IS NOT NULL")
     # a set's own number, and its shingles from one of its rows
-    sets = open_.where("path IS NOT NULL").select("n1", "n2", "n", "path", "rest").dropDuplicates(["n1", "n2"])
+    sets = open_.where("path IS NOT NULL").select("n1", "n2", "n", "counts", "path", "rest").dropDuplicates(["n1", "n2"])
     sets = tables.staged(sets.withColumn("node", F.monotonically_increasing_id()), "distinct")
     roots = _linked(sets, percent, group, depth)
     least = open_.groupBy("n1", "n2").agg(F.min(id_col).alias("least"))
@@ -78,11 +82,11 @@ def join(
 
 def _linked(sets: DataFrame, percent: int, group: int, depth: int) -> DataFrame:
     """(node, root) of the sets that are linked."""
-    keyed = sets.select("node", "n", "path").mapInArrow(_keys(percent, depth), "key long, node long, weight long, left long, path binary")
+    keyed = sets.select("node", "n", "counts", "path").mapInArrow(words.freeing(_keys(percent, depth)), _KEYED)
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     keyed = tables.staged(keyed.join(shared, "key"), "keyed")
     links, roots = None, sets.select("node", F.col("node").alias("root")).limit(0)
-    for turn in range(CHAINS + 1):
+    for turn in range(CHAINS + 2):
         placed = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         if turn == 0:
             # the shingles that most sets share stand for whole groups
@@ -91,7 +95,7 @@ def _linked(sets: DataFrame, percent: int, group: int, depth: int) -> DataFrame:
         if turn < CHAINS:
             pairs = _chained(placed, percent)
         else:
-            pairs = _joined(placed, percent, group, depth)
+            pairs = _joined(placed, percent, group, depth, turn == CHAINS)
         found = _checked(tables.staged(pairs.distinct(), "candidates"), sets, percent)
         new = not found.isEmpty()
         if new:
@@ -106,24 +110,42 @@ def _chained(placed: DataFrame, percent: int) -> DataFrame:
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, node, weight, left, root = (batch.column(c).to_numpy() for c in ("key", "node", "weight", "left", "root"))
-            gap = np.abs(np.diff(left))
-            near = (key[1:] == key[:-1]) & (root[1:] != root[:-1]) & ((100 + percent) * gap + weight[1:] + weight[:-1] <= 0)
-            yield _pairs(node[1:][near], node[:-1][near])
+            key, node, weight, size, root = (batch.column(c).to_numpy() for c in ("key", "node", "weight", "n", "root"))
+            near = np.flatnonzero((key[1:] == key[:-1]) & (root[1:] != root[:-1]) & (weight[1:] + weight[:-1] <= 0))
+            apart = _apart(_counts(batch.column("counts")), near, near + 1)
+            near = near[(100 + percent) * apart <= (100 - percent) * (size[near] + size[near + 1])]
+            yield _pairs(node[near], node[near + 1])
 
-    return ranged.mapInArrow(chain, "a long, b long")
+    return ranged.mapInArrow(words.freeing(chain), "a long, b long")
 
 
-def _joined(placed: DataFrame, percent: int, group: int, depth: int) -> DataFrame:
-    """All pairs that the tries don't rule out, of sets with different roots."""
+def _counts(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SHARES)
+
+
+def _apart(counts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shingles that two sets don't share, at least: the sum of what their counts (modulo 256) differ."""
+    out = np.empty(len(a), dtype=np.int64)
+    for at in range(0, len(a), ROWS):
+        part = slice(at, at + ROWS)
+        over = counts[a[part]] - counts[b[part]]
+        out[part] = np.minimum(over, -over).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _joined(placed: DataFrame, percent: int, group: int, depth: int, nearest: bool) -> DataFrame:
+    """Pairs that the tries don't rule out, of sets with different roots: all, or the nearest one of two roots in a trie."""
     open_ = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select("key")
     blocks = F.when(F.col("size") > group, F.ceil(F.col("size") * 2 / group)).otherwise(1).cast("int")
     cut = placed.join(open_, "key", "left_semi").withColumn("parts", blocks)
     cut = cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     dealt = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "weight", "left", "root", "path")
+    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "n", "weight", "left", "root", "counts", "path")
     dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return dealt.mapInArrow(_tries(percent, depth), "a long, b long")
+    return dealt.mapInArrow(words.freeing(_tries(percent, depth, nearest)), "a long, b long")
+
+
+_KEYED = "key long, node long, n long, weight long, left long, counts binary, path binary"
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -141,7 +163,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 kept.append((100 + percent) * same >= percent * (x["n"].as_py() + y["n"].as_py()))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return tables.staged(both.mapInArrow(similar, "a long, b long"), "links")
+    return tables.staged(both.mapInArrow(words.freeing(similar), "a long, b long"), "links")
 
 
 def _full(row: pa.StructScalar) -> np.ndarray:
@@ -234,22 +256,23 @@ def _sign(shingle: int, percent: int, buckets: int, names: list[str]):
             seen, found = set(), []
             for at, to, able in zip(offsets[:-1].tolist(), offsets[1:].tolist(), open_.tolist(), strict=True):
                 if not able:
-                    found.append((None, None, None, None))
+                    found.append((None,) * 5)
                     continue
                 digest = xxhash.xxh3_128_digest(hashes[at:to], seed=42)
                 name = int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)
                 if name in seen:
-                    found.append((*name, None, None))
+                    found.append((*name, None, None, None))
                     continue
                 seen.add(name)
                 kept = np.flatnonzero(common[at:to] > 1) + at
                 key = (common[kept].astype(np.uint64) << np.uint64(56)) | (hashes[kept] >> np.uint64(8))
                 order = np.argsort(key, kind="stable")
-                found.append((*name, key[order].tobytes(), hashes[kept][order].astype(np.uint8).tobytes()))
-            columns = list(zip(*found, strict=True)) or [()] * 4
+                shares = np.bincount((hashes[at:to] >> np.uint64(57)).astype(np.int64), minlength=SHARES).astype(np.uint8)
+                found.append((*name, shares.tobytes(), key[order].tobytes(), hashes[kept][order].astype(np.uint8).tobytes()))
+            columns = list(zip(*found, strict=True)) or [()] * 5
+            kinds = [pa.int64()] * 2 + [pa.binary()] * 3
             yield pa.RecordBatch.from_arrays(
-                [batch.column("ids")[i].values, pa.array(n, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 2 + [pa.binary()] * 2, strict=True))],
-                names,
+                [batch.column("ids")[i].values, pa.array(n, pa.int64()), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names
             )
 
     return sign
@@ -265,8 +288,8 @@ def _keys(percent: int, depth: int):
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, n, path in zip(*(batch.column(c) for c in ("node", "n", "path")), strict=True):
-                node, n = node.as_py(), n.as_py()
+            for node, n, counts, path in zip(*(batch.column(c) for c in ("node", "n", "counts", "path")), strict=True):
+                node, n, counts = node.as_py(), n.as_py(), counts.as_py()
                 path = np.frombuffer(path.as_buffer(), dtype=np.uint64)
                 prefix = len(path) + percent * n // -100 + 1
                 place = np.arange(prefix)
@@ -278,17 +301,19 @@ def _keys(percent: int, depth: int):
                     [
                         pa.array(path[:prefix].view(np.int64)),
                         pa.array(np.full(prefix, node, dtype=np.int64)),
+                        pa.array(np.full(prefix, n, dtype=np.int64)),
                         pa.array((100 + percent) * (place + n - len(path)) - (100 - percent) * n),
                         pa.array(len(path) - 1 - place),
+                        pa.array([counts] * prefix, pa.binary()),
                         pa.array([x.tobytes() for x in behind], pa.binary()),
                     ],
-                    ["key", "node", "weight", "left", "path"],
+                    [c.split()[0] for c in _KEYED.split(", ")],
                 )
 
     return keys
 
 
-def _tries(percent: int, depth: int):
+def _tries(percent: int, depth: int, nearest: bool):
     def tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for batch in batches:
@@ -299,11 +324,11 @@ def _tries(percent: int, depth: int):
                 groups = _group_numbers(table)
                 cut = int(np.searchsorted(groups, groups[-1]))  # the last group may go on
                 if cut:
-                    yield from _trie_pairs(table.slice(0, cut), groups[:cut], percent, depth)
+                    yield from _trie_pairs(table.slice(0, cut), groups[:cut], percent, depth, nearest)
                 held, rows = table.slice(cut).to_batches(), len(groups) - cut
         if rows:
             table = pa.Table.from_batches(held).combine_chunks()
-            yield from _trie_pairs(table, _group_numbers(table), percent, depth)
+            yield from _trie_pairs(table, _group_numbers(table), percent, depth, nearest)
 
     return tries
 
@@ -314,19 +339,42 @@ def _group_numbers(table: pa.Table) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(new)])
 
 
-def _trie_pairs(table: pa.Table, groups: np.ndarray, percent: int, depth: int) -> Iterator[pa.RecordBatch]:
-    node, weight, left, root, own = (table.column(c).to_numpy() for c in ("node", "weight", "left", "root", "own"))
+def _trie_pairs(table: pa.Table, groups: np.ndarray, percent: int, depth: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    node, size, weight, left, root, own = (table.column(c).to_numpy() for c in ("node", "n", "weight", "left", "root", "own"))
     crossing = table.column("x").to_numpy() != table.column("y").to_numpy()
     # within one block all pairs count; between two blocks those of unlike blocks
     side = np.where(crossing, own, -1)
     paths = np.frombuffer(b"".join(table.column("path").to_pylist()), dtype=">u8").reshape(-1, depth).astype(np.uint64)
     order = np.lexsort((*paths.T[::-1], groups))
-    node, weight, left, root, side = (c[order] for c in (node, weight, left, root, side))
-    trie = Trie(paths[order], groups[order], weight, left, root, side)
-    for a, b in trie.self_join(percent):
+    node, size, weight, left, root, side, groups = (c[order] for c in (node, size, weight, left, root, side, groups))
+    counts = _counts(table.column("counts"))[order]
+    held: list[tuple] = []
+    for a, b in Trie(paths[order], groups, weight, left, root, side).self_join(percent):
+        apart = _apart(counts, a, b)
+        near = (100 + percent) * apart <= (100 - percent) * (size[a] + size[b])
+        a, b, apart = a[near], b[near], apart[near]
+        if not nearest:
+            yield _pairs(node[a], node[b])
+            continue
+        held.append(_nearest(root, groups, a, b, apart))
+        if sum(len(x[0]) for x in held) > FRONTIER:
+            held = [_nearest(root, groups, *(np.concatenate(c) for c in zip(*held, strict=True)))]
+    if held:
+        a, b, _ = _nearest(root, groups, *(np.concatenate(c) for c in zip(*held, strict=True)))
         yield _pairs(node[a], node[b])
 
 
+def _nearest(root: np.ndarray, groups: np.ndarray, a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> tuple:
+    """Of the pairs of two roots in a group, the one least apart."""
+    x, y, g = np.minimum(root[a], root[b]), np.maximum(root[a], root[b]), groups[a]
+    order = np.lexsort((apart, y, x, g))
+    x, y, g = x[order], y[order], g[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (g[1:] != g[:-1])
+    kept = order[new]
+    return a[kept], b[kept], apart[kept]
+
+
 class Trie:
     """Tries of sorted paths, one below each group, as arrays over their nodes, level by level.
 
