@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import string
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER_TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
+_LIBC = ctypes.CDLL(None)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 20
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -85,6 +88,23 @@ def powers(multiplier: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return known
 
 
+def freeing(function: Callable) -> Callable:
+    """A function over batches that gives what its task has freed back to the system, as workers live on."""
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return run
+
+
+def release() -> None:
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def spans(data: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes that are not in the gap table."""
     inside = np.empty(len(data) + 2, dtype=np.int8)
