@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import check_range, days_between
+from ..session import checkpointed
 from ..spec import FALLBACK_RANGE_DAYS, MAX_SPLIT_DEPTH, PAGE_SIZE
 
 
@@ -90,30 +91,58 @@ def split_ranges(
 
 
 def read_adaptive(
-    plan: DataFrame, read: Callable[[DataFrame], DataFrame]
-) -> tuple[DataFrame, int | None]:
-    """Read a plan and repeat failed ranges in smaller pieces.
-
-    ``read`` returns the plan rows with ``status`` ('ok', 'transient', 'range_error' or 'error')
-    and the items or error of each. It must land what it reads, so that a status seen here is
-    the status of the items kept. Items of a range that is split are discarded. Returns the
-    landed rows and the range length learned from the splits, if any.
+    plan: DataFrame, read: Callable[[DataFrame], DataFrame], learn_by: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Read a plan and read failed ranges again in smaller pieces.
+
+    ``plan`` holds jobs with a range ``chunk_begin``, ``chunk_end``. ``read`` gets the ranges of a round (the plan's columns,
+    ``depth``, and the range of the plan they came from in ``root_begin``, ``root_end``) and returns their rows with the
+    columns of the range, ``status`` ('ok', 'transient', 'range_error' or 'error'), ``error``, and the items, of which a
+    failed range may have brought a part. Each round is stored, so a status seen here is that of the items kept.
+
+    The frontier of a round are the ranges that can be split; what they brought in part is dropped. Returns the landed
+    rows; per range of the plan its ``outcome``: the error of the first piece that has one, and the number of pieces; and the
+    shortest range learned so far, ``learned_days``, for each value of ``learn_by``.
     """
-    pending = plan.withColumn("depth", F.lit(0))
-    landed, learned = None, None
-    for _ in range(MAX_SPLIT_DEPTH + 1):
-        result = read(pending)
+    spark = plan.sparkSession
+    names = [*plan.columns, "depth", "root_begin", "root_end"]
+    pending = plan.withColumns({"depth": F.lit(0), "root_begin": F.col("chunk_begin"), "root_end": F.col("chunk_end")})
+    landed, learned = None, spark.createDataFrame([], plan.select(*learn_by, F.lit(0).alias("learned_days")).schema)
+    while True:
+        result = checkpointed(read(pending))
         splittable = (
             F.col("status").isin("transient", "range_error")
             & (days_between("chunk_begin", "chunk_end") > 1)
             & (F.col("depth") < MAX_SPLIT_DEPTH)
         )
-        done = result.where(~splittable)
+        # a range has one row per item: ranges first, then the rows of those that stay
+        frontier = checkpointed(result.where(splittable).select(*names).distinct())
+        same = [result[c].eqNullSafe(frontier[c]) for c in names]
+        done = result.join(frontier, same, "left_anti")
         landed = done if landed is None else landed.unionByName(done)
-        failed = result.where(splittable).select(*pending.columns).distinct()
-        shortest = failed.agg(F.min(_left_days("chunk_begin", "chunk_end"))).first()[0]
-        if shortest is None:
+        if frontier.isEmpty():
             break
-        learned = shortest if learned is None else min(learned, shortest)
-        pending = split_ranges(failed, F.lit(True))
-    return landed, learned
+        seen = frontier.select(*learn_by, _left_days("chunk_begin", "chunk_end").alias("learned_days"))
+        learned = checkpointed(learned.unionByName(seen).groupBy(*learn_by).agg(F.min("learned_days").alias("learned_days")))
+        pending = split_ranges(frontier, F.lit(True))
+    return landed, _outcomes(landed, plan.columns), learned
+
+
+def _outcomes(landed: DataFrame, names: Sequence[str]) -> DataFrame:
+    job = [c for c in names if c not in ("chunk_begin", "chunk_end")]
+    pieces = landed.select(*job, "root_begin", "root_end", "chunk_begin", "chunk_end", "error").distinct()
+    first = F.min_by("error", F.when(F.col("error").isNotNull(), F.struct("chunk_begin", "error")))
+    return pieces.groupBy(*job, "root_begin", "root_end").agg(
+        first.alias("error"), F.count_distinct("chunk_begin", "chunk_end").alias("pieces")
+    )
+
+
+def learned_chunks(bounds: DataFrame, learned: DataFrame, begin: str, end: str, days: int, learn_by: Sequence[str] = ()) -> DataFrame:
+    """Cut ranges into chunks of ``days``, or of what was learned for their values of ``learn_by`` if that is shorter."""
+    known = bounds.join(F.broadcast(learned), list(learn_by), "left") if learn_by else bounds.crossJoin(F.broadcast(learned))
+    span = F.least(F.lit(days), F.coalesce("learned_days", F.lit(days)))
+    cut = known.withColumn("_days", span).withColumn(
+        "_starts", F.expr(f"transform(sequence(0, datediff({end}, {begin}), _days), d -> date_add({begin}, d))")
+    )
+    placed = cut.select(*bounds.columns, "_days", F.posexplode("_starts").alias("chunk", "chunk_begin"))
+    return placed.withColumn("chunk_end", F.least(F.expr("date_add(chunk_begin, _days - 1)"), F.col(end))).drop("_days")

@@ -95,6 +95,48 @@ def split_chunk(spark, sf_dir):
     return jobs.split_ranges(counts.withColumn("depth", F.lit(0)), F.col("total") > mean)
 
 
+def _read_orders(spark, sf_dir):
+    """Reads orders of ranges; one with more than ``limit`` orders fails and brings those of its first half."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderpriority").alias("kind"), F.to_date("o_orderdate").alias("day"), "o_orderkey"
+    )
+
+    def read(pending):
+        ranges = pending.select("*", F.explode(F.sequence("chunk_begin", "chunk_end")).alias("day"))
+        found = ranges.join(orders, ["kind", "day"], "left")
+        totals = found.groupBy(*pending.columns).agg(F.count("o_orderkey").alias("total"))
+        status = F.when(F.col("total") <= F.col("limit"), "ok").when(F.col("total") % 2 == 0, "transient").otherwise("range_error")
+        judged = totals.withColumn("status", status).withColumn("error", F.when(F.col("status") != "ok", F.concat_ws(" ", "status", "total")))
+        half = F.date_add("chunk_begin", F.floor(F.datediff("chunk_end", "chunk_begin") / 2).cast("int"))
+        rows = found.join(judged, pending.columns).where((F.col("status") == "ok") | (F.col("day") <= half))
+        return rows.drop("total")
+
+    return read
+
+
+def _order_plan(spark, sf_dir):
+    """Chunks of 30 days for each priority; a range may hold four times the mean orders of a day."""
+    days = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day"), "o_orderpriority").agg(F.count("*").alias("n"))
+    limit = days.agg(F.ceil(4 * F.avg("n")).alias("limit"))
+    kinds = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("kind")).distinct()
+    # chunks, priorities and the limit are a plan, not data
+    return _chunks(spark, sf_dir, 30).drop("first_day").crossJoin(kinds).crossJoin(F.broadcast(limit))
+
+
+def adaptive_ranges(spark, sf_dir):
+    """What each range landed in the end, several splits deep."""
+    landed, _, _ = jobs.read_adaptive(_order_plan(spark, sf_dir), _read_orders(spark, sf_dir), ["kind"])
+    return landed.groupBy("kind", "chunk_begin", "chunk_end", "depth", "status").agg(
+        F.count("o_orderkey").alias("orders"), F.coalesce(F.sum("o_orderkey"), F.lit(0).cast("long")).alias("keys")
+    )
+
+
+def adaptive_outcomes(spark, sf_dir):
+    """Pieces and first error of each planned range, with the span learned for its priority."""
+    _, outcome, learned = jobs.read_adaptive(_order_plan(spark, sf_dir), _read_orders(spark, sf_dir), ["kind"])
+    return outcome.join(learned, "kind", "left").select("kind", "root_begin", "pieces", "error", "learned_days")
+
+
 def resume_pending(spark, sf_dir):
     plan = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type").distinct()
     return jobs.resume_pending(plan, plan.where("day < date '2024-01-15'"), ["day", "event_type"])
@@ -137,7 +179,44 @@ def _chunks_sql(days):
       ON CAST(o_orderdate AS DATE) BETWEEN chunk_begin AND chunk_end GROUP BY ALL)"""
 
 
+# Ranges split round by round; totals of a range from running counts.
+_ADAPTIVE_SQL = f"""
+  WITH RECURSIVE {_chunks_sql(30)},
+  k AS (SELECT DISTINCT o_orderpriority AS kind FROM orders),
+  n AS (SELECT o_orderpriority AS kind, CAST(o_orderdate AS DATE) AS day, count(*) AS n, sum(o_orderkey) AS s FROM orders GROUP BY 1, 2),
+  lim AS (SELECT ceil(4 * avg(n)) AS l FROM n),
+  grid AS (SELECT kind, f + CAST(i AS INTEGER) AS day FROM k, b, range(0, 4000) r(i) WHERE f + CAST(i AS INTEGER) <= l),
+  u AS (SELECT kind, day, sum(coalesce(n, 0)) OVER w AS c, sum(coalesce(s, 0)) OVER w AS s
+    FROM grid LEFT JOIN n USING (kind, day) WINDOW w AS (PARTITION BY kind ORDER BY day)),
+  r AS (
+    SELECT kind, chunk_begin AS root, chunk_begin AS cb, chunk_end AS ce, 0 AS depth,
+      e.c - coalesce(a.c, 0) AS total, e.s - coalesce(a.s, 0) AS keys
+    FROM c, k JOIN u e USING (kind) LEFT JOIN u a ON a.kind = e.kind AND a.day = chunk_begin - 1 WHERE e.day = chunk_end
+    UNION ALL
+    SELECT p.kind, root, nb, ne, depth + 1, e.c - coalesce(a.c, 0), e.s - coalesce(a.s, 0)
+    FROM (SELECT *, unnest([cb, cb + lefts]) AS nb, unnest([cb + lefts - 1, ce]) AS ne
+          FROM (SELECT *, CASE WHEN ce - cb + 1 > 28 THEN 28 ELSE CAST((ce - cb + 1) // 2 AS INTEGER) END AS lefts
+                FROM r, lim WHERE total > l AND ce > cb AND depth < 6)) p
+    JOIN u e ON e.kind = p.kind AND e.day = ne LEFT JOIN u a ON a.kind = p.kind AND a.day = nb - 1),
+  z AS (SELECT r.*, total > l AS bad, total > l AND ce > cb AND depth < 6 AS split,
+      CASE WHEN total <= l THEN 'ok' WHEN total % 2 = 0 THEN 'transient' ELSE 'range_error' END AS status,
+      CASE WHEN ce - cb + 1 > 28 THEN 28 ELSE CAST((ce - cb + 1) // 2 AS INTEGER) END AS lefts FROM r, lim)
+"""
+
 QUERIES = {
+    "adaptive_ranges": (
+        adaptive_ranges,
+        # a range that fails for good is a single day, which its first half is
+        f"""{_ADAPTIVE_SQL} SELECT kind, cb AS chunk_begin, ce AS chunk_end, depth, status, CAST(total AS BIGINT) AS orders,
+          CAST(keys AS BIGINT) AS keys FROM z WHERE NOT split""",
+    ),
+    "adaptive_outcomes": (
+        adaptive_outcomes,
+        f"""{_ADAPTIVE_SQL} SELECT kind, root AS root_begin, count(*) AS pieces,
+          min_by(status || ' ' || CAST(total AS BIGINT), cb) FILTER (bad) AS error,
+          (SELECT min(lefts) FROM z y WHERE split AND y.kind = z.kind) AS learned_days
+        FROM z WHERE NOT split GROUP BY kind, root""",
+    ),
     "parse_envelope": (
         parse_envelope,
         """WITH i AS (SELECT o_orderkey AS k, n FROM orders, (VALUES (1), (2)) v(n)

@@ -174,18 +174,30 @@ def test_page_count(one, total, pages):
 
 
 def test_adaptive_reading(spark):
-    """Ranges over ten days fail; everything is read in the end, in pieces that fit."""
-    plan = jobs.date_chunks(spark, date(2024, 1, 1), date(2024, 2, 29), 30).withColumn("job", F.lit("j"))
+    """Ranges over ten days fail in one mode, over twenty in the other; everything is read in the end, once."""
+    modes = spark.createDataFrame([("bid",), ("pre",), (None,)], "mode string")
+    plan = jobs.date_chunks(spark, date(2024, 1, 1), date(2024, 2, 29), 30).crossJoin(modes)
+    limit = F.when(F.col("mode") == "bid", 10).otherwise(20)
 
     def read(pending):
-        long = F.datediff("chunk_end", "chunk_begin") + 1 > 10
-        return pending.withColumn("status", F.when(long, "range_error").otherwise("ok"))
-
-    landed, learned = jobs.read_adaptive(plan, read)
-    spans = landed.select((F.datediff("chunk_end", "chunk_begin") + 1).alias("n")).collect()
-    assert sum(r["n"] for r in spans) == 60 and max(r["n"] for r in spans) <= 10
-    assert learned == 7
-    assert landed.select("status").distinct().collect()[0][0] == "ok"
+        span = F.datediff("chunk_end", "chunk_begin") + 1
+        status = F.when(span > limit, "range_error").when((F.day("chunk_begin") == 15) & (F.col("mode") == "bid"), "error").otherwise("ok")
+        days = F.explode(F.sequence(F.col("chunk_begin"), F.col("chunk_end"))).alias("day")
+        error = F.when(F.col("status") != "ok", F.concat_ws(" ", "status", "chunk_begin"))
+        # a failed range brings part of its days
+        return pending.withColumn("status", status).select("*", error.alias("error"), days).where("status = 'ok' OR day < chunk_begin + 3")
+
+    landed, outcome, learned = jobs.read_adaptive(plan, read, learn_by=["mode"])
+    assert landed.count() == landed.select("mode", "day").distinct().count()
+    read_days = {r["mode"]: r["n"] for r in landed.where("status = 'ok'").groupBy("mode").agg(F.count("*").alias("n")).collect()}
+    failed = landed.where("status = 'error'").select(F.datediff("chunk_end", "chunk_begin") + 1).distinct().collect()
+    assert read_days["pre"] == read_days[None] == 60 and read_days["bid"] == 60 - sum(r[0] for r in failed)
+    assert {(r["mode"], r["learned_days"]) for r in learned.collect()} == {("bid", 7), ("pre", 14), (None, 14)}
+    got = {(r["mode"], r["root_begin"].day): (r["error"], r["pieces"]) for r in outcome.collect()}
+    assert got["pre", 1] == (None, 3) and got["bid", 1] == ("error 2024-01-15", 5)
+    again = jobs.learned_chunks(plan.where("mode = 'bid' AND chunk = 0").select("mode", "chunk_begin", "chunk_end").toDF("mode", "b", "e"),
+                                learned, "b", "e", 30, ["mode"]).collect()
+    assert len(again) == 5 and again[-1]["chunk_end"] == date(2024, 1, 30) and (again[0]["chunk_end"] - again[0]["chunk_begin"]).days == 6
 
 
 def test_split_stops(spark):
@@ -193,8 +205,10 @@ def test_split_stops(spark):
     assert jobs.split_ranges(plan, F.lit(True)).count() == 1
     deep = jobs.date_chunks(spark, date(2024, 1, 1), date(2024, 1, 30), 30).withColumn("depth", F.lit(6))
     assert jobs.split_ranges(deep, F.lit(True)).count() == 1
-    landed, learned = jobs.read_adaptive(plan.drop("depth"), lambda p: p.withColumn("status", F.lit("transient")))
-    assert landed.count() == 1 and learned is None
+    landed, _, learned = jobs.read_adaptive(
+        plan.drop("depth"), lambda p: p.withColumns({"status": F.lit("transient"), "error": F.lit("busy")})
+    )
+    assert landed.count() == 1 and learned.count() == 0
 
 
 def test_resume_needs_the_current_version(spark):
