@@ -3,7 +3,7 @@ that is written, answers a table that is read."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, DataType, IntegerType, StructField, Str
 from ..functions.ids import PART_SEPARATOR, PROMPT_ID, excerpt_window, extract_ids, head
 from ..functions.nested import explode_rows
 from ..functions.text import let, non_empty
+from ..session import checkpointed
 from ..spec import EXTRACTION, IDS_PER_REQUEST_HOSTED, OPTIONAL_EXTRACTION_FIELDS, RETRY_ROUNDS
 from .dedup import last_write_wins
 from .positions import running
@@ -186,17 +187,16 @@ def plan_requests(
 
     Requests carry the whole text. With ``trim``, for models of short context, a summary gets its head and the others
     the windows around their ids (sizes in ``functions.ids``). Everything a request needs is in its document's row, so
-    nothing is shuffled, and sources are cut before rows are multiplied.
+    nothing is shuffled; a row gets its text after the chunks are rows, so no row holds a text twice.
     """
     chunks = F.concat(F.array(F.array().cast("array<string>")), chunk_array(F.col(ids), size))
-    source = F.col(text)
-    requests = F.transform(chunks, lambda c: F.struct(
-        c.alias("ids"),
-        (F.when(F.size(c) == 0, head(source)).otherwise(request_source(source, c)) if trim else source).alias("source"),
-    ))
-    planned = explode_rows(documents, [*keys], requests, "_request", "request")
-    kind = F.when(F.size("_request.ids") == 0, F.lit("summary")).otherwise(F.lit("details"))
-    return planned.select(*keys, "request", kind.alias("kind"), "_request.ids", "_request.source")
+    planned = explode_rows(documents, [*keys, F.col(text).alias("_text")], chunks, "ids", "request")
+    summary = F.size("ids") == 0
+    source = F.col("_text")
+    if trim:
+        source = F.when(summary, head(source)).otherwise(request_source(source, F.col("ids")))
+    kind = F.when(summary, F.lit("summary")).otherwise(F.lit("details"))
+    return planned.select(*keys, "request", kind.alias("kind"), "ids", source.alias("source"))
 
 
 def prompt_ids(prompt: Column | str) -> Column:
@@ -266,22 +266,59 @@ def retry_missing(
     identifier: str,
     attempt: int,
     size: int = IDS_PER_REQUEST_HOSTED,
+    trim: bool = False,
 ) -> DataFrame | None:
     """Requests of the next round for ids without an answer; None after the last round.
 
-    ``documents`` holds the keys and a ``text`` column.
+    ``documents`` holds the keys and a ``text`` column. A request carries the whole text, or with ``trim`` the windows
+    around its ids.
     """
     if attempt >= RETRY_ROUNDS:
         return None
     open_ids = id_difference(expected, responses, keys, identifier)
-    numbered = running(open_ids, list(keys), [identifier], "_pos")
+    return _requests(open_ids, documents, keys, identifier, size, trim)
+
+
+def _requests(ids: DataFrame, documents: DataFrame, keys: Sequence[str], identifier: str, size: int, trim: bool) -> DataFrame:
+    numbered = running(ids.select(*keys, identifier), list(keys), [identifier], "_pos")
     chunked = numbered.withColumn("request", F.floor((F.col("_pos") - 1) / size))
-    grouped = chunked.groupBy(*keys, "request").agg(
-        F.array_sort(F.collect_list(identifier)).alias("ids")
-    )
-    return grouped.join(documents, list(keys)).select(
-        *keys, "request", "ids", request_source(F.col("text"), F.col("ids")).alias("source")
-    )
+    grouped = chunked.groupBy(*keys, "request").agg(F.array_sort(F.collect_list(identifier)).alias("ids"))
+    # the text joins the requests, so that no task holds a text as often as it is asked
+    source = request_source(F.col("text"), F.col("ids")) if trim else F.col("text")
+    return grouped.join(documents.select(*keys, "text"), list(keys)).select(*keys, "request", "ids", source.alias("source"))
+
+
+def answer_rounds(
+    documents: DataFrame,
+    expected: DataFrame,
+    ask: Callable[[DataFrame, int], DataFrame],
+    keys: Sequence[str],
+    identifier: str,
+    size: int = IDS_PER_REQUEST_HOSTED,
+    trim: bool = False,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ask for all expected ids, then up to ``RETRY_ROUNDS`` times for those that are still missing.
+
+    ``ask`` gets the requests of a round and its number (0 is the first one) and returns the answers: keys, id and what
+    else they hold. Each round is stored before the next one is planned. Answers with ids that were not asked for are
+    kept, as are later answers for an id beside earlier ones; :func:`merge_responses` takes the last by ``round``.
+
+    Returns the answers with ``round``; a ledger with a row for every id and round in which it was asked for; and the ids
+    that are missing in the end.
+    """
+    open_ids = checkpointed(expected.select(*keys, identifier).distinct())
+    answers, ledger = None, None
+    for attempt in range(RETRY_ROUNDS + 1):
+        asked = open_ids.withColumn("round", F.lit(attempt))
+        ledger = asked if ledger is None else ledger.unionByName(asked)
+        requests = _requests(open_ids, documents, keys, identifier, size, trim)
+        found = checkpointed(ask(requests, attempt).withColumn("round", F.lit(attempt)))
+        answers = found if answers is None else answers.unionByName(found)
+        named = found.where(F.coalesce(F.col(identifier), F.lit("")) != "")
+        open_ids = checkpointed(id_difference(open_ids, named, keys, identifier))
+        if open_ids.isEmpty():
+            break
+    return answers, ledger, open_ids
 
 
 def build_items(

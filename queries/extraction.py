@@ -122,10 +122,43 @@ def retry_missing(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = documents.select("doc_id", F.explode(ids.extract_ids("text", WORD)).alias("id"))
     answered = words.where(F.length("id") > 6)
-    requests = ex.retry_missing(documents, words, answered, ["doc_id"], "id", attempt=1, size=10)
+    requests = ex.retry_missing(documents, words, answered, ["doc_id"], "id", attempt=1, size=10, trim=True)
     return requests.select("doc_id", "request", F.array_join("ids", " ").alias("ids"), F.md5("source").alias("digest"))
 
 
+def _expected_lines(spark, sf_dir):
+    """Lines as expected ids of their orders; the number of the part decides in which round one is answered."""
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("string").alias("id")).agg(
+        (F.max("l_partkey") % 6).alias("due")
+    )
+
+
+def _line_rounds(spark, sf_dir):
+    expected = _expected_lines(spark, sf_dir)
+    documents = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.concat_ws(" ", "o_orderpriority", "o_orderkey").alias("text")
+    )
+
+    def ask(requests, attempt):
+        asked = requests.select("l_orderkey", F.explode("ids").alias("id"), F.length("source").alias("chars"))
+        return asked.join(expected, ["l_orderkey", "id"]).where(F.col("due") <= attempt).drop("due")
+
+    return ex.answer_rounds(documents, expected, ask, ["l_orderkey"], "id", size=3)
+
+
+def retry_rounds(spark, sf_dir):
+    """Ids that no round answered."""
+    _, _, missing = _line_rounds(spark, sf_dir)
+    return missing
+
+
+def retry_ledger(spark, sf_dir):
+    """Per id the rounds in which it was asked for, and the characters of the text that came with its answer."""
+    answers, ledger, _ = _line_rounds(spark, sf_dir)
+    asked = ledger.groupBy("l_orderkey", "id").agg(F.count("*").alias("rounds"))
+    return asked.join(answers.select("l_orderkey", "id", "chars"), ["l_orderkey", "id"], "left")
+
+
 def usage_rollup(spark, sf_dir):
     calls = _turns(spark, sf_dir).select("conv_id", F.length("text").cast("long").alias("chars"), "turn")
     return ex.usage_rollup(calls, ["conv_id"], ["chars", "turn"])
@@ -248,7 +281,16 @@ _ITEMS_SQL = """SELECT l_orderkey AS number, l_linenumber, l_partkey, l_suppkey,
   FROM lineitem JOIN part ON l_partkey = p_partkey"""
 _QUANTITIES = "q || CASE WHEN q <> '' AND s <> '' THEN ', ' ELSE '' END || s"
 
+_LINES_SQL = """WITH e AS (SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS id, max(l_partkey) % 6 AS due FROM lineitem GROUP BY 1, 2)"""
+
 QUERIES = {
+    "retry_rounds": (retry_rounds, f"{_LINES_SQL} SELECT l_orderkey, id FROM e WHERE due > 3"),
+    "retry_ledger": (
+        retry_ledger,
+        f"""{_LINES_SQL} SELECT l_orderkey, id, least(due, 3) + 1 AS rounds,
+          CASE WHEN due <= 3 THEN CAST(length(o_orderpriority || ' ' || o_orderkey) AS INTEGER) END AS chars
+        FROM e JOIN orders ON o_orderkey = l_orderkey""",
+    ),
     "missing_ids": (
         missing_ids,
         """WITH m AS (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem GROUP BY 1)

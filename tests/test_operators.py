@@ -348,6 +348,29 @@ def test_requests_and_merge(spark):
     assert extraction.retry_missing(documents, expected, answers, ["doc"], "id", attempt=3) is None
 
 
+def test_answers_are_asked_for_until_the_rounds_are_over(spark):
+    text = "long " * 4000
+    documents = spark.createDataFrame([("n", text), ("m", "m text"), ("empty", "x")], "doc string, text string")
+    expected = spark.createDataFrame([("n", f"i{k}") for k in range(7)] * 2 + [("m", "i0"), ("m", "never")], "doc string, id string")
+    seen = []
+
+    def ask(requests, attempt):
+        seen.append(sorted((r["doc"], r["request"], tuple(r["ids"]), len(r["source"])) for r in requests.collect()))
+        asked = requests.select("doc", F.explode("ids").alias("id"))
+        due = F.when(F.col("id") == "never", 9).otherwise(F.substring("id", 2, 1).cast("int") % 3)
+        other = spark.createDataFrame([("m", "unasked"), ("m", None), ("m", "")], "doc string, id string")
+        return asked.where(due <= attempt).unionByName(other).withColumn("body", F.lit(f"round {attempt}"))
+
+    answers, ledger, missing = extraction.answer_rounds(documents, expected, ask, ["doc"], "id", size=3)
+    assert [len(x) for x in seen] == [4, 3, 2, 1]
+    assert all(n == (len(text) if doc == "n" else 6) for requests in seen for doc, _, _, n in requests)
+    assert rows(missing, "doc", "id") == [("m", "never")]
+    rounds = {(r["doc"], r["id"]): r["n"] for r in ledger.groupBy("doc", "id").agg(F.count("*").alias("n")).collect()}
+    assert rounds == {("n", f"i{k}"): 1 + k % 3 for k in range(7)} | {("m", "i0"): 1, ("m", "never"): 4}
+    merged = extraction.merge_responses(answers, expected.distinct(), ["doc"], "id", ["round"])
+    assert merged.where("missing").count() == 1 and merged.where("body = 'round 2'").count() == 2
+
+
 def test_choose_ids(one):
     a, b = F.array(F.lit("1"), F.lit("2")), F.array(F.lit("3"))
     assert one(extraction.choose_ids(b, a)) == ["1", "2"]
