@@ -2,24 +2,26 @@
 
 from __future__ import annotations
 
-import gzip
-import io
+import csv
+import re
+import uuid
 from collections import defaultdict
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.cells import as_text, csv_escape, text_cell, untext_cell
 from ..functions.text import join_text
 from ..operators.sets import union_columns
+from ..session import hadoop_path
 
 BOM = "\ufeff"
-# Fixed value: layout of daily files, mode/yyyy/MM/dd.csv.gz
-DAILY_PATH = r"([^/]+)/(\d{4})/(\d{2})/(\d{2})\.csv(?:\.gz)?$"
+# Fixed value: modes of daily files, which lie in mode/yyyy/MM/dd.csv.gz
+MODES = ("bid", "pre")
 
 # Quotes are doubled, and no space or empty value is altered on the way.
 _FORMAT = {
@@ -36,57 +38,121 @@ _FORMAT = {
 def read_daily(spark: SparkSession, paths: str | Sequence[str], **options) -> DataFrame:
     """Read daily files: text columns, missing cells '', empty lines dropped.
 
-    All files must share one header; :func:`read_daily_union` takes files that differ.
+    Cells go by the names in the header of their own file, which is its first line: headers may differ in order and in
+    columns, and the result has the columns of all of them. Files without a line are left out. Column names hold no
+    line breaks.
     """
-    df = spark.read.options(**_FORMAT, multiLine=True, **options).csv(paths)
-    blank = reduce(Column.__and__, [F.coalesce(F.col(_q(c)), F.lit("")) == "" for c in df.columns])
-    return df.where(~blank).select(*[untext_cell(F.col(_q(c))).alias(c) for c in df.columns])
-
-
-@F.pandas_udf(StringType())
-def _header_line(contents: pd.Series) -> pd.Series:
-    def first_line(content: bytes) -> str:
-        raw = io.BytesIO(content)
-        stream = gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw
-        return stream.readline().decode("utf-8-sig").rstrip("\r\n")
-
-    return contents.map(first_line)
-
-
-def read_daily_union(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Read daily files whose headers differ; columns a file lacks are ''."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths)
-    headers = files.select("path", _header_line("content").alias("header"))
     by_header = defaultdict(list)
-    for row in headers.orderBy("path").collect():  # one row per daily file
-        by_header[row.header].append(row.path)
-    return union_columns(*[read_daily(spark, group) for group in by_header.values()])
+    for header, path in headers(spark, paths, **options):
+        by_header[header].append(path)
+    if not by_header:
+        return spark.createDataFrame([], "struct<>")
+    return union_columns(*[_read_alike(spark, group, names, options) for names, group in by_header.items()])
+
+
+def headers(spark: SparkSession, paths: str | Sequence[str], **options) -> list[tuple[tuple[str, ...], str]]:
+    """(column names, path) of each file, by path. Tasks read lines one at a time, and a row per file reaches the driver."""
+    lines = spark.read.options(**options).text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value",
+        F.monotonically_increasing_id().alias("at"),
+    )
+    first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "at").alias("line"))
+    found = []
+    for path, line in sorted(tuple(r) for r in first.collect()):
+        [names] = csv.reader([line.removeprefix(BOM)])
+        found.append((tuple(names), unquote(path)))
+    return found
+
+
+def _read_alike(spark: SparkSession, paths: list[str], names: Sequence[str], options: dict) -> DataFrame:
+    schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))])
+    df = spark.read.options(**_FORMAT, **options).schema(schema).csv(paths, multiLine=True)
+    blank = reduce(Column.__and__, [F.coalesce(F.col(c), F.lit("")) == "" for c in df.columns])
+    return df.where(~blank).select(*[untext_cell(F.col(c)).alias(n) for c, n in zip(df.columns, names, strict=True)])
 
 
 def list_partitions(
-    spark: SparkSession, root: str, begin: str | None = None, end: str | None = None, mode: str | None = None
+    spark: SparkSession,
+    root: str,
+    begin: str | None = None,
+    end: str | None = None,
+    mode: str | None = None,
+    modes: Sequence[str] = MODES,
 ) -> DataFrame:
-    """Daily files below ``root`` as (mode, day, path), pruned and sorted. Reads no content."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv*")
-        .load(root)
-        .select("path")
-    )
-    parts = [F.regexp_extract("path", DAILY_PATH, i) for i in (2, 3, 4)]
-    found = files.where(F.col("path").rlike(DAILY_PATH)).select(
-        F.regexp_extract("path", DAILY_PATH, 1).alias("mode"),
-        F.concat_ws("-", *parts).alias("day"),
-        "path",
-    )
-    if begin:
-        found = found.where(F.col("day") >= begin)
-    if end:
-        found = found.where(F.col("day") <= end)
-    if mode:
-        found = found.where(F.col("mode") == mode)
-    return found.orderBy("day", "mode")
+    """Daily files below ``root`` as (mode, day, path), sorted. Reads no content.
+
+    Only the folders of the months between ``begin`` and ``end`` are listed; without one of them, the months that a mode
+    has. A day with a plain and a compressed file has both.
+    """
+    found = []
+    for name in [mode] if mode else modes:
+        first, last = (begin or "0000-00")[:7], (end or "9999-99")[:7]
+        for month in _months(spark, f"{root}/{name}", first, last):
+            for path in _listed(spark, f"{root}/{name}/{month.replace('-', '/')}"):
+                file = re.fullmatch(r"(\d{2})\.csv(\.gz)?", path.rsplit("/", 1)[1])
+                day = f"{month}-{file[1]}" if file else ""
+                if file and (begin or day) <= day <= (end or day):
+                    found.append((day, name, path))
+    rows = [(name, day, path) for day, name, path in sorted(found)]
+    return spark.createDataFrame(rows, "mode string, day string, path string").orderBy("day", "mode", "path")
+
+
+def _months(spark: SparkSession, root: str, first: str, last: str) -> list[str]:
+    if first > "0000-00" and last < "9999-99":
+        begin, end = (int(x[:4]) * 12 + int(x[5:]) - 1 for x in (first, last))
+        return [f"{i // 12:04d}-{i % 12 + 1:02d}" for i in range(begin, end + 1)]
+    years = [p for p in _listed(spark, root) if first[:4] <= p.rsplit("/", 1)[1] <= last[:4]]
+    months = ["-".join(p.rsplit("/", 2)[1:]) for year in years for p in _listed(spark, year)]
+    return [m for m in months if first <= m <= last]
+
+
+def _listed(spark: SparkSession, folder: str) -> list[str]:
+    """Paths in a folder; none where there is no folder."""
+    fs, path = hadoop_path(spark, folder)
+    if not fs.exists(path):
+        return []
+    return sorted(status.getPath().toString() for status in fs.listStatus(path))
+
+
+def write_daily_files(rows: DataFrame, root: str, order: Sequence[str], item: str = "item") -> None:
+    """Write items (``mode``, ``day`` as yyyy-MM-dd, ``item`` as a map of texts) as ``mode/yyyy/MM/dd.csv.gz``.
+
+    A file starts with a byte-order mark; its header holds the keys of its items, in the order in which they first come
+    up along ``order``. Cells are forced text, lacking and empty ones stay empty. The files of the given days are replaced, other days
+    stay. A daily file is one stream, so one task writes it; its rows are sorted on disk, not held. Files are put in place one by one after all are written.
+    """
+    spark = rows.sparkSession
+    place = F.struct(*order)
+    keys = rows.select("mode", "day", place.alias("_o"), F.posexplode(F.map_keys(item)).alias("_i", "key"))
+    first = keys.groupBy("mode", "day", "key").agg(F.min(F.struct("_o", "_i")).alias("_first"))
+    columns = first.groupBy("mode", "day").agg(F.array_sort(F.collect_list(F.struct("_first", "key")))["key"].alias("columns"))
+    lines = rows.join(columns, ["mode", "day"]).select(
+        "mode", "day", F.lit(1).alias("_part"), place.alias("_o"),
+        F.array_join(F.transform("columns", lambda key: _cell(F.col(item), key)), ",").alias("value"),
+    )
+    heads = columns.select(
+        "mode", "day", F.lit(0).alias("_part"), F.lit(None).cast(lines.schema["_o"].dataType).alias("_o"),
+        F.concat(F.lit(BOM), F.array_join("columns", ",")).alias("value"),
+    )
+    staging = f"{root}/_staging-{uuid.uuid4().hex[:12]}"
+    dealt = heads.union(lines).repartition("mode", "day").sortWithinPartitions("mode", "day", "_part", "_o")
+    dealt.select("mode", "day", "value").write.partitionBy("mode", "day").text(staging, compression="gzip")
+    fs, _ = hadoop_path(spark, root)
+    for folder in (f for m in _listed(spark, staging) if "/mode=" in m for f in _listed(spark, m)):
+        mode, day = (unquote(x.split("=", 1)[1]) for x in folder.rsplit("/", 2)[1:])
+        [part] = [p for p in _listed(spark, folder) if "/part-" in p]
+        _, target = hadoop_path(spark, f"{root}/{mode}/{day.replace('-', '/')}.csv.gz")
+        fs.mkdirs(target.getParent())
+        fs.delete(target, False)
+        if not fs.rename(hadoop_path(spark, part)[1], target):
+            raise OSError(f"cannot place {target.toString()}")
+    fs.delete(hadoop_path(spark, staging)[1], True)
+
+
+def _cell(item: Column, key: Column) -> Column:
+    value = text_cell(F.try_element_at(item, key))
+    quoted = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(value == "", value).otherwise(quoted)
 
 
 def write_daily(df: DataFrame, path: str, partition: Sequence[str] = ()) -> None:

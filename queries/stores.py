@@ -108,6 +108,33 @@ def csv_roundtrip(spark, sf_dir):
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
 
 
+def _daily_store(spark, sf_dir):
+    """Notices as items in daily files, one day a month; items of the two modes have other keys, in another order."""
+    root = work_dir(spark, "daily")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    number, title, kind = (F.struct(F.lit(k), text(c)) for k, c in (("no", "number"), ("title, long", "title"), ("kind", "business_type")))
+    office = F.struct(F.lit("office"), F.concat(F.lit("0"), text("institution"), F.lit(' "x"\n,')))
+    items = F.when(F.col("mode") == "bid", F.array(number, title)).otherwise(F.array(kind, office, number))
+    rows = notices(spark, sf_dir).select(
+        "mode", F.date_format("day", "yyyy-MM-01").alias("day"), "number", F.map_from_entries(items).alias("item")
+    )
+    daily_csv.write_daily_files(rows, root, ["number"])
+    return root
+
+
+def daily_union(spark, sf_dir):
+    """Daily files of a range, cells by the names in their headers."""
+    root = _daily_store(spark, sf_dir)
+    listed = daily_csv.list_partitions(spark, root, begin="1996-02-01", end="1996-12-31")
+    back = daily_csv.read_daily(spark, [r["path"] for r in listed.collect()])
+    return back.select("no", F.col("kind"), "office")
+
+
+def list_days(spark, sf_dir):
+    root = _daily_store(spark, sf_dir)
+    return daily_csv.list_partitions(spark, root, begin="1995-06-01", mode="bid").select("mode", "day")
+
+
 def stream_upsert(spark, sf_dir):
     """The changes in four files that mix old and new, one micro-batch each."""
     source, root = work_dir(spark, "stream-in"), work_dir(spark, "store")
@@ -176,6 +203,16 @@ QUERIES = {
           event_id + CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS seq,
           value + CASE WHEN event_type = 'click' THEN 1 ELSE 0 END AS value FROM events""",
     ),
+    "daily_union": (
+        daily_union,
+        f"""SELECT CAST(number AS VARCHAR) AS no, CASE WHEN mode = 'pre' THEN business_type ELSE '' END AS kind,
+          CASE WHEN mode = 'pre' THEN '0' || institution || ' "x"' || chr(10) || ',' ELSE '' END AS office
+        FROM ({NOTICES_SQL}) WHERE day BETWEEN DATE '1996-02-01' AND DATE '1996-12-31'""",
+    ),
+    "list_days": (
+        list_days,
+        f"SELECT DISTINCT mode, strftime(day, '%Y-%m-01') AS day FROM ({NOTICES_SQL}) WHERE mode = 'bid' AND day >= DATE '1995-06-01'",
+    ),
     "csv_roundtrip": (csv_roundtrip, "SELECT doc_id, text, lang FROM documents"),
     "stream_upsert": (stream_upsert, _LATEST),
     "stream_keep_first": (stream_keep_first, "SELECT event_id, event_type, value FROM events"),

@@ -101,7 +101,7 @@ def test_open_schema_becomes_text(spark, tmp_path):
     b = spark.createDataFrame([("second", ["a", "b"])], "common string, onlySecond array<string>")
     daily_csv.write_daily(a, str(tmp_path / "a"))
     daily_csv.write_daily(b, str(tmp_path / "b"))
-    both = daily_csv.read_daily_union(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
+    both = daily_csv.read_daily(spark, [str(tmp_path / "a"), str(tmp_path / "b")])
     assert set(both.columns) == {"common", "nested", "id", "onlySecond"}
     rows = {r["common"]: r for r in both.collect()}
     assert rows["first"]["nested"] == '{"sequence":1}' and rows["first"]["onlySecond"] == ""
@@ -129,6 +129,34 @@ def test_reads_foreign_files(spark, tmp_path):
     assert [tuple(r) for r in read.collect()] == [('=""x""', "00123"), ("short", "")]
 
 
+def test_cells_go_by_the_names_in_their_own_header(spark, tmp_path):
+    (tmp_path / "one.csv").write_text("a,b\na1,b1\n")
+    (tmp_path / "two.csv").write_text('\ufeffb,"c, d",a\n"=""b\n2""",c2,a2\n')
+    (tmp_path / "empty.csv").write_text("")
+    read = daily_csv.read_daily(spark, str(tmp_path))
+    assert sorted((r["a"], r["b"], r["c, d"]) for r in read.collect()) == [("a1", "b1", ""), ("a2", "b\n2", "c2")]
+
+
+def test_daily_files_in_their_layout(spark, tmp_path):
+    root = str(tmp_path / "store")
+    rows = spark.createDataFrame(
+        [("bid", "2024-01-05", 2, {"b": "2", "c": ""}), ("bid", "2024-01-05", 1, {"a": 'x"\n,', "b": "007"}), ("pre", "2024-02-01", 3, {"z": "1"})],
+        "mode string, day string, o int, item map<string,string>",
+    )
+    daily_csv.write_daily_files(rows, root, ["o"])
+    [file] = (tmp_path / "store" / "bid" / "2024" / "01").glob("*.gz")
+    assert file.name == "05.csv.gz"
+    assert gzip.decompress(file.read_bytes()).decode() == '\ufeffa,b,c\n"=""x""\n,""","=""007""",\n,"=""2""",\n'
+    daily_csv.write_daily_files(rows.where("mode = 'pre'").withColumn("item", F.create_map(F.lit("y"), F.lit("2"))), root, ["o"])
+    listed = daily_csv.list_partitions(spark, root).collect()
+    assert [(r["mode"], r["day"]) for r in listed] == [("bid", "2024-01-05"), ("pre", "2024-02-01")]
+    assert daily_csv.list_partitions(spark, root, begin="2024-01-06").count() == 1
+    assert daily_csv.list_partitions(spark, root, end="2024-01-05", begin="2023-11-01").count() == 1
+    back = daily_csv.read_daily(spark, [r["path"] for r in listed]).orderBy("b").collect()
+    assert [(r["a"], r["b"], r["c"], r["y"]) for r in back] == [("", "", "", "2"), ('x"\n,', "007", "", ""), ("", "2", "", "")]
+    assert not list((tmp_path / "store").glob("_staging*"))
+
+
 texts = st.text(st.characters(codec="utf-8", exclude_characters="\r\x00", exclude_categories=["Cs"]), max_size=20)
 
 
