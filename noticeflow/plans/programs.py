@@ -78,7 +78,7 @@ def collect(
     landed = read(pending)
     failed = landed.where("error is not null").select("job_id", "error").distinct()
     good = landed.where("error is null").join(failed, "job_id", "left_anti")
-    rows = store_rows(good, store.index().version + 1)
+    rows = store_rows(good, _next_run(store))
     succeeded = pending.join(failed, "job_id", "left_anti")
     if resume:
         rejected = store.upsert(rows)
@@ -93,6 +93,13 @@ def collect(
     return failed, rejected
 
 
+def _next_run(store: NoticeStore) -> int:
+    """One more than the last run of which rows are stored."""
+    rows = store.read()
+    last = None if rows is None else rows.agg(F.max(F.col(store.order)["run"])).first()[0]
+    return (last or 0) + 1
+
+
 def _scopes(jobs: DataFrame) -> list[tuple[str, str, str, str]]:
     """(mode, type, begin, end) of the jobs, adjoining ranges joined. A plan is small."""
     ranges = jobs.select(

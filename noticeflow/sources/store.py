@@ -1,58 +1,28 @@
 """Keyed notice store on plain Parquet files, one folder per mode and day.
 
-A commit writes the touched partitions below a folder of its own and then one index file that lists,
-for every (mode, day), the folder that holds it and its row count. Readers follow the newest
-index, so they never see half a commit, and a run that dies before its index is written can be
-repeated. Two writers never write to the same folder; the one that publishes second gets
-:class:`CommitConflict` and changes nothing. The index has one entry per mode and day and is the only
-thing the driver handles.
+A merge finds where the changed keys lie, puts the touched partitions together anew and overwrites just these, with Spark's
+own writer. It is repeatable: of two rows of a key the one with the greater arrival order stays, wherever it lies. It is not
+a transaction: a reader may see some partitions before and some after a merge, and writers must take turns. A run that dies
+while it places its partitions is to be repeated; the partitions that it was to place stay in the ``staging`` folder.
 """
 
 from __future__ import annotations
 
-import json
-import time
 import uuid
-from dataclasses import asdict, dataclass, field
-from datetime import date, datetime, timedelta, timezone
+from collections import defaultdict
+from datetime import date, timedelta
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.dates import UNDATED
 from ..operators.dedup import last_write_wins
 from ..session import hadoop_path
 
-# Folder of a partition: a digest, so that any mode or day, null included, makes a plain name.
-_FOLDER = "p_part"
-# A claim whose writer died while it published is taken over after so many seconds.
-CLAIM_SECONDS = 600
-
-
-@dataclass(frozen=True)
-class Entry:
-    mode: str | None
-    date: str
-    path: str
-    count: int
-
-
-@dataclass
-class Index:
-    version: int = 0
-    batches: dict[str, int] = field(default_factory=dict)  # last batch of each stream
-    schema: str | None = None
-    updated_at: str | None = None
-    files: list[Entry] = field(default_factory=list)
-
-
-def _folder() -> Column:
-    return F.substring(F.sha2(F.to_json(F.struct("mode", "day")), 256), 1, 32)
-
-
-class CommitConflict(RuntimeError):
-    """Another writer committed this version first."""
+#: Partition columns beside ``mode`` and ``day``, which the files keep as they are, null included.
+PLACE = ("p_mode", "p_day")
 
 
 class NoticeStore:
@@ -66,157 +36,149 @@ class NoticeStore:
 
     # ---- reading
 
-    def index(self) -> Index:
-        """The newest committed index."""
-        fs, folder = hadoop_path(self.spark, f"{self.root}/index")
-        if not fs.exists(folder):
-            return Index()
-        names = [status.getPath().getName() for status in fs.listStatus(folder)]
-        versions = sorted(n for n in names if n.startswith("v") and n.endswith(".json"))
-        if not versions:
-            return Index()
-        _, path = hadoop_path(self.spark, f"{self.root}/index/{versions[-1]}")
-        stream = fs.open(path)
-        try:
-            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-        raw = json.loads(text)
-        raw["files"] = [Entry(**entry) for entry in raw["files"]]
-        return Index(**raw)
-
     def daily_index(self) -> DataFrame:
-        """The index as a relation, sorted by day and mode."""
-        rows = [(e.mode, e.date, e.path, e.count) for e in self.index().files]
-        schema = "mode string, date string, path string, count long"
-        return self.spark.createDataFrame(rows, schema).orderBy("date", "mode")
-
-    def read(
-        self, begin: str | None = None, end: str | None = None, mode: str | None = None
-    ) -> DataFrame | None:
+        """(mode, date, path, count) of every partition, sorted by day and mode."""
+        rows = self._stored()
+        if rows is None:
+            return self.spark.createDataFrame([], "mode string, date string, path string, count long")
+        parts = self.spark.createDataFrame([(*p, f) for p, f in self._partitions().items()], "p_mode string, p_day string, path string")
+        counts = rows.groupBy(*PLACE, "mode", F.col("day").alias("date")).count()
+        same = [counts[c].eqNullSafe(parts[c]) for c in PLACE]
+        # a row per mode and day
+        return counts.join(F.broadcast(parts), same).select("mode", "date", "path", "count").orderBy("date", "mode")
+
+    def read(self, begin: str | None = None, end: str | None = None, mode: str | None = None) -> DataFrame | None:
         """Rows of the partitions in range; None for an empty store."""
-        index = self.index()
-        wanted = [
-            e
-            for e in index.files
-            if (begin is None or e.date >= begin)
-            and (end is None or e.date <= end)
-            and (mode is None or e.mode == mode)
-        ]
-        return self._open(index, wanted)
+        rows = self._stored()
+        if rows is None:
+            return None
+        if begin is not None:
+            rows = rows.where(F.col("p_day") >= begin)
+        if end is not None:
+            rows = rows.where(F.col("p_day") <= end)
+        if mode is not None:
+            rows = rows.where(F.col("p_mode") == mode)
+        return rows.drop(*PLACE)
 
     def read_latest(self, days: int = 7, mode: str | None = None) -> DataFrame | None:
-        """Rows of the last ``days`` days up to the newest stored day, found from the index."""
-        stored = [e.date for e in self.index().files]
+        """Rows of the last ``days`` days up to the newest stored day, found by the names of the partitions."""
+        stored = [day for _, day in self._partitions()]
         if not stored:
             return self.read()
         first = date.fromisoformat(max(stored)) - timedelta(days=days - 1)
         return self.read(begin=first.isoformat(), mode=mode)
 
-    def _open(self, index: Index, entries: list[Entry]) -> DataFrame | None:
-        if index.schema is None:
+    def _stored(self) -> DataFrame | None:
+        """All rows with their places. The columns are those of the table in ``schema``, which holds no rows."""
+        fs, path = hadoop_path(self.spark, f"{self.root}/schema")
+        if not fs.exists(path):
             return None
-        schema = StructType.fromJson(json.loads(index.schema))
-        if not entries:
-            return self.spark.createDataFrame([], schema)
-        paths = [f"{self.root}/{e.path}" for e in entries]
-        return self.spark.read.schema(schema).parquet(*paths)
+        columns = self.spark.read.parquet(f"{self.root}/schema").schema
+        fs.mkdirs(hadoop_path(self.spark, f"{self.root}/data")[1])
+        places = [StructField(c, StringType()) for c in PLACE]
+        return self.spark.read.schema(StructType([*columns.fields, *places])).parquet(f"{self.root}/data")
+
+    def _partitions(self) -> dict[tuple[str | None, str | None], str]:
+        """Folder of each (mode, day) that is stored."""
+        found = {}
+        for mode in self._folders("data", PLACE[0]):
+            for day in self._folders(f"data/{mode}", PLACE[1]):
+                values = [unquote(x.split("=", 1)[1]) for x in (mode, day)]
+                place = tuple(None if v == "__HIVE_DEFAULT_PARTITION__" else v for v in values)
+                found[place] = f"data/{mode}/{day}"
+        return found
+
+    def _folders(self, below: str, column: str) -> list[str]:
+        fs, path = hadoop_path(self.spark, f"{self.root}/{below}")
+        names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+        return sorted(n for n in names if n.startswith(f"{column}="))
 
     # ---- writing
 
-    def upsert(self, changes: DataFrame, batch_id: int | None = None, stream: str = "") -> DataFrame | None:
+    def upsert(self, changes: DataFrame, batch_id: int | None = None, stream: str = "") -> DataFrame:
         """Merge changes by key and return those that could not be placed.
 
         A key whose day changed leaves its old partition. The row with the greater arrival
         order wins, stored or new, so a repeated or late batch does no harm. Changes without
         key or day are dead letters; what is stored for their keys stays. A batch that the same
-        ``stream`` has committed already changes nothing, and its dead letters are returned again.
+        ``stream`` has merged already changes nothing, and its dead letters are returned again.
         """
         return self._merge(changes, None, batch_id, stream)
 
     def replace_scope(
-        self,
-        changes: DataFrame,
-        mode: str | None,
-        begin: str,
-        end: str,
-        scope: Column,
-        batch_id: int | None = None,
-        stream: str = "",
-    ) -> DataFrame | None:
-        """Delete the stored rows of a mode and day range that ``scope`` selects, then merge.
-
-        Without a mode all modes are meant. Call it after the rows were read successfully:
-        both steps are one commit.
+        self, changes: DataFrame, mode: str | None, begin: str, end: str, scope: Column, batch_id: int | None = None, stream: str = ""
+    ) -> DataFrame:
+        """Delete the stored rows of a mode and day range that ``scope`` selects, and merge, in one write.
+
+        Without a mode all modes are meant. Call it after the rows were read successfully.
         """
-        inside = F.col("day").between(begin, end) & scope
+        inside = F.col("p_day").between(begin, end) & F.coalesce(scope, F.lit(False))
         if mode is not None:
-            inside = inside & (F.col("mode") == mode)
-        return self._merge(changes, (mode, begin, end, inside), batch_id, stream)
-
-    def _merge(self, changes, scope, batch_id, stream) -> DataFrame | None:
-        index = self.index()
-        attempt = f"v={index.version + 1:08d}-{uuid.uuid4().hex[:12]}"
-        key = F.col(self.key)
-        placed = (F.coalesce(key, F.lit("")) != "") & (
-            F.coalesce(F.col("day"), F.lit(UNDATED)) != UNDATED
-        )
+            inside = inside & (F.col("p_mode") == mode)
+        return self._merge(changes, inside, batch_id, stream)
+
+    def _merge(self, changes: DataFrame, scope: Column | None, batch_id: int | None, stream: str) -> DataFrame:
+        attempt = f"{self.root}/staging/{uuid.uuid4().hex}"
+        placed = (F.coalesce(self.key, F.lit("")) != "") & (F.coalesce("day", F.lit(UNDATED)) != UNDATED)
         rejected = changes.where(~placed)
+        fresh = changes.where(placed)
         if batch_id is not None:
-            if batch_id <= index.batches.get(stream, -1):
-                return rejected  # a repeated micro-batch
-            index.batches = index.batches | {stream: batch_id}
-        # Landed once: the batch is needed several times, and must not change on a task retry.
-        latest = self._land(last_write_wins(changes.where(placed), self.key, self.order), attempt)
-        stored = self._open(index, index.files)
+            # rows of a batch that was merged before meet its mark and go no further
+            marked = fresh.withColumns({"_stream": F.lit(stream), "_batch": F.lit(batch_id).cast("long")})
+            fresh = marked.join(F.broadcast(self._batches()), ["_stream", "_batch"], "left_anti").drop("_stream", "_batch")
+        # landed once: the batch is needed several times, and must not change on a task retry
+        latest = _landed(last_write_wins(fresh, self.key, self.order), f"{attempt}/latest")
+        stored = self._stored()
         if stored is None:
-            return self._write_all(latest, index, attempt, [], rejected)
-        stays = F.lit(True) if scope is None else ~F.coalesce(scope[3], F.lit(False))
-
-        # Only key, place and order of the whole store are read here.
-        spots = stored.where(stays).select(
-            self.key,
-            F.col("mode").alias("_mode"),
-            F.col("day").alias("_day"),
-            F.col(self.order).alias("_order"),
-        )
-        moves = latest.join(spots, self.key, "left")
-        newer = moves.where(F.col("_order").isNull() | (F.col("_order") <= F.col(self.order)))
-        newer = self._land(newer, attempt, "newer")
-        touched = newer.select("mode", "day").union(
-            newer.where(F.col("_day").isNotNull()).select("_mode", "_day")
-        )
-        if scope is not None:
-            mode, begin, end, inside = scope
-            in_range = [
-                e for e in index.files if mode in (None, e.mode) and begin <= e.date <= end
-            ]
-            emptied = self._open(index, in_range).where(inside)
-            touched = touched.union(emptied.select("mode", "day"))
-        # At most one row per mode and calendar day.
-        buckets = {(row[0], row[1]) for row in touched.distinct().collect()}
-        old = [e for e in index.files if (e.mode, e.date) in buckets]
-        winners = newer.drop("_mode", "_day", "_order")
-        kept = self._open(index, old).where(stays).join(winners.select(self.key), self.key, "left_anti")
-        merged = kept.unionByName(winners, allowMissingColumns=True)
-        carried = [e for e in index.files if (e.mode, e.date) not in buckets]
-        return self._write_all(merged, index, attempt, carried, rejected)
-
-    def _write_all(self, rows, index, attempt, carried, rejected) -> DataFrame:
-        written = self._write_data(rows, attempt)
-        schema = json.dumps(rows.schema.jsonValue())
-        self._commit(Index(index.version + 1, index.batches, schema, files=carry_counts(carried, written)))
-        fs, staging = hadoop_path(self.spark, f"{self.root}/staging/{attempt}")
+            self._place(latest, f"{attempt}/merged", [])
+        else:
+            stays = F.lit(True) if scope is None else ~F.coalesce(scope, F.lit(False))
+            # key, place and order of the store meet the changes; the smaller side is sent to the other
+            theirs = latest.select(self.key, F.col(self.order).alias("_new"))
+            met = stored.where(stays).select(self.key, *PLACE, self.order).join(theirs, self.key)
+            met = _landed(met.withColumn("_late", F.col(self.order) > F.col("_new")).select(self.key, *PLACE, "_late"), f"{attempt}/met")
+            winners = latest.join(met.where("_late").select(self.key), self.key, "left_anti")
+            touched = winners.select(*_place_columns()).union(met.where("NOT _late").select(*PLACE))
+            if scope is not None:
+                touched = touched.union(stored.where(scope).select(*PLACE))
+            places = [tuple(r) for r in touched.distinct().collect()]  # at most one row per mode and day
+            rest = stored.where(_in(places) & stays).drop(*PLACE).join(winners.select(self.key), self.key, "left_anti")
+            self._place(rest.unionByName(winners, allowMissingColumns=True), f"{attempt}/merged", places)
+        if batch_id is not None:
+            self.spark.createDataFrame([(stream, batch_id)], _BATCHES).coalesce(1).write.mode("append").parquet(f"{self.root}/batches")
+        fs, staging = hadoop_path(self.spark, attempt)
         fs.delete(staging, True)
         return rejected
 
+    def _batches(self) -> DataFrame:
+        """Batches that were merged: (_stream, _batch)."""
+        fs, path = hadoop_path(self.spark, f"{self.root}/batches")
+        if not fs.exists(path):
+            return self.spark.createDataFrame([], _BATCHES)
+        return self.spark.read.schema(_BATCHES).parquet(f"{self.root}/batches").distinct()
+
+    def _place(self, rows: DataFrame, staging: str, places: list[tuple]) -> None:
+        """Overwrite the partitions of the rows, and delete those of ``places`` that have no rows any more."""
+        merged = _landed(rows, staging).withColumns(dict(zip(PLACE, _place_columns(), strict=True)))
+        known = self._stored()
+        if known is None or known.drop(*PLACE).columns != rows.columns:
+            self.spark.createDataFrame([], rows.schema).coalesce(1).write.mode("overwrite").parquet(f"{self.root}/schema")
+        # rebalancing cuts a day that holds many rows into several tasks and files
+        writer = merged.hint("rebalance", *PLACE).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy(*PLACE).parquet(f"{self.root}/data")
+        left = {tuple(r) for r in merged.select(*PLACE).distinct().collect()}
+        folders = self._partitions()
+        fs, _ = hadoop_path(self.spark, self.root)
+        for place in {*places} - left:
+            if place in folders:
+                fs.delete(hadoop_path(self.spark, f"{self.root}/{folders[place]}")[1], True)
+
     def compact(self, mode: Column | None = None, day: Column | None = None) -> None:
         """Rewrite everything: one row per key, each under its own (recomputed) mode and day.
 
         A row for which no day can be computed stays where it is.
         """
-        index = self.index()
-        rows = self._open(index, index.files)
+        rows = self.read()
         if rows is None:
             return
         if mode is not None:
@@ -224,98 +186,34 @@ class NoticeStore:
         if day is not None:
             dated = F.coalesce(day, F.lit(UNDATED)) != UNDATED
             rows = rows.withColumn("day", F.when(dated, day).otherwise(F.col("day")))
-        rows = last_write_wins(rows, self.key, self.order)
-        written = self._write_data(rows, f"v={index.version + 1:08d}-{uuid.uuid4().hex[:12]}")
-        schema = json.dumps(rows.schema.jsonValue())
-        self._commit(Index(index.version + 1, index.batches, schema, files=written))
+        attempt = f"{self.root}/staging/{uuid.uuid4().hex}"
+        self._place(last_write_wins(rows, self.key, self.order), f"{attempt}/merged", list(self._partitions()))
+        fs, staging = hadoop_path(self.spark, attempt)
+        fs.delete(staging, True)
 
-    def vacuum(self, older_than: float = 7 * 86400) -> list[str]:
-        """Delete partitions that the newest index does not use; returns their paths below the root.
 
-        Only what was last written ``older_than`` seconds ago goes, so that a running commit keeps its files;
-        the same holds for what dead attempts left in the staging folder.
-        """
-        used = {e.path for e in self.index().files}
-        limit = (time.time() - older_than) * 1000
-        removed = []
-        for folder in (*self._folders("data"), *self._folders("staging")):
-            fs, path = hadoop_path(self.spark, f"{self.root}/{folder}")
-            parts = [s for s in fs.listStatus(path) if s.getPath().getName().startswith((_FOLDER, "latest", "newer"))]
-            for status in parts:
-                name = f"{folder}/{status.getPath().getName()}"
-                if name not in used and status.getModificationTime() <= limit:
-                    fs.delete(status.getPath(), True)
-                    removed.append(name)
-            if parts and not any(s.isDirectory() for s in fs.listStatus(path)):
-                fs.delete(path, True)
-        return sorted(removed)
-
-    def _folders(self, top: str) -> list[str]:
-        fs, path = hadoop_path(self.spark, f"{self.root}/{top}")
-        return [f"{top}/{s.getPath().getName()}" for s in fs.listStatus(path)] if fs.exists(path) else []
-
-    # ---- files
-
-    def _land(self, df: DataFrame, attempt: str, name: str = "latest") -> DataFrame:
-        path = f"{self.root}/staging/{attempt}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def _write_data(self, rows: DataFrame, attempt: str) -> list[Entry]:
-        folder = f"data/{attempt}"
-        # Rebalancing cuts a day that holds many rows into several tasks and files.
-        tagged = rows.withColumn(_FOLDER, _folder()).hint("rebalance", _FOLDER)
-        tagged.write.partitionBy(_FOLDER).parquet(f"{self.root}/{folder}")
-        stored = self.spark.read.schema(rows.schema).option("recursiveFileLookup", True)
-        counts = stored.parquet(f"{self.root}/{folder}").groupBy("mode", "day").count()
-        return [
-            Entry(r["mode"], r["day"], f"{folder}/{_FOLDER}={r['part']}", r["count"])
-            for r in counts.withColumn("part", _folder()).collect()  # one row per written partition
-        ]
-
-    def _commit(self, index: Index) -> None:
-        """Publish an index whole, or raise :class:`CommitConflict` if its version exists."""
-        index.updated_at = datetime.now(timezone.utc).isoformat()
-        index.files = sorted(index.files, key=lambda e: (e.date, e.mode or ""))
-        text = json.dumps(asdict(index), ensure_ascii=False, indent=1)
-        name = f"{self.root}/index/v{index.version:08d}"
-        fs, final = hadoop_path(self.spark, f"{name}.json")
-        _, draft = hadoop_path(self.spark, f"{self.root}/index/.draft-{uuid.uuid4().hex}")
-        _, claim = hadoop_path(self.spark, f"{self.root}/index/.claim-v{index.version:08d}")
-        fs.mkdirs(final.getParent())
-        stream = fs.create(draft, True)
-        stream.write(bytearray(text.encode("utf-8")))
-        stream.close()
-        if not self._claim(fs, claim):
-            fs.delete(draft, False)
-            raise CommitConflict(f"version {index.version} is being written")
-        try:
-            if fs.exists(final) or not fs.rename(draft, final):
-                raise CommitConflict(f"version {index.version} exists")
-        finally:
-            fs.delete(draft, False)
-            fs.delete(claim, False)
-
-    def _claim(self, fs, claim) -> bool:
-        """Create a file that must not exist, as one step: only its owner may rename an index into place."""
-        if fs.exists(claim) and fs.getFileStatus(claim).getModificationTime() < (time.time() - CLAIM_SECONDS) * 1000:
-            fs.delete(claim, False)
-        if fs.getUri().getScheme() == "file":
-            return self.spark._jvm.java.io.File(claim.toUri().getPath()).createNewFile()
-        try:
-            fs.create(claim, False).close()
-        except Exception as error:  # the file system's own class for "exists"
-            if "AlreadyExists" in str(error) or "AlreadyBeingCreated" in str(error):
-                return False
-            raise
-        return True
-
-
-def carry_counts(previous: list[Entry], written: list[Entry]) -> list[Entry]:
-    """New counts override; partitions not written keep the count they had."""
-    merged = {(e.mode, e.date): e for e in previous}
-    merged.update({(e.mode, e.date): e for e in written})
-    return list(merged.values())
+_BATCHES = "_stream string, _batch long"
+
+
+def _place_columns() -> list[Column]:
+    """Names of folders: an empty text is no folder's name and goes with null."""
+    return [F.nullif(F.col(c), F.lit("")).alias(p) for c, p in zip(("mode", "day"), PLACE, strict=True)]
+
+
+def _in(places: list[tuple]) -> Column:
+    """Rows of these partitions, as a condition that prunes the others."""
+    days = defaultdict(list)
+    for mode, day in places:
+        days[mode].append(day)
+    found = F.lit(False)
+    for mode, those in days.items():
+        found = found | (F.col(PLACE[0]).eqNullSafe(mode) & F.col(PLACE[1]).isin(those))
+    return found
+
+
+def _landed(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def merge_counts(previous: DataFrame, current: DataFrame, keys: tuple[str, ...] = ("mode", "day")) -> DataFrame:

@@ -96,7 +96,6 @@ def compact_store(spark, sf_dir):
     store = st.NoticeStore(spark, work_dir(spark, "store"))
     store.upsert(rows.unionByName(clicks))
     store.compact(day=F.col("real_day"))
-    store.vacuum()
     return store.read().select("key", "day", "seq", "value")
 
 
