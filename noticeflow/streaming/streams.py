@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import hadoop_path
 from ..sources.store import NoticeStore
@@ -53,9 +57,36 @@ def query_id(spark: SparkSession, checkpoint: str) -> str:
         stream.close()
 
 
-def stream_keep_first(changes: DataFrame, key: str, event_time: str, delay: str) -> DataFrame:
-    """The first arrival of each key; state is kept for ``delay`` of event time.
+def stream_keep_first(changes: DataFrame, key: str, event_time: str, delay: str, order: Sequence[str] | None = None) -> DataFrame:
+    """The first arrival of each key: of the copies in one micro-batch the least by ``order`` (default: the event time, nulls
+    first), and none in later ones. Rows with a blank key are never copies of each other and all pass.
 
-    A copy that comes later than that passes again. ``stream_upsert`` has no such limit.
+    A key is remembered until the watermark is ``delay`` past its event time; a copy that comes later than that passes again, and rows older than
+    the watermark are late and dropped. Rows without an event time count as of 1970. ``stream_upsert`` has no such limit. Copies of a key meet in one task, which
+    looks at them a batch at a time and holds one.
     """
-    return changes.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+    spark = changes.sparkSession
+    epoch = F.timestamp_millis(F.lit(0))
+    span = spark.range(1).select(F.unix_millis(epoch + F.expr(f"interval {delay}"))).first()[0]
+    by, columns = list(order or [event_time]), changes.columns
+    blank = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
+    marked = changes.withWatermark(event_time, delay)
+    keyed = marked.where(~blank).withColumn("_ms", F.coalesce(F.unix_millis(event_time), F.lit(0).cast("long")))
+
+    def first(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known, best = state.exists, None
+        for rows in batches:
+            if known:
+                continue
+            rows = rows if best is None else pd.concat([best, rows], ignore_index=True)
+            best = rows.sort_values(by, kind="stable", na_position="first").head(1)
+        if best is not None:
+            state.update((True,))
+            state.setTimeoutTimestamp(max(int(best["_ms"].iloc[0]), state.getCurrentWatermarkMs()) + span + 1)
+            yield best[columns]
+
+    kept = keyed.groupBy(key).applyInPandasWithState(first, changes.schema, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.union(marked.where(blank).select(columns))

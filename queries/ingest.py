@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.operators import extraction
 from noticeflow.plans import jobs
-from noticeflow.sources import envelope, landed
+from noticeflow.sources import envelope, landed, paged_rest
 
 from .tables import table
 
@@ -137,6 +137,37 @@ def adaptive_outcomes(spark, sf_dir):
     return outcome.join(learned, "kind", "left").select("kind", "root_begin", "pieces", "error", "learned_days")
 
 
+PAGE = 40
+
+
+def _order_pages(job, page):
+    """Pages with as many items as a customer segment and status have orders. Some jobs break on their second page."""
+    total, kind = job["orders"], job["kind"]
+    if page == 2 and kind == 1:
+        return 200, "[]"
+    first = (page - 1) * PAGE
+    items = ",".join(f'{{"no":{i}}}' for i in range(first, min(first + PAGE, total)))
+    count = '"n/a"' if page == 2 and kind == 2 else total
+    return 200, f'{{"response":{{"body":{{"items":[{items}],"totalCount":{count},"numOfRows":"{PAGE}"}}}}}}'
+
+
+def paged_jobs(spark, sf_dir):
+    """Items and errors of jobs read page by page; of those that fail nothing but the error is kept."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    sizes = orders.join(customer, orders.o_custkey == customer.c_custkey).groupBy("c_mktsegment", "o_orderstatus").count()
+    # five segments and three statuses are a plan, not data
+    plan = sizes.orderBy("c_mktsegment", "o_orderstatus").collect()
+    jobs = [{"segment": s, "status": o, "orders": n, "kind": n % 3 if n > PAGE else 0} for s, o, n in plan]
+    spark.dataSource.register(paged_rest.paged_rest_source(_order_pages, "order_pages"))
+    landed = paged_rest.read_jobs(spark, jobs, keep_partial=False, source="order_pages")
+    number = F.try_element_at("item", F.lit("no")).cast("long")
+    segment = F.get_json_object("job_id", "$.segment")
+    return landed.groupBy(segment.alias("segment"), F.get_json_object("job_id", "$.status").alias("status")).agg(
+        F.count("item").alias("items"), F.coalesce(F.sum(number), F.lit(0).cast("long")).alias("numbers"),
+        F.coalesce(F.max("page"), F.lit(0)).alias("pages"), F.max("error").alias("error"),
+    )
+
+
 def resume_pending(spark, sf_dir):
     plan = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type").distinct()
     return jobs.resume_pending(plan, plan.where("day < date '2024-01-15'"), ["day", "event_type"])
@@ -204,6 +235,16 @@ _ADAPTIVE_SQL = f"""
 """
 
 QUERIES = {
+    "paged_jobs": (
+        paged_jobs,
+        f"""WITH s AS (SELECT c_mktsegment AS segment, o_orderstatus AS status, count(*) AS n
+          FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+        k AS (SELECT *, CASE WHEN n > {PAGE} THEN n % 3 ELSE 0 END AS kind FROM s)
+        SELECT segment, status, CASE WHEN kind = 0 THEN n ELSE 0 END AS items,
+          CASE WHEN kind = 0 THEN CAST(n * (n - 1) // 2 AS BIGINT) ELSE 0 END AS numbers,
+          CASE WHEN kind = 0 THEN CAST(ceil(n / {PAGE}.0) AS INTEGER) ELSE 0 END AS pages,
+          CASE kind WHEN 1 THEN 'the body is no object: []' WHEN 2 THEN 'totalCount is no number: n/a' END AS error FROM k""",
+    ),
     "adaptive_ranges": (
         adaptive_ranges,
         # a range that fails for good is a single day, which its first half is

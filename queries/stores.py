@@ -145,13 +145,18 @@ def stream_upsert(spark, sf_dir):
 
 
 def stream_keep_first(spark, sf_dir):
-    """Every event arrives twice; the delay covers the whole period."""
+    """Every event arrives twice in one micro-batch and again in a later one; a fifth of the keys is blank."""
     source, sink = work_dir(spark, "stream-in"), work_dir(spark, "stream-out")
-    events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
-    events.write.mode("append").parquet(source)
-    events.write.mode("append").parquet(source)
-    arriving = spark.readStream.schema(events.schema).parquet(source)
-    first = streams.stream_keep_first(arriving, "event_id", "ts", "60 days")
+    k = F.col("event_id")
+    key = F.when(k % 10 == 3, F.lit(None)).when(k % 10 == 7, F.lit("")).otherwise(F.concat(F.lit("e"), k))
+    events = table(spark, sf_dir, "events").select(key.alias("key"), "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    # the second copy of every other event comes first
+    arrivals = (F.lit(10), F.when(k % 2 == 0, 5).otherwise(15), F.lit(0))
+    copies = [events.withColumns({"arrival": a.cast("int"), "copy": F.lit(i)}) for i, a in enumerate(arrivals)]
+    for copy in copies:
+        copy.coalesce(1).write.mode("append").parquet(source)
+    arriving = spark.readStream.schema(copies[0].schema).option("maxFilesPerTrigger", 2).parquet(source)
+    first = streams.stream_keep_first(arriving, "key", "ts", "60 days", ["arrival", "copy"])
     query = (
         first.writeStream.format("parquet")
         .option("path", sink)
@@ -160,7 +165,7 @@ def stream_keep_first(spark, sf_dir):
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(events.schema).parquet(sink).select("event_id", "event_type", "value")
+    return spark.read.schema(copies[0].schema).parquet(sink).select("key", "event_id", "copy")
 
 
 _LATEST = """SELECT 'bid:' || user_id AS key, strftime(ts, '%Y-%m-%d') AS day, event_id AS seq, event_type, value FROM events
@@ -214,5 +219,11 @@ QUERIES = {
     ),
     "csv_roundtrip": (csv_roundtrip, "SELECT doc_id, text, lang FROM documents"),
     "stream_upsert": (stream_upsert, _LATEST),
-    "stream_keep_first": (stream_keep_first, "SELECT event_id, event_type, value FROM events"),
+    "stream_keep_first": (
+        stream_keep_first,
+        """SELECT 'e' || event_id AS key, event_id, CAST(CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS copy
+        FROM events WHERE event_id % 10 NOT IN (3, 7)
+        UNION ALL SELECT CASE WHEN event_id % 10 = 7 THEN '' END, event_id, CAST(c AS INTEGER)
+        FROM events, range(3) r(c) WHERE event_id % 10 IN (3, 7)""",
+    ),
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from noticeflow.functions.dates import record_day
 from noticeflow.operators.sets import union_columns
 from noticeflow.sources import daily_csv, envelope, landed
-from noticeflow.sources.paged_rest import paged_rest_source
+from noticeflow.sources.paged_rest import paged_rest_source, read_jobs
 from noticeflow.sources.store import NoticeStore, complete_jobs, completed_jobs
 from noticeflow.streaming import streams
 
@@ -83,9 +83,8 @@ def test_paged_source(spark, partial, kept):
 
     jobs = [{"type": "a"}, {"type": "broken"}, {"type": "busy"}]
     spark.dataSource.register(paged_rest_source(fixture_fetch, sleep=lambda seconds: None))
-    read = spark.read.format("paged_rest").options(jobs=json.dumps(jobs), partial=partial).load()
-    assert read.rdd.getNumPartitions() == 3
-    rows = read.collect()
+    assert spark.read.format("paged_rest").options(jobs=json.dumps(jobs)).load().rdd.getNumPartitions() == 3
+    rows = read_jobs(spark, jobs, keep_partial=partial == "keep").collect()
     items = [(r["job_ix"], r["page"], r["item_ix"], r["item"]["no"]) for r in rows if r["error"] is None]
     assert [i for i in items if i[0] == 0] == [
         (0, 1, 0, "a0"), (0, 1, 1, "a1"), (0, 2, 0, "a2"), (0, 2, 1, "a3"), (0, 3, 0, "a4"),
@@ -94,6 +93,39 @@ def test_paged_source(spark, partial, kept):
     assert {r["job_ix"]: r["error"] for r in rows if r["error"]} == {1: "denied", 2: "{}"}
 
 
+def test_any_body_of_another_form_is_an_error_row(spark):
+    bodies = {
+        "list": "[1, 2]", "total": body([{"a": 1}], totalCount="n/a"), "items": body("none"), "item": body(["x"]), "response": '{"response":[1]}',
+        "inner": '{"response":{"body":[1]}}', "upstream": '{"upstreamStatus":"soon"}', "number": "3", "good": body([{"a": [1]}]),
+    }
+
+    spark.dataSource.register(paged_rest_source(lambda job, page: (200, bodies[job["kind"]]), name="odd_bodies", sleep=lambda seconds: None))
+    jobs = [{"kind": k} for k in bodies]
+    rows = {json.loads(r["job_id"])["kind"]: r for r in read_jobs(spark, jobs, source="odd_bodies").collect()}
+    assert set(rows) == set(bodies)
+    assert rows.pop("good")["item"] == {"a": "[1]"} and all(r["error"] and r["item"] is None for r in rows.values())
+    assert "n/a" in rows["total"]["error"]
+
+
+def test_filters_choose_the_jobs_that_are_read(spark):
+    answers = [body([{"n": i}]) for i in range(9)]
+
+    def fetch(job, page):
+        if job["n"] not in (2, 5):
+            raise RuntimeError("not asked for")
+        return 200, answers[job["n"]]
+
+    spark.dataSource.register(paged_rest_source(fetch, name="counted"))
+    before = spark.conf.get("spark.sql.python.filterPushdown.enabled")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        read = spark.read.format("counted").options(jobs=json.dumps([{"n": i} for i in range(9)]), pushdown="true").load()
+        assert [r["item"]["n"] for r in read.where("job_ix IN (2, 5) AND page = 1").collect()] == ["2", "5"]
+        assert read.where("job_id = 'none'").count() == 0
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", before)
+
+
 # ---- CSV
 
 
