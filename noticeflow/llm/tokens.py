@@ -18,12 +18,12 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from noticeflow.llm import tables, words
 
-#: Distinct pieces of text whose ids a task remembers; it then starts anew. About 60 MB.
+#: Distinct pieces of text whose ids a Python worker remembers; it then starts anew. About 60 MB.
 KNOWN_PIECES = 400_000
 #: Text encoded at once, and compressed frames in a row of the files.
 ENCODE_BYTES = 1 << 20
 #: New pieces that are encoded as one text, and texts handed to the library at once.
-JOINED, AT_ONCE = 64, 64
+JOINED, AT_ONCE = 16, 256
 BLOCK_BYTES = 4 << 20
 
 _SPACES = b" \t\n\r\x0b\x0c"
@@ -141,7 +141,7 @@ encoder = cache(Encoder)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """(some rows of a batch, ids of their texts). What is remembered is freed at the end of the task."""
+    """(some rows of a batch, ids of their texts)"""
     own = encoder(tokenizer)
     for batch in batches:
         texts = batch.column("text")
@@ -152,7 +152,6 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int) -> Iter
             to = max(at + 1, int(np.searchsorted(sizes, done + ENCODE_BYTES, side="right")))
             yield batch.slice(at, to - at), own.encode(texts.slice(at, to - at).to_pylist(), end)
             at = to
-    own.forget()
 
 
 def write_tokens(
