@@ -50,19 +50,45 @@ def map_notice(
     asked for; without it the record's own type is used.
     """
     read = field_reader(df)
-    own_type = non_empty(read(RECORD_TYPE_FIELD))
-    return df.select(
-        *keep,
-        F.lit(spec.mode).alias("mode"),
-        strip_ws(read(spec.number)).alias("number"),
-        non_empty(*[read(c) for c in spec.institution]).alias("institution"),
-        (own_type if business_type is None else business_type).alias("business_type"),
-        non_empty(read(RECORD_KIND_FIELD)).alias("notice_kind"),
-        non_empty(*[read(c) for c in spec.title]).alias("title"),
-        non_empty(*[read(c) for c in spec.published_at]).alias("published_at"),
-        non_empty(*[read(c) for c in spec.close_at]).alias("close_at"),
-        unpivot_attachments(read, spec).alias("files"),
-    )
+    columns = _projected(read, spec, business_type) | {"files": unpivot_attachments(read, spec)}
+    return df.select(*keep, *[c.alias(name) for name, c in columns.items()])
+
+
+def map_records(
+    df: DataFrame, mode: Column, business_type: Column | None = None, keep: Sequence[str] = (), attach: bool = True
+) -> DataFrame:
+    """:func:`map_notice` for records of both modes in one pass; ``mode`` decides for each record.
+
+    Without ``attach`` the attachment fields stay as they are in ``record``, for :func:`with_files` after rows were chosen.
+    """
+    read = field_reader(df)
+    pre, bid = (_projected(read, spec, business_type) for spec in (PRE, BID))
+    is_bid = mode == BID.mode
+    columns = {name: F.when(is_bid, bid[name]).otherwise(pre[name]) for name in pre}
+    fields = [f"{prefix}{i}" for s in (PRE, BID) for prefix in (s.url_prefix, s.name_prefix) if prefix for i in range(1, s.slots + 1)]
+    record = F.struct(*[read(f).alias(f) for f in fields])
+    mapped = df.select(*keep, *[c.alias(name) for name, c in columns.items()], record.alias("record"))
+    return with_files(mapped) if attach else mapped
+
+
+def with_files(mapped: DataFrame) -> DataFrame:
+    """The attachments of mapped records in place of their ``record``."""
+    read = lambda name: F.col("record")[name]
+    files = F.when(F.col("mode") == BID.mode, unpivot_attachments(read, BID)).otherwise(unpivot_attachments(read, PRE))
+    return mapped.withColumn("files", files).drop("record")
+
+
+def _projected(read, spec: SourceSpec, business_type: Column | None) -> dict[str, Column]:
+    return {
+        "mode": F.lit(spec.mode),
+        "number": strip_ws(read(spec.number)),
+        "institution": non_empty(*[read(c) for c in spec.institution]),
+        "business_type": non_empty(read(RECORD_TYPE_FIELD)) if business_type is None else business_type,
+        "notice_kind": non_empty(read(RECORD_KIND_FIELD)),
+        "title": non_empty(*[read(c) for c in spec.title]),
+        "published_at": non_empty(*[read(c) for c in spec.published_at]),
+        "close_at": non_empty(*[read(c) for c in spec.close_at]),
+    }
 
 
 def unpivot_attachments(read, spec: SourceSpec) -> Column:
@@ -227,8 +253,13 @@ def top_notices(df: DataFrame, n: int, published: str, *ties: str | Column) -> D
 def select_attachments(
     notices: DataFrame, n: int, pattern: str, published: str, *ties: str | Column
 ) -> DataFrame:
-    """Matching attachments of the newest ``n`` notices; notices without a match drop out."""
+    """Matching attachments of the newest ``n`` notices; notices without a match drop out.
+
+    Attachments of notices that still have their ``record`` are built after the limit.
+    """
     top = top_notices(notices, n, published, *ties)
+    if "record" in top.columns:
+        top = with_files(top)
     matched = top.withColumn("files", file_pattern("files", pattern))
     return matched.where(F.size("files") > 0)
 

@@ -24,11 +24,11 @@ MISSING_ALERT = "누락: "
 def run_summary(rows: DataFrame, errors: DataFrame, jobs: DataFrame) -> DataFrame:
     """One row: notices, attachments, copies dropped, errors, jobs and chunks of a run.
 
-    ``rows`` has ``files`` and ``copies_dropped``; ``jobs`` has ``chunk``.
+    ``rows`` has ``attachments`` (their number) and ``copies_dropped``; ``jobs`` has ``chunk``.
     """
     found = rows.agg(
         F.count(F.lit(1)).alias("notices"),
-        F.coalesce(F.sum(F.size("files")), F.lit(0)).cast("long").alias("attachments"),
+        F.coalesce(F.sum("attachments"), F.lit(0)).cast("long").alias("attachments"),
         F.coalesce(F.sum("copies_dropped"), F.lit(0)).cast("long").alias("copies_dropped"),
     )
     failed = errors.agg(F.count(F.lit(1)).alias("errors"))

@@ -127,7 +127,7 @@ def downloads(
 
     ``records`` has ``item`` (map) and ``arrival`` (a number).
     """
-    mapped = notices.map_notice(records, spec, keep=["arrival"]).where("number <> ''")
+    mapped = notices.map_records(records, F.lit(spec.mode), keep=["arrival"], attach=False).where("number <> ''")
     wanted = notices.institution_any(mapped, institutions)
     dated = wanted.withColumn("_date", digits8("published_at"))
     latest = dedup.latest_per_key(dated, "number", "_date", "arrival")

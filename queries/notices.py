@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from noticeflow.functions import cells, dates, text
-from noticeflow.operators import dedup, notices as ops, positions, reports, sets
+from noticeflow.operators import dedup, extraction, notices as ops, positions, reports, sets
+from noticeflow.plans import programs
+from noticeflow.plans.config import collect_config
+from noticeflow.session import work_dir
+from noticeflow.sources import landed
 from noticeflow.sources.daily_csv import export_lines
+from noticeflow.sources.store import daily_counts
 from noticeflow.spec import BID, PRE
 
 from .tables import NOTICES_SQL, notices, slots, sql_normalise, table
@@ -84,12 +90,9 @@ FILES_SQL = f"""
 """
 
 
-def mapped(spark, sf_dir, keep=()):
-    raw = raw_records(spark, sf_dir)
-    is_tender = text.strip_ws("bidNtceNo") != ""
-    pre = ops.map_notice(raw.where(~is_tender), PRE, F.lit("용역"), keep)
-    bid = ops.map_notice(raw.where(is_tender), BID, F.lit("용역"), keep)
-    return sets.union_all(pre, bid)
+def mapped(spark, sf_dir, keep=(), attach=True):
+    mode = F.when(text.strip_ws("bidNtceNo") != "", BID.mode).otherwise(PRE.mode)
+    return ops.map_records(raw_records(spark, sf_dir), mode, F.lit("용역"), keep, attach)
 
 
 def map_notice(spark, sf_dir):
@@ -193,7 +196,7 @@ def slot_number(spark, sf_dir):
 
 
 def top_then_filter(spark, sf_dir):
-    rows = mapped(spark, sf_dir, keep=["o_orderkey"])
+    rows = mapped(spark, sf_dir, keep=["o_orderkey"], attach=False)
     selected = ops.select_attachments(rows, 500, r"\.hwpx?$", "published_at", "o_orderkey")
     return ops.download_list(selected).select("mode", "number", "slot", "url", "name", "target")
 
@@ -256,13 +259,63 @@ def attach_labels(spark, sf_dir):
 
 def run_summary(spark, sf_dir):
     """Every record arrives twice; one business type's requests failed."""
-    rows = mapped(spark, sf_dir)
-    twice = sets.union_all(rows.withColumn("seq", F.lit(0)), rows.withColumn("seq", F.lit(1)))
+    rows = mapped(spark, sf_dir).select("number", ops.attachment_count().alias("attachments"))
+    twice = rows.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("seq"))
     kept = dedup.keep_first(twice, "number", "seq", copies="copies_dropped")
     jobs = table(spark, sf_dir, "events").select(F.to_date("ts").alias("chunk"), "event_type").distinct()
     return reports.run_summary(kept, jobs.where("event_type = 'error'"), jobs)
 
 
+def _dated(spark, sf_dir):
+    return notices(spark, sf_dir).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
+def in_job_scope(spark, sf_dir):
+    """Rows that a job of one mode, type and half a year replaces."""
+    scope = ops.in_job_scope("bid", "1996-01-01", "1996-06-30", "BUILDING")
+    return _dated(spark, sf_dir).where(scope).select("number", "day")
+
+
+def drop_columns(spark, sf_dir):
+    return ops.drop_columns(table(spark, sf_dir, "documents"), ["text", "lang", "no such column"])
+
+
+def configured_plan(spark, sf_dir):
+    """Orders per planned chunk of a configuration with unknown modes and types."""
+    raw = {"begin": "1995-01-01", "end": "1995-07-04", "modes": ["본공고", "x"], "businessTypes": ["용역", "y"]}
+    plan = programs.collect_plan(spark, collect_config(raw, date(2000, 1, 1)))
+    days = plan.select("*", F.explode(F.sequence("chunk_begin", "chunk_end")).alias("day"))
+    orders = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day"), "o_orderkey")
+    return days.join(orders, "day", "left").groupBy("mode", "business_type", "chunk_begin", "chunk_end").agg(
+        F.count("o_orderkey").alias("orders")
+    )
+
+
+def order_as_expected(spark, sf_dir):
+    """Lines in the order of the expected list, which leaves some out and asks for others in vain."""
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("string").alias("id")).agg(
+        F.max("l_quantity").alias("quantity")
+    )
+    listed = F.array(*map(F.lit, ["3", "9", "1"]))
+    expected = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), listed.alias("ids"))
+    placed = extraction.order_as_expected(items, expected, ["l_orderkey"], "ids", "id")
+    at = placed.withColumn("at", F.monotonically_increasing_id())
+    before = F.lag("id").over(Window.partitionBy("l_orderkey").orderBy("at"))
+    return at.select("l_orderkey", "id", "quantity", before.alias("before"))
+
+
+def take_sorted(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return landed.take_sorted(lines, "l_orderkey", 100)
+
+
+def index_roundtrip(spark, sf_dir):
+    """The index of days as JSON lines, read back."""
+    path = work_dir(spark, "index")
+    landed.write_index(daily_counts(_dated(spark, sf_dir)), path, ["day", "mode"])
+    return spark.read.schema("mode string, day string, count long").json(path)
+
+
 def extension_share(spark, sf_dir):
     files = ops.explode_files(mapped(spark, sf_dir))
     return reports.extension_share(files, "name", F.col("name").rlike("(?i)^plan"))
@@ -275,6 +328,34 @@ def json_or_default(spark, sf_dir):
 
 
 QUERIES = {
+    "in_job_scope": (
+        in_job_scope,
+        f"""SELECT number, strftime(day, '%Y-%m-%d') AS day FROM ({NOTICES_SQL})
+        WHERE mode = 'bid' AND business_type = 'BUILDING' AND day BETWEEN DATE '1996-01-01' AND DATE '1996-06-30'""",
+    ),
+    "drop_columns": (drop_columns, "SELECT doc_id, source, n_chars FROM documents"),
+    "configured_plan": (
+        configured_plan,
+        """WITH c AS (SELECT DATE '1995-01-01' + CAST(i * 28 AS INTEGER) AS b FROM range(7) r(i)),
+        p AS (SELECT b, least(b + 27, DATE '1995-07-04') AS e FROM c)
+        SELECT 'bid' AS mode, '용역' AS business_type, b AS chunk_begin, e AS chunk_end, count(o_orderkey) AS orders
+        FROM p LEFT JOIN orders ON CAST(o_orderdate AS DATE) BETWEEN b AND e GROUP BY b, e""",
+    ),
+    "order_as_expected": (
+        order_as_expected,
+        """WITH i AS (SELECT l_orderkey, CAST(l_linenumber AS VARCHAR) AS id, max(l_quantity) AS quantity FROM lineitem
+          WHERE l_linenumber IN (1, 3) GROUP BY 1, 2)
+        SELECT *, lag(id) OVER (PARTITION BY l_orderkey ORDER BY id DESC) AS before FROM i""",
+    ),
+    "take_sorted": (
+        take_sorted,
+        """SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem
+        WHERE l_orderkey IN (SELECT DISTINCT l_orderkey FROM lineitem ORDER BY 1 LIMIT 100)""",
+    ),
+    "index_roundtrip": (
+        index_roundtrip,
+        f"SELECT mode, strftime(day, '%Y-%m-%d') AS day, count(*) AS count FROM ({NOTICES_SQL}) GROUP BY 1, 2",
+    ),
     "search_notices": (search_notices, SEARCH_SQL),
     "map_notice": (map_notice, MAP_SQL),
     "filter_compact": (
