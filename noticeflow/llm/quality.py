@@ -154,13 +154,16 @@ def grade(documents: DataFrame, model: Model, text_col: str, name: str = "qualit
     """
     # the text goes along in a column of its own, and the other columns as they are
     kept = [c for c in documents.columns if c != name]
+    own = "_score"
+    while own in kept or own == name:
+        own += "_"
     score = _scorer(model)(F.coalesce(F.col(text_col), F.lit("")))
     at_least = F.transform(
-        F.array(*[F.lit(float(t)) for t in model.thresholds]), lambda t: 1 / (1 + F.exp(t - F.col("_score")))
+        F.array(*[F.lit(float(t)) for t in model.thresholds]), lambda t: 1 / (1 + F.exp(t - F.col(own)))
     )
-    graded = documents.select(*[F.col(f"`{c}`") for c in kept], score.alias("_score"))
+    graded = documents.select(*[F.col(f"`{c}`") for c in kept], score.alias(own))
     expected = F.aggregate(at_least, F.lit(0.0), lambda a, x: a + x)
-    return graded.withColumn(name, F.struct(expected.alias("expected"), at_least.alias("at_least"))).drop("_score")
+    return graded.withColumn(name, F.struct(expected.alias("expected"), at_least.alias("at_least"))).drop(own)
 
 
 def _scorer(model: Model):

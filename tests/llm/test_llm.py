@@ -435,6 +435,21 @@ def test_pipeline_stages(spark):
         docs = after
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline
+
+    clashing = ["_text", "_grade", "_tokens", "_score", "_t1", "row", "tokens", "grade", "document", "root", "hash", "quality"]
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").limit(40)
+    docs = docs.select("*", *[F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in clashing])
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF_DIR)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} {r['doc_id']}" for r in rows for c in clashing)
+    graded = quality.grade(docs, queries.quality_model(spark, SF_DIR), "text")
+    assert graded.columns == [c for c in docs.columns if c != "quality"] + ["quality"] and graded.first()["_score"].startswith("_score ")
+
+
 def test_pipeline_drops_copies_with_edits(spark):
     import corpus_pipeline
 
