@@ -113,9 +113,9 @@ def unpivot_attachments(read, spec: SourceSpec) -> Column:
         )
 
     def fallback(file: Column, index: Column) -> Column:
-        if spec.name_prefix:
-            return F.concat_ws(" ", F.lit(names.ATTACHMENT_LABEL), file["slot"].cast("string"))
-        return names.guess_name(file["url"], index)
+        if spec.guess_names:
+            return names.guess_name(file["url"], index)
+        return F.concat_ws(" ", F.lit(names.ATTACHMENT_LABEL), file["slot"].cast("string"))
 
     named = F.transform(
         let(valid, first_copies),

@@ -31,12 +31,22 @@ def search(items: DataFrame, spec: SourceSpec, filters: Mapping[str, str | None]
     ``items`` has ``item`` (map), the ``business_type`` asked for, and where it arrived
     (``job_ix``, ``page``, ``item_ix``). Copies are dropped before the filters.
     """
-    mapped = notices.map_notice(items, spec, F.col("business_type"), keep=_ARRIVAL)
-    first = dedup.keep_first(mapped, "number", _ARRIVAL, copies="copies_dropped")
-    found = notices.match_filters(first, filters)
+    found = notices.match_filters(_first_copies(items, spec), filters)
     return notices.newest_first(found, "published_at", *_ARRIVAL).drop(*_ARRIVAL)
 
 
+def search_counts(items: DataFrame, spec: SourceSpec) -> DataFrame:
+    """One row: ``items`` that arrived and ``copies_dropped`` among all of them, whatever the filters keep."""
+    first = _first_copies(items, spec).select("copies_dropped")
+    dropped = F.coalesce(F.sum("copies_dropped"), F.lit(0).cast("long"))
+    return first.agg((F.count("*") + dropped).alias("items"), dropped.alias("copies_dropped"))
+
+
+def _first_copies(items: DataFrame, spec: SourceSpec) -> DataFrame:
+    mapped = notices.map_notice(items, spec, F.col("business_type"), keep=_ARRIVAL)
+    return dedup.keep_first(mapped, "number", _ARRIVAL, copies="copies_dropped")
+
+
 def collect_plan(spark, config: CollectConfig) -> DataFrame:
     """Jobs of a collection: chunks, modes and business types."""
     modes = spark.createDataFrame([(m,) for m in config.modes], "mode string")

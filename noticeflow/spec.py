@@ -26,6 +26,8 @@ class SourceSpec:
     url_prefix: str
     slots: int
     name_prefix: str | None = None
+    #: Whether an attachment without a stored name is named by its address.
+    guess_names: bool = False
     revision: str | None = None
 
 
@@ -39,6 +41,8 @@ PRE = SourceSpec(
     close_at=("opninRgstClseDt",),
     url_prefix="specDocFileUrl",
     slots=5,
+    name_prefix="specDocFileNm",
+    guess_names=True,
 )
 BID = SourceSpec(
     mode="bid",

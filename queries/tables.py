@@ -17,8 +17,7 @@ def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     return (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
-        # a list of nations has a fixed size
-        .join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
+        .join(nation, customer.c_nationkey == nation.n_nationkey)
         .select(
             F.when(F.col("o_orderstatus") == "P", "pre").otherwise("bid").alias("mode"),
             F.col("o_orderkey").alias("number"),

@@ -237,6 +237,16 @@ def test_union_and_differences(spark):
     assert rows(both, "id", "a", "b") == [("1", "x", ""), ("2", "", "y")]
 
 
+def test_stored_names_come_before_names_from_addresses(spark):
+    url = "https://x.example/get.do?fileNm=%EA%B0%80.hwp"
+    raw = spark.createDataFrame([("1", url, "kept.hwp", url + "2", ""), ("2", url, None, None, None)],
+                                "bfSpecRgstNo string, specDocFileUrl1 string, specDocFileNm1 string, specDocFileUrl2 string, specDocFileNm2 string")
+    mapped = notices.map_notice(raw, PRE).collect()
+    assert {r["number"]: [f["name"] for f in r["files"]] for r in mapped} == {"1": ["kept.hwp", "가.hwp2"], "2": ["가.hwp"]}
+    both = notices.map_records(raw, F.lit("pre"), attach=False)
+    assert sorted(map(tuple, notices.with_files(both).select("number", "files").collect())) == sorted((r["number"], r["files"]) for r in mapped)
+
+
 # ---- excerpts
 
 

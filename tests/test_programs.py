@@ -28,6 +28,9 @@ def test_search(spark):
     )
     found = programs.search(landed, PRE, {"title": "망구 축", "number": ""}).collect()
     assert [(r["number"], r["institution"], r["copies_dropped"]) for r in found] == [("3", "", 0), ("2", "b", 0), ("", "", 0)]
+    # the copy of a notice that the filter leaves out is counted as well
+    assert tuple(programs.search_counts(landed, PRE).first()) == (5, 1)
+    assert tuple(programs.search_counts(landed.limit(0), PRE).first()) == (0, 0)
 
 
 @pytest.fixture
