@@ -126,20 +126,24 @@ def write_daily_files(rows: DataFrame, root: str, order: Sequence[str], item: st
     keys = rows.select("mode", "day", place.alias("_o"), F.posexplode(F.map_keys(item)).alias("_i", "key"))
     first = keys.groupBy("mode", "day", "key").agg(F.min(F.struct("_o", "_i")).alias("_first"))
     columns = first.groupBy("mode", "day").agg(F.array_sort(F.collect_list(F.struct("_first", "key")))["key"].alias("columns"))
-    lines = rows.join(columns, ["mode", "day"]).select(
-        "mode", "day", F.lit(1).alias("_part"), place.alias("_o"),
+    # a row per mode and day; numbers make plain folder names, and keep the order of the rows as it is
+    files = [tuple(r) for r in columns.select("mode", "day").orderBy("day", "mode").collect()]
+    numbers = F.broadcast(spark.createDataFrame([(*f, i) for i, f in enumerate(files)], "mode string, day string, file int"))
+    lines = rows.join(columns, ["mode", "day"]).join(numbers, ["mode", "day"]).select(
+        "file", F.lit(1).alias("_part"), place.alias("_o"),
         F.array_join(F.transform("columns", lambda key: _cell(F.col(item), key)), ",").alias("value"),
     )
-    heads = columns.select(
-        "mode", "day", F.lit(0).alias("_part"), F.lit(None).cast(lines.schema["_o"].dataType).alias("_o"),
+    heads = columns.join(numbers, ["mode", "day"]).select(
+        "file", F.lit(0).alias("_part"), F.lit(None).cast(lines.schema["_o"].dataType).alias("_o"),
         F.concat(F.lit(BOM), F.array_join("columns", ",")).alias("value"),
     )
     staging = f"{root}/_staging-{uuid.uuid4().hex[:12]}"
-    dealt = heads.union(lines).repartition("mode", "day").sortWithinPartitions("mode", "day", "_part", "_o")
-    dealt.select("mode", "day", "value").write.partitionBy("mode", "day").text(staging, compression="gzip")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = heads.union(lines).repartition(tasks, "file").sortWithinPartitions("file", "_part", "_o")
+    dealt.select("file", "value").write.partitionBy("file").text(staging, compression="gzip")
     fs, _ = hadoop_path(spark, root)
-    for folder in (f for m in _listed(spark, staging) if "/mode=" in m for f in _listed(spark, m)):
-        mode, day = (unquote(x.split("=", 1)[1]) for x in folder.rsplit("/", 2)[1:])
+    for folder in (f for f in _listed(spark, staging) if "/file=" in f):
+        mode, day = files[int(folder.rsplit("=", 1)[1])]
         [part] = [p for p in _listed(spark, folder) if "/part-" in p]
         _, target = hadoop_path(spark, f"{root}/{mode}/{day.replace('-', '/')}.csv.gz")
         fs.mkdirs(target.getParent())
