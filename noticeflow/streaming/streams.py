@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -57,36 +58,52 @@ def query_id(spark: SparkSession, checkpoint: str) -> str:
         stream.close()
 
 
-def stream_keep_first(changes: DataFrame, key: str, event_time: str, delay: str, order: Sequence[str] | None = None) -> DataFrame:
+def stream_keep_first(
+    changes: DataFrame, key: str, event_time: str, delay: str, order: Sequence[str] | None = None, buckets: int = 1024
+) -> DataFrame:
     """The first arrival of each key: of the copies in one micro-batch the least by ``order`` (default: the event time, nulls
     first), and none in later ones. Rows with a blank key are never copies of each other and all pass.
 
     A key is remembered until the watermark is ``delay`` past its event time; a copy that comes later than that passes again, and rows older than
-    the watermark are late and dropped. Rows without an event time count as of 1970. ``stream_upsert`` has no such limit. Copies of a key meet in one task, which
-    looks at them a batch at a time and holds one.
+    the watermark are late and dropped. Rows without an event time count as of 1970.
+    ``stream_upsert`` has no such limit. Keys are kept in ``buckets`` by their hash, a number that a checkpoint fixes. A task looks at the
+    rows of a bucket a batch at a time and holds one row for each new key in it.
     """
     spark = changes.sparkSession
     epoch = F.timestamp_millis(F.lit(0))
     span = spark.range(1).select(F.unix_millis(epoch + F.expr(f"interval {delay}"))).first()[0]
     by, columns = list(order or [event_time]), changes.columns
-    blank = F.coalesce(F.col(key).cast("string"), F.lit("")) == ""
+    name = F.coalesce(F.col(key).cast("string"), F.lit(""))
     marked = changes.withWatermark(event_time, delay)
-    keyed = marked.where(~blank).withColumn("_ms", F.coalesce(F.unix_millis(event_time), F.lit(0).cast("long")))
+    keyed = marked.where(name != "").withColumns(
+        {
+            "_name": name,
+            "_bucket": F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int"),
+            "_ms": F.coalesce(F.unix_millis(event_time), F.lit(0).cast("long")),
+        }
+    )
 
     def first(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        known: dict[str, int] = pickle.loads(state.get[0]) if state.exists else {}
+        now, best = state.getCurrentWatermarkMs(), None
+        if not state.hasTimedOut:
+            for rows in batches:
+                rows = rows[~rows["_name"].isin(known.keys())]
+                if not len(rows):
+                    continue
+                rows = rows if best is None else pd.concat([best, rows], ignore_index=True)
+                best = rows.sort_values(by, kind="stable", na_position="first").drop_duplicates("_name")
+        # forgotten after the batch whose watermark has passed them
+        known = {n: until for n, until in known.items() if until >= now}
+        if best is not None:
+            known.update(zip(best["_name"], best["_ms"].clip(lower=now) + span + 1, strict=True))
+        if known:
+            state.update((pickle.dumps(known),))
+            state.setTimeoutTimestamp(max(int(max(known.values())), now + 1))
+        elif state.exists:
             state.remove()
-            return
-        known, best = state.exists, None
-        for rows in batches:
-            if known:
-                continue
-            rows = rows if best is None else pd.concat([best, rows], ignore_index=True)
-            best = rows.sort_values(by, kind="stable", na_position="first").head(1)
         if best is not None:
-            state.update((True,))
-            state.setTimeoutTimestamp(max(int(best["_ms"].iloc[0]), state.getCurrentWatermarkMs()) + span + 1)
             yield best[columns]
 
-    kept = keyed.groupBy(key).applyInPandasWithState(first, changes.schema, "seen boolean", "append", GroupStateTimeout.EventTimeTimeout)
-    return kept.union(marked.where(blank).select(columns))
+    kept = keyed.groupBy("_bucket").applyInPandasWithState(first, changes.schema, "seen binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.union(marked.where(name == "").select(columns))
