@@ -18,6 +18,9 @@ from .dedup import last_write_wins
 from .positions import running
 from .sets import id_difference
 
+#: Ids of a key that are gathered in one array before they are cut into requests.
+MOST_IDS = 10_000
+
 # Spellings under which answers give each field; the first is the schema's own.
 OVERVIEW = ("사업개요", "businessOverview")
 ID_RULE = ("ID부여규칙", "requirementIdRule")
@@ -279,10 +282,33 @@ def retry_missing(
     return _requests(open_ids, documents, keys, identifier, size, trim)
 
 
-def _requests(ids: DataFrame, documents: DataFrame, keys: Sequence[str], identifier: str, size: int, trim: bool) -> DataFrame:
-    numbered = running(ids.select(*keys, identifier), list(keys), [identifier], "_pos")
-    chunked = numbered.withColumn("request", F.floor((F.col("_pos") - 1) / size))
-    grouped = chunked.groupBy(*keys, "request").agg(F.array_sort(F.collect_list(identifier)).alias("ids"))
+def _of(ids: DataFrame, listed: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"k.{k}")) for k in keys]
+    return ids.alias("r").join(listed.alias("k"), same, how)
+
+
+def _cut(ids: DataFrame, keys: Sequence[str], identifier: str, size: int) -> DataFrame:
+    """Requests of keys whose ids fit into one array. A null id takes a place, as it does in :func:`running`."""
+    listed = ids.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(identifier).alias("id")))).alias("_ids"))
+    starts = F.sequence(F.lit(0), F.size("_ids") - 1, F.lit(size))
+    cut = listed.select(*keys, "_ids", F.posexplode(starts).alias("request", "_start"))
+    part = F.slice("_ids", F.col("_start") + 1, F.lit(size))["id"]
+    return cut.select(*keys, F.col("request").cast("long").alias("request"), F.array_compact(part).alias("ids"))
+
+
+def _requests(
+    ids: DataFrame, documents: DataFrame, keys: Sequence[str], identifier: str, size: int, trim: bool, most: int = MOST_IDS
+) -> DataFrame:
+    """Requests of at most ``size`` ids. Keys with more than ``most`` ids are numbered over ranges, the others in one array."""
+    named = ids.select(*keys, identifier)
+    many = named.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most)
+    many = [] if (few := many.isEmpty()) else checkpointed(many.drop("_n"))
+    grouped = _cut(named if few else _of(named, many, keys, "left_anti"), keys, identifier, size)
+    if not few:
+        numbered = running(_of(named, many, keys, "left_semi"), list(keys), [identifier], "_pos")
+        chunked = numbered.withColumn("request", F.floor((F.col("_pos") - 1) / size))
+        chunks = chunked.groupBy(*keys, "request").agg(F.array_sort(F.collect_list(identifier)).alias("ids"))
+        grouped = grouped.unionByName(chunks)
     # the text joins the requests, so that no task holds a text as often as it is asked
     source = request_source(F.col("text"), F.col("ids")) if trim else F.col("text")
     return grouped.join(documents.select(*keys, "text"), list(keys)).select(*keys, "request", "ids", source.alias("source"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from noticeflow.functions import ids
 from noticeflow.operators import excerpts, extraction as ex, positions, reports, sets, verification as check
+from noticeflow.session import checkpointed
 from noticeflow.spec import EXTRACTION
 
 from .tables import NOTICES_SQL, notices, slots, sql_normalise, table
@@ -134,7 +135,7 @@ def _expected_lines(spark, sf_dir):
 
 
 def _line_rounds(spark, sf_dir):
-    expected = _expected_lines(spark, sf_dir)
+    expected = checkpointed(_expected_lines(spark, sf_dir))
     documents = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.concat_ws(" ", "o_orderpriority", "o_orderkey").alias("text")
     )

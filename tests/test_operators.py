@@ -381,6 +381,28 @@ def test_answers_are_asked_for_until_the_rounds_are_over(spark):
     assert merged.where("missing").count() == 1 and merged.where("body = 'round 2'").count() == 2
 
 
+def test_requests_of_few_and_many_ids_are_the_same(spark):
+    ids = [(k, f"i{n:03d}") for k, count in (("a", 1), ("b", 7), ("c", 25), (None, 4)) for n in range(count)] + [("b", None), ("d", None)]
+    ids = spark.createDataFrame(ids, "doc string, id string")
+    documents = spark.createDataFrame([(k, f"text {k}") for k in "abcdx"], "doc string, text string")
+    found = [
+        rows(extraction._requests(ids, documents, ["doc"], "id", 3, False, most=most), "doc", "request", "ids", "source") for most in (0, 5, 100)
+    ]
+    assert found[0] == found[1] == found[2]
+    assert [r[1:3] for r in found[0] if r[0] == "b"] == [(0, ["i000", "i001"]), (1, ["i002", "i003", "i004"]), (2, ["i005", "i006"])]
+    assert [len(r[2]) for r in found[0] if r[0] == "c"] == [3] * 8 + [1] and [r[2] for r in found[0] if r[0] == "d"] == [[]]
+
+
+def test_requests_of_few_ids_take_no_range_partitioning(spark, monkeypatch):
+    def running(*args, **options):
+        raise AssertionError("numbered over ranges")
+
+    monkeypatch.setattr(extraction, "running", running)
+    ids = spark.createDataFrame([("a", "1"), ("a", "2")], "doc string, id string")
+    documents = spark.createDataFrame([("a", "text")], "doc string, text string")
+    assert extraction._requests(ids, documents, ["doc"], "id", 3, False).first()["ids"] == ["1", "2"]
+
+
 def test_choose_ids(one):
     a, b = F.array(F.lit("1"), F.lit("2")), F.array(F.lit("3"))
     assert one(extraction.choose_ids(b, a)) == ["1", "2"]
