@@ -27,6 +27,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of texts that share four fifths of their five-word shingles, the one of least id.
 
+    Near copies are found by SimHash (:func:`simhash.near_copies`, as in ``op6``) and checked on whole sets; pairs beyond its
+    four bits are looked for by MinHash.
     A document is an id with a text: rows of one id, or of none, with other texts are documents of their own. Null ids
     come last, equal ones go by the keys of their texts. Of rows that repeat id and text, one is kept.
     """

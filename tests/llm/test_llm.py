@@ -482,6 +482,51 @@ def test_pipeline_keeps_unlike_texts_of_null_and_repeated_ids(spark):
     assert out == sorted(want, key=str)
 
 
+def test_pipeline_drops_copies_by_simhash(spark, monkeypatch):
+    import corpus_pipeline
+
+    found = []
+
+    def near_copies(*args, **options):
+        found.append(near(*args, **options))
+        return found[-1]
+
+    near = simhash.near_copies
+    monkeypatch.setattr(simhash, "near_copies", near_copies)
+    line = " ".join(f"w{i}" for i in range(400))
+    docs = spark.createDataFrame([(1, line), (2, line + " w399"), (3, "other words"), (4, None)], "doc_id long, text string")
+    out = {r.doc_id for r in corpus_pipeline.drop_copies(spark, docs, SF_DIR).collect()}
+    assert out == {1, 3, 4} and len(found) == 1
+    roots = sorted(r.n for r in found[0].groupBy("component_id").agg(F.count("*").alias("n")).collect())
+    assert roots == [1, 1, 2]
+
+
+def test_texts_that_resemble_each_other_too_little_are_no_candidates():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    base = [f"word{i}" for i in range(300)]
+    texts = []
+    for _ in range(80):
+        edited = list(base)
+        # five shingles for each edit: similarities of 0.6 to 0.75
+        for at in rng.sample(range(5, 295), 5):
+            edited[at] = f"edit{rng.random()}"
+        texts.append(" ".join(edited))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(range(80)), pa.array(range(80)), pa.array(range(80)), pa.array(texts, pa.string())], ["id", "_t1", "_t2", "_text"]
+    )
+    signed = pa.Table.from_batches(resemblance._sign(5, "id")(iter([batch])))
+    table = signed.append_column("own", pa.array([0] * 80)).append_column("root", signed.column("node"))
+    sets = {int(n): brute.shingles(t) for n, t in zip(signed.column("node").to_pylist(), texts, strict=True)}
+    linked = sum(5 * len(a & b) >= 4 * len(a | b) for a in sets.values() for b in sets.values() if a is not b) // 2
+    pairs = resemblance._pairs(80, True)(table)
+    assert linked < 100
+    got = {(a, b) for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)}
+    assert {(min(x, y), max(x, y)) for x, a in sets.items() for y, b in sets.items() if x != y and 5 * len(a & b) >= 4 * len(a | b)} <= got
+    assert len(got) <= linked + 80
+
+
 @pytest.mark.parametrize("group", [1024, 8])
 def test_resembling_texts_on_the_table(docs, rows, group):
     sets = {i: brute.shingles(t) for i, t in rows}
