@@ -8,6 +8,7 @@ content, so a task that is run again after a lost executor asks and answers unde
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, Struc
 from noticeflow.llm import words
 
 CHUNK_BYTES = 4 << 20
+_COLUMN = struct.Struct("<IB")
 
 
 def terminated(text: Column) -> Column:
@@ -184,6 +186,41 @@ def unpack(packed: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, dtype=np.uint8).reshape(8, -1).T).reshape(-1).view(kind)
 
 
+def pack_numbers(*columns: np.ndarray) -> bytes:
+    """Columns of numbers from zero up as one zstandard frame: of each the byte planes that are in use."""
+    head, body = [bytes([len(columns)])], []
+    for values in columns:
+        used = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+        head.append(_COLUMN.pack(len(values), used))
+        body.append(np.ascontiguousarray(values, dtype="<i8").view(np.uint8).reshape(-1, 8)[:, :used].T.tobytes())
+    return zstandard.compress(b"".join(head + body), 1)
+
+
+def unpack_numbers(packed: bytes) -> list[np.ndarray]:
+    raw = zstandard.decompress(packed)
+    at, out = 1 + raw[0] * _COLUMN.size, []
+    for size, used in _COLUMN.iter_unpack(raw[1:at]):
+        planes = np.zeros((size, 8), dtype=np.uint8)
+        planes[:, :used] = np.frombuffer(raw, dtype=np.uint8, count=size * used, offset=at).reshape(used, size).T
+        out.append(planes.reshape(-1).view("<i8"))
+        at += size * used
+    return out
+
+
+def steps(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Ascending runs of the given sizes (none of them empty) as differences; the first of a run stays."""
+    out = np.diff(values, prepend=0)
+    first = np.cumsum(sizes) - sizes
+    out[first] = values[first]
+    return out
+
+
+def unsteps(differences: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    sums = np.cumsum(differences)
+    first = np.cumsum(sizes) - sizes
+    return sums - np.repeat(sums[first] - differences[first], sizes)
+
+
 def bucket_count(documents: DataFrame, text_col: str, bucket_bytes: int) -> int:
     """Number of hash buckets for which one holds the hashes of about ``bucket_bytes`` of text."""
     total = documents.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0

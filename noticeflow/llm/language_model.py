@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,17 +17,12 @@ from noticeflow.llm import chunks, tables, words
 END = np.uint64(0xA0761D6478BD642F)
 #: Text whose pairs one task holds.
 BUCKET_BYTES = 3 << 20
-#: Text of a chunk of documents.
-CHUNK_BYTES = 2 << 20
 LOWERED = np.frombuffer(words.LOWER_TABLE, dtype=np.uint8)
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``discount`` and ``strength`` of the restaurants of one-word contexts and of their parent; sweeps of the sampler.
-
-    ``rounds``: parts into which the contexts are split, seated one after the other.
-    """
+    """``discount`` and ``strength`` of the restaurants of one-word contexts and of their parent; sweeps of the sampler."""
 
     discount: float = 0.85
     strength: float = 1.0
@@ -36,7 +30,6 @@ class Settings:
     parent_strength: float = 1.0
     burn_in: int = 1
     samples: int = 3
-    rounds: int = 3
     seed: int = 42
 
 
@@ -67,6 +60,8 @@ def score(
 
     Counts cover all words and pairs. Chunks of documents send their distinct words and pairs to tasks that hold a range
     of the hash space (64 bits), and get counts and probabilities back; a frequent word or pair costs an entry per chunk.
+    From the first counts on a word is known by its bucket and its place among the hashes there, so that what is sent for
+    a pair is a small difference; answers are whole numbers (customers, and tables summed over the sweeps).
     A restaurant is one entry per distinct pair and stays in one task; its size is bounded by the vocabulary.
     """
     spark = documents.sparkSession
@@ -74,38 +69,39 @@ def score(
     keyed = documents.select(
         F.struct(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(True)).alias("learn")).alias("key"), F.col(text_col).alias("text")
     )
-    rows = chunks.packed_chunks(keyed, "key", "text", CHUNK_BYTES)
+    rows = chunks.packed_chunks(keyed, "key", "text")
 
-    asked = chunks.map_chunks(
-        keyed, "key", "text", _ask_words(buckets), "chunk long, bucket int, hashes binary, counts binary", CHUNK_BYTES
-    )
-    asked = tables.staged(asked, "words")
+    asked = chunks.map_chunks(keyed, "key", "text", _ask_words(buckets), "chunk long, bucket int, hashes binary, counts binary")
     counts = asked.groupBy("bucket").applyInArrow(
-        _count_words, "chunk long, bucket int, a binary, total long, types long"
+        _count_words, "chunk long, bucket int, places binary, a binary, total long, types long, width int"
     )
     counts = tables.staged(counts, "counts")
-    per = counts.groupBy("bucket").agg(F.max("total").alias("total"), F.max("types").alias("types"))
-    total, types = per.agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
-
-    answers = counts.select("chunk", F.lit(0).alias("kind"), "bucket", "a", *(F.lit(None).cast("binary").alias(c) for c in "bc"))
-    # one part of the contexts after the other, so that the pairs of a part are all that is under way
-    parts = [
-        tables.staged(_seated(rows, answers, settings, total, types, buckets, part), "seats") for part in range(settings.rounds)
-    ]
-    seated = reduce(DataFrame.union, parts)
-
-    parents = seated.where("chunk IS NULL").select("chunk", "bucket", "hashes", F.col("tables").alias("counts"))
-    parent = asked.unionByName(parents).groupBy("bucket").applyInArrow(
-        _seat_parent(settings, types), "chunk long, bucket int, a binary, customers long, tables double"
+    per = counts.groupBy("bucket").agg(*(F.max(c).alias(c) for c in ("total", "types", "width")))
+    whole = (F.sum("total"), F.sum("types"), F.max("width"))
+    total, types, width = per.agg(*(F.coalesce(c, F.lit(0)) for c in whole)).first()
+
+    pairs = _with_answers(rows, counts.select("chunk", F.lit(0).alias("kind"), "bucket", "a", "places")).mapInArrow(
+        _ask_pairs(buckets, width), "chunk long, bucket int, pairs binary"
+    )
+    seated = pairs.groupBy("bucket").applyInArrow(
+        _seat(settings, total, types, buckets, width), "chunk long, bucket int, a binary"
+    )
+    seated = tables.staged(seated, "seats")
+
+    questions = counts.select("chunk", "bucket", F.col("places").alias("a")).union(seated.where("chunk IS NULL"))
+    parent = questions.groupBy("bucket").applyInArrow(
+        _seat_parent(settings, types), "chunk long, bucket int, a binary, customers long, tables long"
     )
     parent = tables.staged(parent, "parents")
     per = parent.groupBy("bucket").agg(F.max("customers").alias("k"), F.max("tables").alias("t"))
-    customers, all_tables = per.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0.0))).first()
+    customers, all_tables = per.agg(F.coalesce(F.sum("k"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
 
-    none = F.lit(None).cast("binary")
-    answers = answers.union(
-        parent.where("chunk IS NOT NULL").select("chunk", F.lit(1), "bucket", "a", none, none)
-    ).union(seated.where("chunk IS NOT NULL").select("chunk", F.lit(2), "bucket", "a", "b", "c"))
+    none = F.lit(None).cast("binary").alias("places")
+    answers = (
+        counts.select("chunk", F.lit(0).alias("kind"), "bucket", "a", none)
+        .union(parent.where("chunk IS NOT NULL").select("chunk", F.lit(1), "bucket", "a", none))
+        .union(seated.where("chunk IS NOT NULL").select("chunk", F.lit(2), "bucket", "a", none))
+    )
     known = (total, types, customers, all_tables)
     id_type = keyed.schema["key"].dataType["id"].dataType
     schema = StructType(
@@ -120,21 +116,9 @@ def score(
     return _with_answers(rows, answers).mapInArrow(_apply(settings, buckets, known, schema.names), schema)
 
 
-def _seated(rows, answers, settings: Settings, total: int, types: int, buckets: int, part: int) -> DataFrame:
-    """Answers and customers of the parent from every ``rounds``-th bucket of contexts."""
-    pairs = _with_answers(rows, answers).mapInArrow(
-        _ask_pairs(buckets, settings.rounds, part),
-        "chunk long, bucket int, contexts binary, sizes binary, followers binary, counts binary, base binary",
-    )
-    return pairs.groupBy("bucket").applyInArrow(
-        _seat(settings, total, types, buckets),
-        "chunk long, bucket int, a binary, b binary, c binary, hashes binary, tables binary",
-    )
-
-
 def _with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
     # rows of equal content share their answers, which then come more than once
-    listed = answers.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "a", "b", "c")).alias("answers"))
+    listed = answers.groupBy("chunk").agg(F.collect_list(F.struct("kind", "bucket", "a", "places")).alias("answers"))
     return rows.join(listed, "chunk", "left")
 
 
@@ -178,7 +162,7 @@ def _ask_words(buckets: int):
                     pa.array([batch.column("chunk")[i].as_py()] * len(used), pa.int64()),
                     pa.array(used, pa.int32()),
                     pa.array([chunks.pack_sorted(distinct[cuts[b] : cuts[b + 1]]) for b in used], pa.binary()),
-                    pa.array([chunks.pack(counts[cuts[b] : cuts[b + 1]]) for b in used], pa.binary()),
+                    pa.array([chunks.pack_numbers(counts[cuts[b] : cuts[b + 1]]) for b in used], pa.binary()),
                 ],
                 ["chunk", "bucket", "hashes", "counts"],
             )
@@ -186,75 +170,79 @@ def _ask_words(buckets: int):
     return ask
 
 
-def _gathered(group: pa.Table):
-    """All hashes and counts sent to a bucket, and how many each row sent."""
-    hashes = [chunks.unpack_sorted(x.as_py()) for x in group.column("hashes")]
-    counts = [chunks.unpack(x.as_py(), np.int64) for x in group.column("counts")]
-    return np.concatenate(hashes), np.concatenate(counts), [len(x) for x in hashes]
-
-
 def _count_words(group: pa.Table) -> pa.Table:
-    hashes, counts, sizes = _gathered(group)
-    distinct, index = np.unique(hashes, return_inverse=True)
+    hashes = [chunks.unpack_sorted(x.as_py()) for x in group.column("hashes")]
+    counts = np.concatenate([chunks.unpack_numbers(x.as_py())[0] for x in group.column("counts")])
+    sizes = np.array([len(x) for x in hashes])
+    distinct, index = np.unique(np.concatenate(hashes), return_inverse=True)
     sums = np.zeros(len(distinct), dtype=np.int64)
     np.add.at(sums, index, counts)
-    parts = np.split(sums[index], np.cumsum(sizes)[:-1])
+    tops = np.cumsum(sizes)[:-1]
     n = group.num_rows
     return pa.table(
         {
             "chunk": group.column("chunk"),
             "bucket": group.column("bucket"),
-            "a": pa.array([chunks.pack(x) for x in parts], pa.binary()),
+            "places": pa.array([chunks.pack_numbers(x) for x in np.split(chunks.steps(index, sizes), tops)], pa.binary()),
+            "a": pa.array([chunks.pack_numbers(x) for x in np.split(sums[index], tops)], pa.binary()),
             "total": pa.array([int(sums.sum())] * n, pa.int64()),
             "types": pa.array([int(np.count_nonzero(sums))] * n, pa.int64()),
+            # bits that hold the place of any word of the bucket
+            "width": pa.array([len(distinct).bit_length()] * n, pa.int32()),
         }
     )
 
 
-def _answer(batch: pa.RecordBatch, i: int, kind: int, field: str, dtype) -> dict[int, np.ndarray]:
+def _answer(batch: pa.RecordBatch, i: int, kind: int, field: str = "a") -> dict[int, list[np.ndarray]]:
     found = batch.column("answers")[i].as_py() or []
-    return {x["bucket"]: chunks.unpack(x[field], dtype) for x in found if x["kind"] == kind}
+    return {x["bucket"]: chunks.unpack_numbers(x[field]) for x in found if x["kind"] == kind}
 
 
-def _joined(answers: dict[int, np.ndarray], cuts: np.ndarray, dtype) -> np.ndarray:
+def _joined(answers: dict[int, list[np.ndarray]], cuts: np.ndarray, columns: int = 1) -> list[np.ndarray]:
     """Answers of all buckets in the order of the hashes. A bucket without its answer is a KeyError: the input changed."""
-    used = np.flatnonzero(np.diff(cuts))
-    return np.concatenate([answers[int(b)] for b in used]) if len(used) else np.empty(0, dtype=dtype)
+    used = [answers[int(b)] for b in np.flatnonzero(np.diff(cuts))]
+    return [np.concatenate([x[c] for x in used]) if used else np.empty(0, dtype=np.int64) for c in range(columns)]
 
 
-def _ask_pairs(buckets: int, rounds: int, part: int):
-    names = ["chunk", "bucket", "contexts", "sizes", "followers", "counts", "base"]
-
+def _ask_pairs(buckets: int, width: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = chunks.bucket_bounds(buckets)
         for batch, i in chunks.chunk_rows(batches):
             _, docs, distinct, index = _tokens(batch, i)
-            known = _joined(_answer(batch, i, 0, "a", np.int64), chunks.bucket_cuts(distinct, bounds), np.int64)
+            cuts = chunks.bucket_cuts(distinct, bounds)
+            (known,) = _joined(_answer(batch, i, 0), cuts)
             # counts of the words to a thousandth of their logarithm: the parent's first estimate
-            base = np.round(np.log2(known + 1.0) * 1000).astype("<u2")
+            base = np.round(np.log2(known + 1.0) * 1000).astype(np.int64)
+            (places,) = _joined(_answer(batch, i, 0, "places"), cuts)
+            sizes = np.diff(cuts)
+            places = chunks.unsteps(places, sizes[sizes > 0])
+            names = (np.repeat(np.arange(buckets), sizes) << width) + places
             context, word, which = _pairs(distinct, index)
             counts = np.bincount(which, weights=_learned(batch, i)[docs], minlength=len(context)).astype(np.int64)
             first = np.flatnonzero(np.diff(context, prepend=-1))
             sizes = np.diff(np.append(first, len(context)))
-            contexts = distinct[context[first]]
-            cuts = chunks.bucket_cuts(contexts, bounds)
+            followers = chunks.steps(names[word], sizes)
+            contexts = places[context[first]]
+            cuts = chunks.bucket_cuts(distinct[context[first]], bounds)
             tops = np.append(first, len(context))
-            out = []
             used = np.flatnonzero(np.diff(cuts))
-            for b in used[used % rounds == part]:
+            packed = []
+            for b in used:
                 own = slice(cuts[b], cuts[b + 1])
                 pairs = slice(tops[cuts[b]], tops[cuts[b + 1]])
-                out.append(
-                    (
-                        batch.column("chunk")[i].as_py(), b, chunks.pack_sorted(contexts[own]), chunks.pack(sizes[own]),
-                        distinct[word[pairs]].tobytes(), chunks.pack(counts[pairs]), base[word[pairs]].tobytes(),
+                packed.append(
+                    chunks.pack_numbers(
+                        np.diff(contexts[own], prepend=0), sizes[own], followers[pairs], counts[pairs], base[word[pairs]]
                     )
-                )
-            kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, kind) for x, kind in zip(zip(*out, strict=True), kinds, strict=True)], names
                 )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([batch.column("chunk")[i].as_py()] * len(used), pa.int64()),
+                    pa.array(used, pa.int32()),
+                    pa.array(packed, pa.binary()),
+                ],
+                ["chunk", "bucket", "pairs"],
+            )
 
     return ask
 
@@ -288,15 +276,14 @@ def seat(customers: np.ndarray, weight, discount: float, random: np.random.Gener
     return taken
 
 
-def _seat(settings: Settings, total: int, types: int, buckets: int):
+def _seat(settings: Settings, total: int, types: int, buckets: int, width: int):
     def sample(group: pa.Table) -> pa.Table:
-        bounds = chunks.bucket_bounds(buckets)
-        contexts = [chunks.unpack_sorted(x.as_py()) for x in group.column("contexts")]
-        sizes = [chunks.unpack(x.as_py(), np.int64) for x in group.column("sizes")]
-        context = np.concatenate([np.repeat(c, s) for c, s in zip(contexts, sizes, strict=True)])
-        word = np.concatenate([np.frombuffer(x.as_py(), dtype=np.uint64) for x in group.column("followers")])
-        counts = np.concatenate([chunks.unpack(x.as_py(), np.int64) for x in group.column("counts")])
-        base = np.concatenate([np.frombuffer(x.as_py(), dtype="<u2") for x in group.column("base")])
+        asked = list(zip(*(chunks.unpack_numbers(x.as_py()) for x in group.column("pairs")), strict=True))
+        contexts = [np.cumsum(x) for x in asked[0]]
+        followers, sizes = np.concatenate(asked[2]), np.concatenate(asked[1])
+        word = chunks.unsteps(followers, sizes)
+        context = np.repeat(np.concatenate(contexts), sizes)
+        counts, base = np.concatenate(asked[3]), np.concatenate(asked[4])
         order = np.lexsort((word, context))
         new_context = np.concatenate([[True], np.diff(context[order]) != 0])
         new_pair = new_context | np.concatenate([[True], np.diff(word[order]) != 0])
@@ -315,38 +302,41 @@ def _seat(settings: Settings, total: int, types: int, buckets: int):
         where, many, chance = restaurant[several], n[several], parent[several]
         single = np.bincount(restaurant[n == 1], minlength=m)
         drawn = many.copy()
-        mean, mean_all = (n == 1).astype(np.float64), single.astype(np.float64)
+        # tables summed over the sweeps that count
+        summed = np.where(n == 1, settings.samples, 0)
+        summed_all = single * settings.samples
         for sweep in range(settings.burn_in + settings.samples):
             others = (single + np.bincount(where, weights=drawn, minlength=m))[where] - drawn
             drawn = seat(many, lambda at, t, o=others: (strength + d * (o[at] + t)) * chance[at], d, random)
             if sweep >= settings.burn_in:
-                mean[several] += drawn / settings.samples
-                mean_all += np.bincount(where, weights=drawn, minlength=m) / settings.samples
+                summed[several] += drawn
+                summed_all += np.bincount(where, weights=drawn, minlength=m).astype(np.int64)
         seats = np.minimum(n, 1)
         seats[several] = drawn
-        served = n - d * mean
-        all_customers = np.bincount(restaurant, weights=n, minlength=m)
+        all_customers = np.bincount(restaurant, weights=n, minlength=m).astype(np.int64)
         # answers, in the order of the questions
-        ends, tops = np.cumsum([len(s) for s in sizes]), np.cumsum([int(s.sum()) for s in sizes])
+        ends, tops = np.cumsum([len(x) for x in contexts]), np.cumsum([len(x) for x in asked[2]])
         asked_pairs = np.split(pair, tops[:-1])
-        asked_contexts = np.split(restaurant[pair[np.concatenate([[0], np.cumsum(np.concatenate(sizes))[:-1]])]], ends[:-1])
+        asked_contexts = np.split(restaurant[pair[np.cumsum(sizes) - sizes]], ends[:-1])
+        replies = [
+            chunks.pack_numbers(n[p], summed[p], all_customers[c], summed_all[c])
+            for p, c in zip(asked_pairs, asked_contexts, strict=True)
+        ]
         # customers of the parent: the tables of the last sweep
         w, at = np.unique(word[firsts], return_inverse=True)
         sent = np.bincount(at, weights=seats, minlength=len(w)).astype(np.int64)
         w, sent = w[sent > 0], sent[sent > 0]
-        cuts = chunks.bucket_cuts(w, bounds)
+        cuts = np.searchsorted(w, np.arange(buckets + 1) << width)
         used = np.flatnonzero(np.diff(cuts))
-        k = len(used)
-        binary = pa.binary()
+        places = w & ((1 << width) - 1)
+        to_parent = [
+            chunks.pack_numbers(np.diff(places[cuts[b] : cuts[b + 1]], prepend=0), sent[cuts[b] : cuts[b + 1]]) for b in used
+        ]
         return pa.table(
             {
-                "chunk": pa.array([*group.column("chunk").to_pylist(), *[None] * k], pa.int64()),
+                "chunk": pa.array([*group.column("chunk").to_pylist(), *[None] * len(used)], pa.int64()),
                 "bucket": pa.array([*group.column("bucket").to_pylist(), *used], pa.int32()),
-                "a": pa.array([*(chunks.pack(served[p]) for p in asked_pairs), *[None] * k], binary),
-                "b": pa.array([*(chunks.pack(all_customers[c]) for c in asked_contexts), *[None] * k], binary),
-                "c": pa.array([*(chunks.pack(mean_all[c]) for c in asked_contexts), *[None] * k], binary),
-                "hashes": pa.array([*[None] * group.num_rows, *(chunks.pack_sorted(w[cuts[b] : cuts[b + 1]]) for b in used)], binary),
-                "tables": pa.array([*[None] * group.num_rows, *(chunks.pack(sent[cuts[b] : cuts[b + 1]]) for b in used)], binary),
+                "a": pa.array([*replies, *to_parent], pa.binary()),
             }
         )
 
@@ -356,56 +346,64 @@ def _seat(settings: Settings, total: int, types: int, buckets: int):
 def _seat_parent(settings: Settings, types: int):
     def sample(group: pa.Table) -> pa.Table:
         chunk = group.column("chunk").to_pylist()
-        hashes, counts, sizes = _gathered(group)
-        # only the contexts send customers; the chunks ask
-        sends = np.repeat(np.array([c is None for c in chunk]), sizes)
-        distinct, index = np.unique(hashes, return_inverse=True)
-        n = np.bincount(index, weights=np.where(sends, counts, 0), minlength=len(distinct)).astype(np.int64)
+        asked = [chunks.unpack_numbers(x.as_py()) for x in group.column("a")]
+        places = [np.cumsum(x[0]) for x in asked]
+        # only the contexts send customers; the chunks ask, for every word of the bucket
+        at = [p for p, c in zip(places, chunk, strict=True) if c is None]
+        sent = [x[1] for x, c in zip(asked, chunk, strict=True) if c is None]
+        known = max(int(p[-1]) for p in places) + 1
+        n = np.zeros(known, dtype=np.int64)
+        if at:
+            np.add.at(n, np.concatenate(at), np.concatenate(sent))
         d, strength, base = settings.parent_discount, settings.parent_strength, 1 / (types + 1)
         random = np.random.default_rng([settings.seed, 1, int(group.column("bucket")[0].as_py())])
         own = int(np.count_nonzero(n))
-        seats, mean = n.copy(), np.zeros(len(n))
+        seats, summed = n.copy(), np.zeros(len(n), dtype=np.int64)
         for sweep in range(settings.burn_in + settings.samples):
             # the tables of all buckets, from those of this one
             everywhere = seats.sum() * types / max(own, 1)
             rest = everywhere - seats
             seats = seat(n, lambda at, t, o=rest: (strength + d * (o[at] + t)) * base, d, random)
             if sweep >= settings.burn_in:
-                mean += seats / settings.samples
-        parts = np.split((n - d * mean)[index], np.cumsum(sizes)[:-1])
+                summed += seats
         rows = group.num_rows
         return pa.table(
             {
                 "chunk": group.column("chunk"),
                 "bucket": group.column("bucket"),
-                "a": pa.array([None if c is None else chunks.pack(x) for c, x in zip(chunk, parts, strict=True)], pa.binary()),
+                "a": pa.array(
+                    [None if c is None else chunks.pack_numbers(n[p], summed[p]) for c, p in zip(chunk, places, strict=True)],
+                    pa.binary(),
+                ),
                 "customers": pa.array([int(n.sum())] * rows, pa.int64()),
-                "tables": pa.array([float(mean.sum())] * rows, pa.float64()),
+                "tables": pa.array([int(summed.sum())] * rows, pa.int64()),
             }
         )
 
     return sample
 
 
-def _apply(settings: Settings, buckets: int, known: tuple[int, int, int, float], names: list[str]):
+def _apply(settings: Settings, buckets: int, known: tuple[int, int, int, int], names: list[str]):
     total, types, customers, all_tables = known
+    samples = settings.samples
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = chunks.bucket_bounds(buckets)
         for batch, i in chunks.chunk_rows(batches):
             _, docs, distinct, index = _tokens(batch, i)
             cuts = chunks.bucket_cuts(distinct, bounds)
-            counts = _joined(_answer(batch, i, 0, "a", np.int64), cuts, np.int64)
-            served = _joined(_answer(batch, i, 1, "a", np.float64), cuts, np.float64)
-            new = (settings.parent_strength + settings.parent_discount * all_tables) / (types + 1)
+            (counts,) = _joined(_answer(batch, i, 0), cuts)
+            seated, summed = _joined(_answer(batch, i, 1), cuts, 2)
+            served = seated - settings.parent_discount * (summed / samples)
+            new = (settings.parent_strength + settings.parent_discount * all_tables / samples) / (types + 1)
             parent = (served + new) / (settings.parent_strength + customers)
             context, word, which = _pairs(distinct, index)
             first = np.flatnonzero(np.diff(context, prepend=-1))
             sizes = np.diff(np.append(first, len(context)))
             cuts = chunks.bucket_cuts(distinct[context[first]], bounds)
-            pairs = _joined(_answer(batch, i, 2, "a", np.float64), cuts, np.float64)
-            guests = np.repeat(_joined(_answer(batch, i, 2, "b", np.float64), cuts, np.float64), sizes)
-            taken = np.repeat(_joined(_answer(batch, i, 2, "c", np.float64), cuts, np.float64), sizes)
+            seated, summed, guests, taken = _joined(_answer(batch, i, 2), cuts, 4)
+            pairs = seated - settings.discount * (summed / samples)
+            guests, taken = np.repeat(guests, sizes), np.repeat(taken / samples, sizes)
             back = settings.strength + settings.discount * taken
             predicted = np.log10((pairs + back * parent[word]) / (settings.strength + guests))
             base = np.log10((counts + 0.5) / (total + 0.5 * (types + 1)))

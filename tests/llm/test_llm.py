@@ -2,6 +2,8 @@
 
 import math
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
 import brute
 import numpy as np
@@ -9,8 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from noticeflow.llm import (
-    components, decontaminate, golay, language_model, lengths, licenses, mixing, neighbours, quality, queries, resemblance, simhash,
-    substrings, tokens,
+    chunks, components, decontaminate, golay, language_model, lengths, licenses, mixing, neighbours, quality, queries, resemblance,
+    simhash, substrings, tables, tokens,
 )
 from noticeflow.llm.license_templates import NOTICES
 
@@ -209,6 +211,32 @@ def test_language_model_odd(spark):
     assert language_model.score(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_numbers_pack():
+    columns = [np.array([], dtype=np.int64), np.array([0, 255, 256, 1 << 62]), np.zeros(1000, dtype=np.int64)]
+    packed = chunks.pack_numbers(*columns)
+    assert [x.tolist() for x in chunks.unpack_numbers(packed)] == [x.tolist() for x in columns] and len(packed) < 100
+    runs, sizes = np.array([3, 5, 9, 1, 7, 7, 8]), np.array([3, 1, 3])
+    assert chunks.steps(runs, sizes).tolist() == [3, 2, 4, 1, 7, 0, 1]
+    assert chunks.unsteps(chunks.steps(runs, sizes), sizes).tolist() == runs.tolist()
+
+
+def test_language_model_writes_less_than_the_text(spark, monkeypatch):
+    """Tables on the way: they were more than the text itself, as every pair took hashes and doubles."""
+    drawn = np.random.default_rng(5).zipf(1.1, size=400_000) % 200_000
+    texts = [" ".join(f"word{x}" for x in part) for part in np.split(drawn, 400)]
+    written, staged = [], tables.staged
+
+    def weighed(df, label):
+        out = staged(df, label)
+        written.extend(Path(urlparse(x).path).stat().st_size for x in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(tables, "staged", weighed)
+    out = language_model.score(odd(spark, *texts), F.lit(True)).agg(F.sum("n_tokens"), F.max("train_tokens")).first()
+    assert list(out) == [400_400, 400_400]
+    assert sum(written) < 0.5 * sum(map(len, texts)), sum(written) / sum(map(len, texts))
+
+
 def test_quality_learns_grades(spark):
     rng = random.Random(3)
     vocabulary = [f"word{i}" for i in range(300)]
