@@ -9,6 +9,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -18,33 +19,19 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 
 from noticeflow.llm import tables, words
 
-#: Distinct pieces of text whose ids a task remembers; it then starts anew. About 60 MB.
-KNOWN_PIECES = 400_000
+#: Distinct pieces of text whose ids a worker remembers, and their bytes; beyond, it keeps what it has met again. About 10 MB.
+KNOWN_PIECES, KNOWN_BYTES = 250_000, 16 << 20
 #: Text encoded at once, and compressed frames in a row of the files.
-ENCODE_BYTES = 1 << 20
+ENCODE_BYTES = 2 << 20
 #: New pieces that are encoded as one text, and texts handed to the library at once.
 JOINED, AT_ONCE = 64, 64
 BLOCK_BYTES = 4 << 20
 
-_SPACES = b" \t\n\r\x0b\x0c"
-_PIECE = re.compile(rb"[ \t\n\r\x0b\x0c]*[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]+")
 # White space beyond ASCII, or taken as such by some engines: texts with it are encoded in one piece.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 _ASCII_ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
-class _Known(dict):
-    """Numbers of pieces in the order in which they were first asked for; ``new`` holds those without ids."""
-
-    def __init__(self):
-        self.new: list[bytes] = []
-
-    def __missing__(self, piece: bytes) -> int:
-        number = self[piece] = len(self)
-        self.new.append(piece)
-        return number
-
-
 class Encoder:
     """Ids of texts, equal to those of the tokenizer for the whole text.
 
@@ -69,35 +56,60 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.known = _Known()
+        self.known = pa.array([], pa.large_binary())
         self.ids = np.empty(0, dtype=self.width)
         self.offsets = np.zeros(1, dtype=np.int64)
+        self.again = np.empty(0, dtype=bool)
+
+    def bound(self) -> None:
+        """If too much is remembered, keep the pieces that were met again, or none if these are more than half of it."""
+        if len(self.known) <= KNOWN_PIECES and self.known.nbytes <= KNOWN_BYTES:
+            return
+        kept = np.flatnonzero(self.again)
+        known = self.known.filter(pa.array(self.again))
+        if 2 * len(known) > KNOWN_PIECES or 2 * known.nbytes > KNOWN_BYTES:
+            return self.forget()
+        lengths = np.diff(self.offsets)[kept]
+        self.ids = self.ids[_spans(self.offsets[kept], lengths)]
+        self.known, self.offsets = known, np.concatenate([[0], np.cumsum(lengths)])
+        self.again = np.zeros(len(kept), dtype=bool)
 
     def _in_one_piece(self, text: str) -> bool:
         odd = _ASCII_ODD_SPACE if text.isascii() else _ODD_SPACE
         return any(content in text for content in self.added) or odd.search(text) is not None
 
-    def _learn(self) -> None:
-        """Ids of the new pieces, behind those that are known."""
-        new, self.known.new = self.known.new, []
+    def _numbers(self, pieces: pa.LargeBinaryArray) -> np.ndarray:
+        """Places of distinct pieces among the known ones, to which the new ones are added."""
+        numbers = pc.index_in(pieces, self.known).fill_null(-1).to_numpy().astype(np.int64)
+        met, new = numbers[numbers >= 0], np.flatnonzero(numbers < 0)
+        self.again[met] = True
+        if len(new):
+            numbers[new] = len(self.known) + self._learn(pieces.take(pa.array(new)))
+        return numbers
+
+    def _learn(self, new: pa.LargeBinaryArray) -> np.ndarray:
+        """Put pieces and their ids behind those that are known; gives their order there."""
         # Pieces between white space and a word's end keep their ids side by side, so many are encoded as one text.
-        inside = [self.joins and p[0] in _SPACES and p[-1] not in _SPACES for p in new]
-        inner, outer = ([i for i, x in enumerate(inside) if x == kind] for kind in (True, False))
-        ids, lengths = [np.empty(0, dtype=self.width)], [np.empty(0, dtype=np.int64)]
+        tops, data = _buffers(new)
+        inside = self.joins & words.SPACE[data[tops[:-1]]] & ~words.SPACE[data[tops[1:] - 1]]
+        inner, outer = new.filter(pa.array(inside)), new.filter(pa.array(~inside))
+        ids, lengths = [self.ids], []
+        tops, data = _buffers(inner)
         for at in range(0, len(inner), JOINED * AT_ONCE):
-            part = [new[i] for i in inner[at : at + JOINED * AT_ONCE]]
-            texts = [b"".join(part[k : k + JOINED]).decode() for k in range(0, len(part), JOINED)]
-            ids.append(self._encoded(texts)[0])
-            tops = np.searchsorted(np.cumsum(self.sizes[ids[-1]]), np.cumsum([len(p) for p in part])) + 1
-            lengths.append(np.diff(tops, prepend=0))
+            to = min(at + JOINED * AT_ONCE, len(inner))
+            bounds = tops[[*range(at, to, JOINED), to]].tolist()
+            ids.append(self._encoded([str(data[a:b], "utf-8") for a, b in zip(bounds, bounds[1:])])[0])
+            ends = np.searchsorted(np.cumsum(self.sizes[ids[-1]]), tops[at + 1 : to + 1] - tops[at]) + 1
+            lengths.append(np.diff(ends, prepend=0))
         for at in range(0, len(outer), JOINED * AT_ONCE):
-            for found, values in zip((ids, lengths), self._encoded([new[i].decode() for i in outer[at : at + JOINED * AT_ONCE]]), strict=True):
+            texts = [piece.decode() for piece in outer.slice(at, JOINED * AT_ONCE).to_pylist()]
+            for found, values in zip((ids, lengths), self._encoded(texts), strict=True):
                 found.append(values)
-        ids, lengths = np.concatenate(ids), np.concatenate(lengths)
-        starts = np.cumsum(lengths) - lengths
-        order = np.argsort(np.array([*inner, *outer], dtype=np.int64))
-        self.ids = np.concatenate([self.ids, ids[_spans(starts[order], lengths[order])]])
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths[order])])
+        self.ids = np.concatenate(ids)
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(np.concatenate(lengths))])
+        self.again = np.concatenate([self.again, np.zeros(len(new), dtype=bool)])
+        self.known = pa.concat_arrays([self.known, inner, outer])
+        return np.where(inside, np.cumsum(inside) - 1, len(inner) + np.cumsum(~inside) - 1)
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, one behind the other, and their numbers."""
@@ -106,42 +118,61 @@ class Encoder:
 
     def encode(self, texts: list[str], end: int) -> list[np.ndarray]:
         """The ids of each text and the end id."""
-        if len(self.known) > KNOWN_PIECES:
-            self.forget()
-        pieces: list[bytes] = []
-        counts, whole = [], {}
+        self.bound()
+        parts, whole = [], {}
         for i, text in enumerate(texts):
             if self._in_one_piece(text):
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 whole[i] = np.array([*ids, end], dtype=self.width)
-                counts.append(0)
-                continue
-            found = _PIECE.findall(text.encode())
-            pieces += found
-            counts.append(len(found))
-        at = np.fromiter(map(self.known.__getitem__, pieces), dtype=np.int64, count=len(pieces))
-        if self.known.new:
-            self._learn()
+                parts.append(b"")
+            else:
+                parts.append(text.encode())
+        pieces, counts = _pieces(parts)
+        found = pieces.dictionary_encode()
+        at = self._numbers(found.dictionary)[found.indices.to_numpy()]
         first, lengths = self.offsets[at], self.offsets[at + 1] - self.offsets[at]
         flat = self.ids[_spans(first, lengths)]
-        tops = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        tops = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
         stop = np.array([end], dtype=self.width)
         return [
             whole[i] if i in whole else np.concatenate([flat[tops[i] : tops[i + 1]], stop]) for i in range(len(texts))
         ]
 
 
+def _pieces(texts: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The pieces of all texts, one behind the other, and how many each has. A piece is white space with the word behind it."""
+    tops = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    space = words.SPACE[data]
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[1:-1] = space[1:] & ~space[:-1]
+    begins[tops] = True
+    offsets = np.flatnonzero(begins)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+    pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, buffers)
+    return pieces, np.diff(np.searchsorted(offsets, tops))
+
+
+def _buffers(pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of pieces, and the bytes in which they lie."""
+    _, bounds, data = pieces.buffers()
+    offsets = np.frombuffer(bounds, dtype=np.int64)[pieces.offset : pieces.offset + len(pieces) + 1]
+    return offsets, np.frombuffer(data or b"", dtype=np.uint8)
+
+
 def _spans(first: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Places ``first``, ``first + 1``, ... of all spans, one behind the other."""
     ends = np.cumsum(lengths)
-    return np.repeat(first - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
+    places = np.repeat(first - (ends - lengths), lengths)
+    places += np.arange(len(places))
+    return places
 
 
 encoder = cache(Encoder)
 
 
 def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """(some rows of a batch, ids of their texts). What is remembered is freed at the end of the task."""
+    """(some rows of a batch, ids of their texts). What is remembered within the bound serves later tasks of the worker."""
     own = encoder(tokenizer)
     for batch in batches:
         texts = batch.column("text")
@@ -152,7 +183,7 @@ def encoded(batches: Iterator[pa.RecordBatch], tokenizer: str, end: int) -> Iter
             to = max(at + 1, int(np.searchsorted(sizes, done + ENCODE_BYTES, side="right")))
             yield batch.slice(at, to - at), own.encode(texts.slice(at, to - at).to_pylist(), end)
             at = to
-    own.forget()
+    own.bound()
 
 
 def write_tokens(
@@ -341,10 +372,9 @@ def read_tokens(spark: SparkSession, path: str, only: Callable[[Column], Column]
                     raise ValueError("the frames need another dictionary")
                 frames = batch.column("frames")[i].as_buffer()
                 wanted = batch.column("wanted")[i].values
-                spans = zip(wanted.field("at").to_pylist(), wanted.field("to").to_pylist(), strict=True)
-                raw = [np.frombuffer(unpacker.decompress(frames[a:b]), dtype=width) for a, b in spans]
-                for at in range(0, len(raw), 1000):
-                    part = raw[at : at + 1000]
+                spans = list(zip(wanted.field("at").to_pylist(), wanted.field("to").to_pylist(), strict=True))
+                for at in range(0, len(spans), 1000):
+                    part = [np.frombuffer(unpacker.decompress(frames[a:b]), dtype=width) for a, b in spans[at : at + 1000]]
                     yield pa.RecordBatch.from_arrays(
                         [
                             wanted.field("id").slice(at, len(part)),

@@ -7,6 +7,7 @@ from urllib.parse import urlparse
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,30 @@ def test_special_tokens_in_texts_encode_as_the_library_does(spark):
     assert sum(r.length * r.docs for r in counts) == sum(map(len, want))
 
 
+def test_known_pieces_serve_later_tasks_and_stay_bounded(monkeypatch):
+    path = queries.tokenizer_file()
+    own, learned = tokens.Encoder(path), []
+    learn = own._learn
+    monkeypatch.setattr(tokens, "encoder", lambda _: own)
+    monkeypatch.setattr(own, "_learn", lambda new: learned.append(len(new)) or learn(new))
+
+    def task(*texts):
+        learned.clear()
+        batch = pa.RecordBatch.from_pydict({"text": list(texts)})
+        got = [ids.tolist() for _, found in tokens.encoded(iter([batch]), path, 7) for ids in found]
+        assert got == [[*own.tokenizer.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+        return sum(learned)
+
+    assert task("one two one", "", "one  three\n") == 5
+    assert task("one two four", " two one") == 1 and task("one two", " two one") == 0
+    monkeypatch.setattr(tokens, "KNOWN_PIECES", 12)
+    # "one", " two" and " one" were met again, so they outlive the others
+    assert task("one two " + " ".join(map(str, range(20)))) == 20 and len(own.known) <= 12
+    assert task("one two", " one five") == 1 and task("a b", "one two five", "\xe9t\xe9 \u8a9e") > 0
+    monkeypatch.setattr(tokens, "KNOWN_BYTES", 20)
+    assert task("x" * 100, "one two") > 0 and own.known.nbytes <= 20 and task("one two", "x" * 100) > 0
+
+
 def held_out():
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 1
 
