@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeflow.session import work_dir
@@ -10,17 +13,24 @@ from noticeflow.session import work_dir
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Jobs that are started inside run with this setting."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it back: its lineage ends there, and it is computed once."""
     spark = df.sparkSession
     path = work_dir(spark, label) + "/table"
     # nothing reads the shuffles of this job once its table is written
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with setting(spark, _CLEANUP, "true"):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 

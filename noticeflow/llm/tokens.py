@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable, Iterator
+from contextlib import AbstractContextManager
 from functools import cache
 
 import numpy as np
@@ -21,8 +22,8 @@ from noticeflow.llm import tables, words
 
 #: Distinct pieces of text whose ids a worker remembers, and their bytes; beyond, it keeps what it has met again. About 10 MB.
 KNOWN_PIECES, KNOWN_BYTES = 250_000, 16 << 20
-#: Text encoded at once, and compressed frames in a row of the files.
-ENCODE_BYTES = 2 << 20
+#: Text encoded at once, texts or frames that Spark hands to Python at once, and compressed frames in a row of the files.
+ENCODE_BYTES, BATCH_BYTES = 2 << 20, 4 << 20
 #: New pieces that are encoded as one text, and texts handed to the library at once.
 JOINED, AT_ONCE = 64, 64
 BLOCK_BYTES = 4 << 20
@@ -232,7 +233,8 @@ def write_tokens(
             arrays = [batch.column("id"), batch.column("tie"), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, frame.names)
 
-    frames = tables.staged(docs.withColumn("tie", F.xxhash64("text")).mapInArrow(words.freeing(compress), frame), "frames")
+    with _small_batches(spark):
+        frames = tables.staged(docs.withColumn("tie", F.xxhash64("text")).mapInArrow(words.freeing(compress), frame), "frames")
     ordered = frames.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "n_tokens", "frame")
     block = StructType(
         [
@@ -246,7 +248,8 @@ def write_tokens(
             StructField("frames", BinaryType()),
         ]
     )
-    ordered.select("id", "n_tokens", "frame").mapInArrow(words.freeing(_blocks(key, block)), block).write.parquet(f"{path}/blocks")
+    with _small_batches(spark):
+        ordered.select("id", "n_tokens", "frame").mapInArrow(words.freeing(_blocks(key, block)), block).write.parquet(f"{path}/blocks")
     totals = spark.read.schema(block).parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_block").alias("n"))
     first, rows = 0, []
     for shard, n in sorted(totals.collect()):  # a row per file, not per document
@@ -269,7 +272,8 @@ def _train(docs: DataFrame, tokenizer: str, end: int, sample_docs: int, size: in
             ids = [ids.tobytes()[: 16 << 10] for ids in found]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], ["sample"])
 
-    samples = sorted(bytes(r.sample) for r in chosen.mapInArrow(words.freeing(serialize), "sample binary").collect())
+    with _small_batches(docs.sparkSession):
+        samples = sorted(bytes(r.sample) for r in chosen.mapInArrow(words.freeing(serialize), "sample binary").collect())
     width = encoder(tokenizer).width
     try:
         return zstandard.train_dictionary(size, samples, k=256, d=8).as_bytes(), width
@@ -277,6 +281,11 @@ def _train(docs: DataFrame, tokenizer: str, end: int, sample_docs: int, size: in
         return b"".join(samples)[:size], width
 
 
+def _small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """Inside, a task and its worker hold a few MB of texts or frames at a time, instead of 64 each."""
+    return tables.setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(content) if content else None
 

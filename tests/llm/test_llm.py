@@ -135,6 +135,29 @@ def test_tokens_odd(spark, tmp_path):
     assert tokens.read_tokens(spark, path + "0").count() == 0
 
 
+def test_tokens_reach_python_in_small_batches(spark, tmp_path, monkeypatch):
+    key, held, staged = "spark.sql.execution.arrow.maxBytesPerBatch", [], tokens.tables.staged
+
+    def noted(df, label):
+        held.append(spark.conf.get(key))
+        return staged(df, label)
+
+    monkeypatch.setattr(tokens.tables, "staged", noted)
+    before, path = spark.conf.get(key), str(tmp_path / "t")
+    tokens.write_tokens(odd(spark, "a b", "c"), path, queries.tokenizer_file())
+    assert held == [str(tokens.BATCH_BYTES)] and spark.conf.get(key) == before
+    assert tokens.read_tokens(spark, path).count() == 2
+    texts = spark.range(40, numPartitions=1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+
+    def size(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    with tokens._small_batches(spark):
+        sizes = [r.size for r in texts.mapInArrow(size, "size long").collect()]
+    assert max(sizes) < 2 * tokens.BATCH_BYTES and sum(sizes) > 40 << 20
+
+
 def test_pieces_encode_as_the_whole_text():
     encoder = tokens.Encoder(queries.tokenizer_file())
     texts = ["", "  ", "a  b", "\n\n x y\t\tz ", "it's  he'll\n\nx 12  ??", "a\xa0\n\nb  c", "!\x1c x", "<|endoftext|> hi",
